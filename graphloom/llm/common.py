@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, where neither PYTHONPATH nor the working folder has it: once for each context, through Spark's own file server."""
+    package = Path(__file__).resolve().parents[1]
+    root, sc = str(package.parent), spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == root or getattr(sc, "_graphloom_shipped", False):
+        return
+    made = f"{tempfile.mkdtemp(prefix='graphloom-')}/graphloom_package.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for p in package.rglob("*.py"):
+            z.write(p, f"{package.name}/{p.relative_to(package)}")
+    sc.addPyFile(made)
+    sc._graphloom_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df behind a reliable checkpoint: lineage ends there, and lost executors lose nothing."""
     checkpoint_dir(df.sparkSession)

@@ -152,6 +152,71 @@ def _arrays(width: int):
     return run
 
 
+#: Buckets up to this size are compared by their members, and equal ones kept once; larger ones are passed on as they come.
+WHOLE = 4096
+
+
+def _buckets(batches):
+    """Rows (sig, sid) in order -> the members of buckets with two sets or more: (bucket, sid, first, size).
+
+    Streams: it holds one batch and the members of an open bucket up to WHOLE. Signatures with the same members are
+    one bucket, named by a hash of them; first is the smallest member.
+    """
+    seen: set[int] = set()
+    carry = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    big: tuple[int, int] | None = None  # (sig, first) of a bucket that is passed on unheld
+
+    def closed(sig, sid, end):
+        nonlocal carry, big
+        if not len(sig):
+            return None
+        new = np.empty(len(sig), bool)
+        new[0] = True
+        new[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
+        sig, sid = sig[new], sid[new]
+        starts = np.flatnonzero(np.diff(sig, prepend=~sig[0]))
+        last = starts[-1]
+        out = []
+        if big and sig[0] == big[0]:  # more members of the open large bucket
+            stop = len(sig) if len(starts) == 1 else starts[1]
+            out.append((np.full(stop, big[0]), sid[:stop], np.full(stop, big[1]), np.full(stop, WHOLE)))
+            sig, sid, starts, last = sig[stop:], sid[stop:], starts[1:] - stop, last - stop
+            if not len(starts):
+                carry = (sig[:0], sid[:0])
+                return out
+        big = None
+        if not end:
+            if len(sig) - last > WHOLE:
+                big = (int(sig[last]), int(sid[last]))
+                n = len(sig) - last
+                out.append((np.full(n, big[0]), sid[last:], np.full(n, big[1]), np.full(n, WHOLE)))
+                carry = (sig[:0], sid[:0])
+            else:
+                carry = (sig[last:], sid[last:])
+            sig, sid, starts = sig[:last], sid[:last], starts[:-1]
+        if len(starts):
+            sizes = np.diff(np.append(starts, len(sig)))
+            many = sizes > 1
+            name = T.signed(T.mix(np.add.reduceat(T.mix(sid.view(np.uint64)), starts) + sizes.astype(np.uint64)))
+            for i in np.flatnonzero(many):
+                if (x := int(name[i])) in seen:
+                    many[i] = False
+                elif len(seen) < 1_000_000:
+                    seen.add(x)
+            keep = np.repeat(many, sizes)
+            out.append((np.repeat(name, sizes)[keep], sid[keep], np.repeat(sid[starts], sizes)[keep], np.repeat(sizes, sizes)[keep]))
+        return out
+
+    def batch_of(parts):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts]).astype(np.int64)) for k in range(4)], ["bucket", "sid", "first", "size"])
+
+    for batch in batches:
+        if parts := closed(np.concatenate([carry[0], batch.column(0).to_numpy()]), np.concatenate([carry[1], batch.column(1).to_numpy()]), False):
+            yield batch_of(parts)
+    if parts := closed(*carry, True):
+        yield batch_of(parts)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs(a, b) whose sets pass the exact test; both joins are equi-joins on a set id."""
     left = sets.select(F.col("sid").alias("a"), F.col("items").alias("ia"))
@@ -175,10 +240,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
     need(docs, "doc_id", "text")
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = spilled(only.mapInArrow(_describe(width, percent), "doc_id long, n_shingles long, sid long, signatures array<long>"), "partenum")
-    rows = table.select("sid", F.explode("signatures").alias("sig")).repartition("sig").distinct()
-    within = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("sid").alias("first"))
-    shared = within.where("size > 1")
-    buckets = cut(rows.join(shared, "sig").select("sig", "sid", "first"))
+    rows = table.select(F.explode("signatures").alias("sig"), "sid").repartition("sig").sortWithinPartitions("sig", "sid")
+    found = rows.mapInArrow(_buckets, "bucket long, sid long, first long, size long")
+    buckets = spilled(found.groupBy("bucket", "sid").agg(F.min("first").alias("first"), F.max("size").alias("size")), "buckets")
     links, roots = [], None
     if not buckets.isEmpty():
         wanted = cut(buckets.select("sid").distinct())
@@ -187,33 +251,32 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
         reps = reps.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi")
         text = only.join(F.broadcast(reps) if few else reps, "doc_id")
         sets = spilled(text.select("sid", "text").mapInArrow(_arrays(width), "sid long, items array<long>").dropDuplicates(["sid"]), "sets")
-        # First each set meets the one that leads most of its buckets; most groups are one component after that.
-        best = buckets.where("sid != first").groupBy("sid", "first").agg(F.count("*").alias("n"))
-        best = best.groupBy("sid").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("b")).select(F.col("sid").alias("a"), "b")
+        # First each set meets the one that leads its largest bucket; most groups are one component after that.
+        best = buckets.where("sid != first").groupBy("sid").agg(F.max_by("first", F.struct("size", F.col("first"))).alias("b")).select(F.col("sid").alias("a"), "b")
         found = cut(_linked(best, sets, percent))
         links.append(found)
         roots = cut(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
         upto, ranked = 0, None
         while True:
             # Then buckets that still span components: ever more of their members meet all members of other components.
-            labelled = (buckets.select("sig", "sid") if ranked is None else ranked).join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-            open_ = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi")
-            left = labelled.join(open_.select("sig", "size"), "sig")
+            labelled = (buckets.select("bucket", "sid") if ranked is None else ranked).join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+            open_ = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+            left = labelled.join(open_.select("bucket"), "bucket")
             if ranked is None:
-                left = left.withColumn("rank", F.row_number().over(_by_sig()))
-            left = cut(left.select("sig", "sid", "rank", "root"))
+                left = left.withColumn("rank", F.row_number().over(_in_bucket()))
+            left = cut(left.select("bucket", "sid", "rank", "root"))
             most = left.agg(F.max("rank")).first()[0]
             if most is None or upto >= most - 1:
                 break
-            start, upto = upto, max(1, upto * 4)
-            heads = left.where((F.col("rank") > start) & (F.col("rank") <= upto)).select("sig", F.col("sid").alias("b"), F.col("rank").alias("rb"), F.col("root").alias("root_b"))
-            pairs = left.join(heads, "sig").where("rank > rb AND root != root_b").select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b")).distinct()
+            start, upto = upto, max(1, upto * 16)
+            heads = left.where((F.col("rank") > start) & (F.col("rank") <= upto)).select("bucket", F.col("sid").alias("b"), F.col("rank").alias("rb"), F.col("root").alias("root_b"))
+            pairs = left.join(heads, "bucket").where("rank > rb AND root != root_b").select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b")).distinct()
             found = cut(_linked(pairs, sets, percent))
             links.append(found)
             own = roots.select(F.col("node"), "root")
             ends = found.join(own.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(own.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
             roots = cut(components(own.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(ends.select(F.coalesce("ra", "a").alias("u"), F.coalesce("rb", "b").alias("v")))).unionByName(own.where("node = root")).groupBy("node").agg(F.min("root").alias("root")))
-            ranked = left.select("sig", "sid", "rank")
+            ranked = left.select("bucket", "sid", "rank")
     plain = table.select("doc_id", "n_shingles", "sid")
     if roots is not None:
         plain = plain.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("sid", F.coalesce("root", "sid")).drop("root")
@@ -227,7 +290,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
     return result
 
 
-def _by_sig():
+def _in_bucket():
     from pyspark.sql import Window
 
-    return Window.partitionBy("sig").orderBy("sid")
+    return Window.partitionBy("bucket").orderBy("sid")

@@ -26,6 +26,8 @@ WHITE[[32, 9, 10, 11, 12, 13]] = True
 #: For terms: letters, digits and all bytes over 0x7F make words, the rest parts them.
 OTHER = np.ones(256, bool)
 OTHER[48:58] = OTHER[65:91] = OTHER[97:123] = OTHER[128:] = False
+#: Kinds of bytes for word and punctuation tokens: 0 parts tokens, and a token holds bytes of one kind only.
+KINDS = np.where(WHITE, 0, np.where(OTHER, 2, 1)).astype(np.uint8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,15 +83,14 @@ def groups(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
 def _hash_range(data: np.ndarray, starts_at: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and start positions of the words of one byte range; starts_at: positions where a document begins."""
     n = len(data)
-    inside = ~parts[data]
-    before = np.empty(n, bool)
-    before[0], before[1:] = False, inside[:-1]
-    before[starts_at] = False
-    first = np.flatnonzero(inside & ~before)
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = False, inside[1:]
-    after[starts_at[starts_at > 0] - 1] = False
-    last = np.flatnonzero(inside & ~after) + 1
+    kind = (~parts).view(np.uint8)[data] if parts.dtype == bool else parts[data]
+    turn = np.empty(n + 1, bool)  # where a run of one kind begins; documents part runs too
+    turn[0] = turn[n] = True
+    np.not_equal(kind[1:], kind[:-1], out=turn[1:n])
+    turn[starts_at] = True
+    inside = kind > 0
+    first = np.flatnonzero(turn[:n] & inside)
+    last = np.flatnonzero(turn[1:] & inside) + 1
     up, down = _powers(n + 1)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
@@ -113,8 +114,9 @@ def words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = WHITE) -> t
         a, end = int(offsets[d]), int(offsets[d + 1])
         while a < end:
             b = min(end, a + CHUNK)
-            while b < end and not parts[data[b]]:
-                stop = np.flatnonzero(parts[data[b : min(end, b + CHUNK)]])
+            gap = parts if parts.dtype == bool else parts == 0
+            while b < end and not gap[data[b]]:
+                stop = np.flatnonzero(gap[data[b : min(end, b + CHUNK)]])
                 b = b + int(stop[0]) if len(stop) else min(end, b + CHUNK)
             hashes, _ = _hash_range(data[a:b], np.zeros(1, np.int64), parts)
             out.append(hashes)
