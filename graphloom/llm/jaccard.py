@@ -4,6 +4,9 @@ Sets are dealt into size bands; for the pairs whose larger set lies in band j, s
 difference by k_j. PartEnum splits the hash domain into n1 parts and each of those into n2 pieces: at least one part
 differs in at most k2 elements, so some choice of n2-k2 of its pieces is equal in both sets. Each such choice is one
 signature, hence every similar pair shares one: candidates are complete, and an exact intersection follows.
+
+A bucket of one signature may hold a large group of near copies, so its pairs are never listed. Each set is compared with
+its bucket's leader; two others that the leader doesn't link already must share some of what they change in it.
 """
 
 from __future__ import annotations
@@ -157,64 +160,59 @@ WHOLE = 4096
 
 
 def _buckets(batches):
-    """Rows (sig, sid) in order -> the members of buckets with two sets or more: (bucket, sid, first, size).
+    """Rows (sig, sid) in order -> (bucket, sid), the members of buckets with two sets or more.
 
     Streams: it holds one batch and the members of an open bucket up to WHOLE. Signatures with the same members are
-    one bucket, named by a hash of them; first is the smallest member.
+    one bucket, named by a hash of them; a larger bucket is named by its signature and passed on as it comes.
     """
     seen: set[int] = set()
-    carry = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    big: tuple[int, int] | None = None  # (sig, first) of a bucket that is passed on unheld
-
-    def closed(sig, sid, end):
-        nonlocal carry, big
+    sig, sid, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    for batch in _and_end(batches):
+        if batch is not None:
+            sig, sid = np.concatenate([sig, batch.column(0).to_numpy()]), np.concatenate([sid, batch.column(1).to_numpy()])
         if not len(sig):
-            return None
-        new = np.empty(len(sig), bool)
-        new[0] = True
+            continue
+        new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
         sig, sid = sig[new], sid[new]
-        starts = np.flatnonzero(np.diff(sig, prepend=~sig[0]))
-        last = starts[-1]
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         out = []
-        if big and sig[0] == big[0]:  # more members of the open large bucket
-            stop = len(sig) if len(starts) == 1 else starts[1]
-            out.append((np.full(stop, big[0]), sid[:stop], np.full(stop, big[1]), np.full(stop, WHOLE)))
-            sig, sid, starts, last = sig[stop:], sid[stop:], starts[1:] - stop, last - stop
-            if not len(starts):
-                carry = (sig[:0], sid[:0])
-                return out
-        big = None
-        if not end:
-            if len(sig) - last > WHOLE:
-                big = (int(sig[last]), int(sid[last]))
-                n = len(sig) - last
-                out.append((np.full(n, big[0]), sid[last:], np.full(n, big[1]), np.full(n, WHOLE)))
-                carry = (sig[:0], sid[:0])
-            else:
-                carry = (sig[last:], sid[last:])
-            sig, sid, starts = sig[:last], sid[:last], starts[:-1]
+        if large is not None and sig[0] == large:
+            stop = starts[1] if len(starts) > 1 else len(sig)
+            out.append((sig[:stop], sid[:stop]))
+            sig, sid, starts = sig[stop:], sid[stop:], starts[1:] - stop
         if len(starts):
-            sizes = np.diff(np.append(starts, len(sig)))
-            many = sizes > 1
-            name = T.signed(T.mix(np.add.reduceat(T.mix(sid.view(np.uint64)), starts) + sizes.astype(np.uint64)))
-            for i in np.flatnonzero(many):
-                if (x := int(name[i])) in seen:
-                    many[i] = False
-                elif len(seen) < 1_000_000:
-                    seen.add(x)
-            keep = np.repeat(many, sizes)
-            out.append((np.repeat(name, sizes)[keep], sid[keep], np.repeat(sid[starts], sizes)[keep], np.repeat(sizes, sizes)[keep]))
-        return out
-
-    def batch_of(parts):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts]).astype(np.int64)) for k in range(4)], ["bucket", "sid", "first", "size"])
-
-    for batch in batches:
-        if parts := closed(np.concatenate([carry[0], batch.column(0).to_numpy()]), np.concatenate([carry[1], batch.column(1).to_numpy()]), False):
-            yield batch_of(parts)
-    if parts := closed(*carry, True):
-        yield batch_of(parts)
+            large = None
+            stop = len(sig) if batch is None else starts[-1]  # the last bucket may go on
+            whole = starts[starts < stop]
+            if len(whole):
+                sizes = np.diff(np.append(whole, stop))
+                many = sizes > 1
+                name = T.signed(T.mix(np.add.reduceat(T.mix(sid[:stop].view(np.uint64)), whole) + sizes.astype(np.uint64)))
+                for i in np.flatnonzero(many):
+                    if (x := int(name[i])) in seen:
+                        many[i] = False
+                    elif len(seen) < 1_000_000:
+                        seen.add(x)
+                keep = np.repeat(many, sizes)
+                out.append((np.repeat(name, sizes)[keep], sid[:stop][keep]))
+            sig, sid = sig[stop:], sid[stop:]
+            if len(sig) > WHOLE:
+                large = int(sig[0])
+                out.append((sig, sid))
+                sig, sid = sig[:0], sid[:0]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(2)], ["bucket", "sid"])
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def _similar(d, total, percent: int):
+    """Exact test by integers: a symmetric difference of d between sets of `total` elements together."""
+    return d * (100 + percent) <= total * (100 - percent)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,9 +220,40 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("sid").alias("a"), F.col("items").alias("ia"))
     right = sets.select(F.col("sid").alias("b"), F.col("items").alias("ib"))
     both = pairs.join(right, "b").join(left, "a")
-    both = both.where(F.least(F.size("ia"), F.size("ib")) * 100 >= F.greatest(F.size("ia"), F.size("ib")) * percent)
-    common = F.size(F.array_intersect("ia", "ib"))
-    return both.withColumn("common", common).where(F.col("common") * 100 >= (F.size("ia") + F.size("ib") - F.col("common")) * percent).select("a", "b")
+    total = F.size("ia") + F.size("ib")
+    return both.where(_similar(total - 2 * F.size(F.array_intersect("ia", "ib")), total, percent)).select("a", "b")
+
+
+def _stars(buckets: DataFrame) -> DataFrame:
+    """(first, sid, members): each bucket is led by its set that is in most buckets, and a set meets each of its leaders once."""
+    degree = buckets.groupBy("sid").agg(F.count("*").alias("degree"))
+    lead = buckets.join(degree, "sid").groupBy("bucket").agg(F.max_by("sid", F.struct("degree", "sid")).alias("first"))
+    pairs = buckets.select("bucket", "sid").join(lead, "bucket").where("sid != first").select("first", "sid").distinct()
+    return pairs.join(pairs.groupBy("first").agg(F.count("*").alias("members")), "first")
+
+
+def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(first, sid, n, d, linked, short, long): how each set differs from its leader, and what others it may link to must share.
+
+    Of two sets o, m of one leader f, not both linked to f, say o isn't. With D their differences to f, o and m link only
+    if D(o) and D(m) share t >= (|D(o)| + |D(m)| - k(o, m)) / 2 elements, and t >= 1. Under one order of elements (those
+    outside f first, as they are rarer) the first |D(o)| - t + 1 of the one and |D(m)| - t + 1 of the other then share
+    an element. `short` is the latter by a lower bound of t over all unlinked o (about half of D(m)), `long` the former
+    by one over all m. Only leaders with two members or more need them.
+    """
+    whole = stars.join(sets.select("sid", "items"), "sid").join(sets.select(F.col("sid").alias("first"), F.col("items").alias("base")), "first")
+    own = whole.select("first", "sid", "members", F.size("items").alias("n"), F.size("base").alias("nf"), F.array_except("items", "base").alias("added"), F.array_except("base", "items").alias("removed"))
+    diff = F.concat("added", "removed")
+    own = own.select("first", "sid", "members", "n", "nf", diff.alias("diff"), F.size(diff).alias("d"))
+    own = own.withColumn("linked", _similar(F.col("d"), F.col("n") + F.col("nf"), percent))
+    slack = F.ceil(F.greatest(F.lit(0), F.col("n") - F.col("nf")) * F.lit((100 - percent) / (100 + percent)) + F.lit(1e-9))
+    t_short = F.greatest(F.lit(1), F.ceil((F.col("d") + 1 - slack) / 2))
+    k_most = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * F.lit(100 - percent) / F.lit(100 + percent))
+    t_long = F.greatest(F.lit(1), F.col("d") - k_most)
+    several = F.col("members") > 1
+    short = F.when(several, F.slice("diff", 1, (F.col("d") - t_short + 1).cast("int")))
+    long_ = F.when(several & ~F.col("linked"), F.slice("diff", 1, (F.col("d") - t_long + 1).cast("int")))
+    return own.select("first", "sid", "n", "d", "linked", short.alias("short"), long_.alias("long"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_links: bool = False):
@@ -241,8 +270,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = spilled(only.mapInArrow(_describe(width, percent), "doc_id long, n_shingles long, sid long, signatures array<long>"), "partenum")
     rows = table.select(F.explode("signatures").alias("sig"), "sid").repartition("sig").sortWithinPartitions("sig", "sid")
-    found = rows.mapInArrow(_buckets, "bucket long, sid long, first long, size long")
-    buckets = spilled(found.groupBy("bucket", "sid").agg(F.min("first").alias("first"), F.max("size").alias("size")), "buckets")
+    found = rows.mapInArrow(_buckets, "bucket long, sid long")
+    buckets = spilled(found.distinct(), "buckets")
     links, roots = [], None
     if not buckets.isEmpty():
         wanted = cut(buckets.select("sid").distinct())
@@ -251,32 +280,19 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
         reps = reps.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi")
         text = only.join(F.broadcast(reps) if few else reps, "doc_id")
         sets = spilled(text.select("sid", "text").mapInArrow(_arrays(width), "sid long, items array<long>").dropDuplicates(["sid"]), "sets")
-        # First each set meets the one that leads its largest bucket; most groups are one component after that.
-        best = buckets.where("sid != first").groupBy("sid").agg(F.max_by("first", F.struct("size", F.col("first"))).alias("b")).select(F.col("sid").alias("a"), "b")
-        found = cut(_linked(best, sets, percent))
-        links.append(found)
-        roots = cut(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        upto, ranked = 0, None
-        while True:
-            # Then buckets that still span components: ever more of their members meet all members of other components.
-            labelled = (buckets.select("bucket", "sid") if ranked is None else ranked).join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-            open_ = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-            left = labelled.join(open_.select("bucket"), "bucket")
-            if ranked is None:
-                left = left.withColumn("rank", F.row_number().over(_in_bucket()))
-            left = cut(left.select("bucket", "sid", "rank", "root"))
-            most = left.agg(F.max("rank")).first()[0]
-            if most is None or upto >= most - 1:
-                break
-            start, upto = upto, max(1, upto * 16)
-            heads = left.where((F.col("rank") > start) & (F.col("rank") <= upto)).select("bucket", F.col("sid").alias("b"), F.col("rank").alias("rb"), F.col("root").alias("root_b"))
-            pairs = left.join(heads, "bucket").where("rank > rb AND root != root_b").select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b")).distinct()
-            found = cut(_linked(pairs, sets, percent))
-            links.append(found)
-            own = roots.select(F.col("node"), "root")
-            ends = found.join(own.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(own.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-            roots = cut(components(own.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(ends.select(F.coalesce("ra", "a").alias("u"), F.coalesce("rb", "b").alias("v")))).unionByName(own.where("node = root")).groupBy("node").agg(F.min("root").alias("root")))
-            ranked = left.select("bucket", "sid", "rank")
+        told = spilled(_differences(_stars(buckets), sets, percent), "differences")
+        direct = told.where("linked").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+        roots = cut(components(direct.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        rooted = told.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        one = rooted.where("short IS NOT NULL").select("first", F.explode("short").alias("item"), F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+        two = rooted.where("long IS NOT NULL").select("first", F.explode("long").alias("item"), F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+        near = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        pairs = two.join(one, (two["first"] == one["first"]) & (two["item"] == one["item"]) & near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        found = cut(_linked(pairs, sets, percent))
+        links = [direct, found]
+        if not found.isEmpty():
+            every = links[0].unionByName(found)
+            roots = cut(components(every.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     plain = table.select("doc_id", "n_shingles", "sid")
     if roots is not None:
         plain = plain.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("sid", F.coalesce("root", "sid")).drop("root")
@@ -288,9 +304,3 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
             every = x if every is None else every.unionByName(x)
         return result, every
     return result
-
-
-def _in_bucket():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("bucket").orderBy("sid")

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship
+from .common import cut, ship
 from .jaccard import jaccard_components
+from .language_id import identify
+from .lm_mixing import score_texts
+from .packing import pack
+from .quality import fit as fit_ratio
+from .quality import resample, target_sample
+from .toxicity import score_toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -13,10 +19,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Keep what is at most e**4 times likelier as raw text than as target text: junk lies far below, short clean texts lie around 0.
+QUALITY_CUTOFF = -4.0
+
+
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    ratio = fit_ratio(docs, cut(target_sample(read(spark, sf_dir, "labels"))))
+    return resample(docs, ratio, cutoff=QUALITY_CUTOFF)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op4_jaccard_join,)}
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_best_fit_packing, op4_jaccard_join, op7_context_mixing, op8_toxicity, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}

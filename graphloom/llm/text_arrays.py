@@ -98,6 +98,30 @@ def _hash_range(data: np.ndarray, starts_at: np.ndarray, parts: np.ndarray) -> t
     return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)), first
 
 
+def prefixes(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first k bytes of every word longer than k, for each k of lengths, and the document of each; for data of a few chunks."""
+    kind = ~parts[data]
+    begin = kind.copy()
+    begin[1:] &= ~kind[:-1]
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begin[heads] = kind[heads]
+    first = np.flatnonzero(begin)
+    doc = np.searchsorted(offsets, first, "right") - 1
+    value = np.concatenate([_VALUES[LOWER[data]], np.zeros(max(lengths) + 1, np.uint64)])
+    inside = np.concatenate([kind, np.zeros(max(lengths) + 1, bool)])
+    ends = offsets[doc + 1]
+    hashes, docs = [], []
+    total, alive = np.zeros(len(first), np.uint64), np.ones(len(first), bool)
+    for k in range(max(lengths)):
+        total = total * _BASE + value[first + k]
+        alive &= inside[first + k] & (first + k < ends)
+        if k + 1 in lengths:
+            longer = alive & inside[first + k + 1] & (first + k + 1 < ends)
+            hashes.append(mix(total[longer] + np.uint64(k + 1)))
+            docs.append(doc[longer])
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased (A-Z) word hashes of documents, in order, and how many words each document has."""
     total = len(offsets) - 1

@@ -1,7 +1,7 @@
 """Toxicity scoring by a factorization machine (Rendle, 2010) over hashed terms.
 
-Terms are runs of letters, digits and non-ASCII bytes, A-Z lowered, hashed into 2**24 buckets; a document's features are
-its distinct buckets. The score adds linear weights and all pairwise interactions of learned factors, so a pair such as
+Terms are runs of letters, digits and non-ASCII bytes, A-Z lowered, and their first bytes, hashed into 2**24 buckets; a
+document's features are its distinct buckets. The score adds linear weights and all pairwise interactions of learned factors, so a pair such as
 an insult with a group mention can weigh what neither term weighs alone.
 """
 
@@ -18,9 +18,11 @@ from . import text_arrays as T
 from .common import bounded_by_class, cut, id_bucket, need
 
 BITS = 24
+#: A term gives its first so many bytes as further terms, so that inflected forms share one.
+PREFIXES = (4, 5)
 #: Bounds of training: labelled documents of each class, and features kept.
-DOCS_PER_CLASS = 5_000
-FEATURES = 3_000
+DOCS_PER_CLASS = 4_000
+FEATURES = 2_000
 FACTORS = 8
 
 
@@ -44,7 +46,8 @@ class FactorizationMachine:
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes, counts = T.words(data, offsets, T.OTHER)
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64), np.repeat(np.arange(len(counts)), counts)
+    heads, doc = T.prefixes(data, offsets, T.OTHER, PREFIXES)
+    return (np.concatenate([hashes, heads]) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([np.repeat(np.arange(len(counts)), counts), doc])
 
 
 def _distinct(bucket: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +65,7 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays([label.slice(a, b - a), pa.ListArray.from_arrays(pa.array(edges), pa.array(bucket))], ["toxic", "terms"])
 
 
-def train(terms: list[np.ndarray], labels: np.ndarray, prior: float, features: int = FEATURES, factors: int = FACTORS, epochs: int = 40, seed: int = 3) -> FactorizationMachine:
+def train(terms: list[np.ndarray], labels: np.ndarray, prior: float, features: int = FEATURES, factors: int = FACTORS, epochs: int = 25, seed: int = 3) -> FactorizationMachine:
     """Adam on logistic loss with L2. Keeps the features that occur in 3 documents or more and depend most on the label, or on it together with another kept feature.
 
     prior: the share of label 1 outside the sample; the bias is set for it. Result does not depend on the row order if rows are sorted.
@@ -89,7 +92,7 @@ def train(terms: list[np.ndarray], labels: np.ndarray, prior: float, features: i
     w, v, b = np.zeros(len(keep), np.float32), rng.normal(0, 0.02, (len(keep), factors)).astype(np.float32), np.zeros(1, np.float32)
     params = [w, v, b]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step, decay = 0, (2e-3, 2e-3, 0)
+    step, decay = 0, (5e-4, 1e-3, 0)
     for epoch in range(epochs):
         order = rng.permutation(len(terms))
         for lo in range(0, len(order), 256):
