@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as T
-from .common import cut, need, spilled
+from .common import cut, forget, need, spilled
 from .components import components
 
 #: Width of a size band; the widest step at which a set meets at most two bands.
@@ -215,10 +215,17 @@ def _similar(d, total, percent: int):
     return d * (100 + percent) <= total * (100 - percent)
 
 
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets whose id is among ids(sid): what a join ships is only what it needs."""
+    ids = cut(ids.distinct())
+    return sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "sid", "left_semi")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs(a, b) whose sets pass the exact test; both joins are equi-joins on a set id."""
-    left = sets.select(F.col("sid").alias("a"), F.col("items").alias("ia"))
-    right = sets.select(F.col("sid").alias("b"), F.col("items").alias("ib"))
+    pairs = cut(pairs)
+    left = _only(sets, pairs.select(F.col("a").alias("sid"))).select(F.col("sid").alias("a"), F.col("items").alias("ia"))
+    right = _only(sets, pairs.select(F.col("b").alias("sid"))).select(F.col("sid").alias("b"), F.col("items").alias("ib"))
     both = pairs.join(right, "b").join(left, "a")
     total = F.size("ia") + F.size("ib")
     return both.where(_similar(total - 2 * F.size(F.array_intersect("ia", "ib")), total, percent)).select("a", "b")
@@ -241,7 +248,9 @@ def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     an element. `short` is the latter by a lower bound of t over all unlinked o (about half of D(m)), `long` the former
     by one over all m. Only leaders with two members or more need them.
     """
-    whole = stars.join(sets.select("sid", "items"), "sid").join(sets.select(F.col("sid").alias("first"), F.col("items").alias("base")), "first")
+    stars = cut(stars)
+    bases = _only(sets, stars.select(F.col("first").alias("sid"))).select(F.col("sid").alias("first"), F.col("items").alias("base"))
+    whole = stars.join(sets.select("sid", "items"), "sid").join(bases, "first")
     own = whole.select("first", "sid", "members", F.size("items").alias("n"), F.size("base").alias("nf"), F.array_except("items", "base").alias("added"), F.array_except("base", "items").alias("removed"))
     diff = F.concat("added", "removed")
     own = own.select("first", "sid", "members", "n", "nf", diff.alias("diff"), F.size(diff).alias("d"))
@@ -268,18 +277,22 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
     """
     need(docs, "doc_id", "text")
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = spilled(only.mapInArrow(_describe(width, percent), "doc_id long, n_shingles long, sid long, signatures array<long>"), "partenum")
-    rows = table.select(F.explode("signatures").alias("sig"), "sid").repartition("sig").sortWithinPartitions("sig", "sid")
+    wide = spilled(only.mapInArrow(_describe(width, percent), "doc_id long, n_shingles long, sid long, signatures array<long>"), "partenum")
+    rows = wide.select(F.explode("signatures").alias("sig"), "sid").repartition("sig").sortWithinPartitions("sig", "sid")
     found = rows.mapInArrow(_buckets, "bucket long, sid long")
     buckets = spilled(found.distinct(), "buckets")
+    table = spilled(wide.select("doc_id", "n_shingles", "sid", (F.size("signatures") > 0).alias("signed")), "classes")
+    forget(wide)  # the signatures are the largest scratch table, and done with
     links, roots = [], None
     if not buckets.isEmpty():
         wanted = cut(buckets.select("sid").distinct())
         few = wanted.count() <= BROADCAST_ROWS
-        reps = table.where("size(signatures) > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+        reps = table.where("signed").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
         reps = reps.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi")
         text = only.join(F.broadcast(reps) if few else reps, "doc_id")
-        sets = spilled(text.select("sid", "text").mapInArrow(_arrays(width), "sid long, items array<long>").dropDuplicates(["sid"]), "sets")
+        sets = spilled(text.select("sid", "text").mapInArrow(_arrays(width), "sid long, items array<long>"), "sets")
+        if sets.count() > wanted.count():  # repeated ids
+            sets = spilled(sets.dropDuplicates(["sid"]), "sets")
         told = spilled(_differences(_stars(buckets), sets, percent), "differences")
         direct = told.where("linked").select(F.col("first").alias("a"), F.col("sid").alias("b"))
         roots = cut(components(direct.select(F.col("a").alias("u"), F.col("b").alias("v"))))
