@@ -61,7 +61,8 @@ def fingerprint(record: Column) -> Column:
     paths = F.json_object_keys(record)
     for name in LISTS:
         first = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
-        paths = F.concat(paths, F.coalesce(F.transform(first, lambda k, n=name: F.concat(F.lit(f"{n}[]."), k)), F.array().cast("array<string>")))
+        inner = F.filter(F.split(F.concat(F.lit(f"{name}[]."), F.array_join(first, f"\n{name}[].")), "\n"), lambda k: k != "")
+        paths = F.concat(paths, F.coalesce(inner, F.array().cast("array<string>")))
     return F.xxhash64(F.array_join(F.array_sort(paths), "\n"))
 
 
@@ -75,7 +76,7 @@ def canonical_turns(record: Column, mark: Column) -> tuple[Column, Column]:
     for m in MAPPINGS:
         if m.messages:
             parsed = F.from_json(record, f"`{m.messages}` array<struct<`{m.role}`:string,`{m.text}`:string>>")[m.messages]
-            made = F.transform(parsed, lambda x, m=m: F.struct(_role(x[m.role], m.aliases).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text")))
+            made = F.transform(parsed, _turn(m))
         else:
             parsed = F.from_json(record, ", ".join(f"`{k}` string" for k in m.keys))
             made = F.array(*(F.struct(F.lit(r).alias("role"), _joined(parsed, fields).alias("text")) for r, *fields in m.fixed))
@@ -84,6 +85,10 @@ def canonical_turns(record: Column, mark: Column) -> tuple[Column, Column]:
     return name, turns
 
 
+def _turn(m: Mapping):
+    return lambda x: F.struct(_role(x[m.role], m.aliases).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text"))
+
+
 def _joined(parsed: Column, fields: list[str]) -> Column:
     values = [F.coalesce(parsed[f], F.lit("")) for f in fields]
     return values[0] if len(values) == 1 else F.array_join(F.filter(F.array(*values), lambda x: x != ""), "\n\n")

@@ -95,18 +95,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, conten
     ids = runs.select("doc_id").distinct()
     few = ids.count() <= 1_000_000
     text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").where("text IS NOT NULL").distinct()
-    text = text.select(F.col("doc_id").alias("d"), template_words(F.col("text")).alias("words"), slot_values(F.col("text")).alias("values"))
+    text = text.select(F.col("doc_id").alias("d"), template_words(F.col("text")).alias("doc_words"), slot_values(F.col("text")).alias("values"))
     sides = items.select(F.col("item_id").alias("i"), "item_words", slot_values(F.col("item_text")).alias("item_values"))
     both = runs.join(text, runs["doc_id"].eqNullSafe(text["d"])).join(F.broadcast(sides) if few else sides, runs["item_id"].eqNullSafe(sides["i"]))
     start, stop = F.col("lo") + F.col("shift"), F.col("hi") + F.col("shift")
     same, equal = F.lit(True), F.lit(True)
     for k, mark in enumerate((NUMBER, UNIT, NAME)):
-        theirs, ours = _pattern(F.col("item_values")[k], F.col("item_words"), F.col("lo"), F.col("hi"), mark), _pattern(F.col("values")[k], F.col("words"), start, stop, mark)
+        theirs, ours = _pattern(F.col("item_values")[k], F.col("item_words"), F.col("lo"), F.col("hi"), mark), _pattern(F.col("values")[k], F.col("doc_words"), start, stop, mark)
         same = same & (theirs == ours)
         cutout = lambda v, w, a, b, mark=mark: F.slice(v, F.size(F.filter(F.slice(w, 1, a), lambda x: x == mark)) + 1, F.size(F.filter(F.slice(w, a + 1, b - a), lambda x: x == mark)))
-        equal = equal & (cutout(F.col("item_values")[k], F.col("item_words"), F.col("lo"), F.col("hi")) == cutout(F.col("values")[k], F.col("words"), start, stop))
+        equal = equal & (cutout(F.col("item_values")[k], F.col("item_words"), F.col("lo"), F.col("hi")) == cutout(F.col("values")[k], F.col("doc_words"), start, stop))
     # between a run's windows words may differ: then its slots are those of the benchmark's windows alone
-    whole = F.slice("words", start + 1, stop - start) == F.slice("item_words", F.col("lo") + 1, F.col("hi") - F.col("lo"))
+    whole = F.slice("doc_words", start + 1, stop - start) == F.slice("item_words", F.col("lo") + 1, F.col("hi") - F.col("lo"))
     judged = both.select("doc_id", "item_id", "windows", (F.col("hi") - F.col("lo")).alias("words"), placeholders(F.slice("item_words", F.col("lo") + 1, F.col("hi") - F.col("lo"))).alias("slots"), (~whole | same).alias("consistent"), (whole & equal).alias("exact"))
     best = judged.where("consistent").groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max(F.struct("words", "slots", "exact")).alias("b"))
     return best.select("doc_id", "item_id", "windows", F.col("b.words").cast("long").alias("words"), F.col("b.slots").cast("long").alias("slots"), F.col("b.exact").alias("exact"))

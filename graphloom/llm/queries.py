@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, warc
 from .common import cut, ship
+from .decontaminate import find_leaks
 from .jaccard import jaccard_components
 from .language_id import identify
 from .lm_mixing import score_texts
@@ -37,6 +40,17 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_of(read(spark, sf_dir, "pages"))).drop("headers", "status")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_records(chat.records_of(rows.unionByName(extra))))
+
+
 def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read(spark, sf_dir, "documents"))
 
@@ -45,10 +59,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_best_fit_packing, op4_jaccard_join, op7_context_mixing, op8_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_best_fit_packing, op4_jaccard_join, op5_warc_derivatives, op6_chat_format, op7_context_mixing, op8_toxicity, op9_template_leaks, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
