@@ -5,10 +5,66 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint_dir
+from graphloom.llm.common import checkpoint_dir, cut, ship
+from graphloom.llm.decontaminate import find_leaks
+from graphloom.llm.jaccard import jaccard_components
+from graphloom.llm.language_id import fit as fit_language
+from graphloom.llm.language_id import keep_identified
+from graphloom.llm.packing import pack
+from graphloom.llm.quality import fit as fit_ratio
+from graphloom.llm.quality import keep_selected, target_sample
+from graphloom.llm.queries import QUALITY_CUTOFF
 
-STAGES: list = []
+#: A document without a language of at least this score is rejected.
+LANGUAGE_SCORE = 0.4
+#: Near duplicates: word shingles and similarity in per cent.
+SHINGLE, SIMILARITY = 5, 80
+#: Ids to drop are broadcast up to this many rows (8 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among ids(doc_id); a null doc_id stays."""
+    ids = cut(ids.select("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with letters whose language the byte network tells."""
+    ship(spark)
+    return keep_identified(docs, fit_language(docs), LANGUAGE_SCORE)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the k documents of the largest perturbed log weights; k is how many are not plainly likelier as raw text."""
+    ship(spark)
+    good = cut(target_sample(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return keep_selected(docs, fit_ratio(docs, good), cutoff=QUALITY_CUTOFF)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one of the smallest id stays."""
+    ship(spark)
+    found = jaccard_components(docs, SHINGLE, SIMILARITY)
+    return without(docs, found.where("doc_id != component_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item's words under its template."""
+    ship(spark)
+    return without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("doc_id IS NOT NULL"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    ship(spark)
+    return pack(docs)
+
+
+STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
+#: Models and tokens are not SQL: stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import text_arrays as T
 from .common import bounded_by_class, id_bucket, need
@@ -159,14 +160,14 @@ def fit(docs: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> ByteConvNet |
     return train(windows, np.array([place[x] for x, _ in found]), names)
 
 
-def _predict(net: ByteConvNet | None):
+def _predict(net: ByteConvNet | None, drop: tuple[str, ...], added: tuple[str, str]):
     def run(batches):
         tables = net.tables() if net else []
         for batch in batches:
             data, offsets = T.buffer_of(T.column(batch, "text"))
             n = len(offsets) - 1
             names, score = [UNKNOWN] * n, np.zeros(n)
-            letters = batch.column(batch.schema.get_field_index("has_letter")).to_numpy(zero_copy_only=False)
+            letters = batch.column(batch.schema.get_field_index("_has_letter")).to_numpy(zero_copy_only=False)
             if net and len(data):
                 start, length, doc = cut_windows(data, offsets)
                 total = np.zeros((n, len(net.labels)))
@@ -179,11 +180,16 @@ def _predict(net: ByteConvNet | None):
                 best = total.argmax(1)
                 for i in np.flatnonzero(letters):
                     names[i], score[i] = net.labels[best[i]], min(1.0, total[i, best[i]])
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names if c not in ("text", "has_letter")), pa.array(names), pa.array(score)], [*(c for c in batch.schema.names if c not in ("text", "has_letter")), "lang_pred", "score"])
+            own = [i for i, c in enumerate(batch.schema.names) if c not in drop]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(names, pa.string()), pa.array(score)], [*(batch.schema.names[i] for i in own), *added])
 
     return run
 
 
+def _has_letter():
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_has_letter")
+
+
 def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     """(doc_id, text) -> (doc_id, held_out, lang_pred, score), one row per input row.
 
@@ -191,8 +197,16 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     to the first label in order. A null doc_id is kept (held_out false). Other columns are ignored.
     """
     need(docs, "doc_id", "text")
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-    return ready.mapInArrow(_predict(net), "doc_id long, held_out boolean, lang_pred string, score double")
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text", _has_letter())
+    return ready.mapInArrow(_predict(net, ("text", "_has_letter"), ("lang_pred", "score")), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, net: ByteConvNet | None, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose language is predicted with a score of at least `least`: one pass, no join."""
+    need(docs, "text")
+    schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())])
+    tagged = docs.select("*", _has_letter()).mapInArrow(_predict(net, ("_has_letter",), ("_lang_pred", "_lang_score")), schema)
+    return tagged.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*docs.columns)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from .common import bounded_by_class, cut, need
 BUCKETS = 1 << 14
 #: Pseudo-count of the target model, spread as raw text is: buckets that a small target sample says little about stay near a ratio of 1.
 PRIOR = 8.0 * BUCKETS
+#: Standard errors by which negative log ratios are raised, up to 0; words come in bursts, so few counts say less than they seem to.
+DOUBT = 2.0
 #: Bound of the labelled target sample (documents); counts of raw text cover every document.
 TARGET_DOCS = 20_000
 
@@ -62,7 +65,9 @@ def fit(docs: DataFrame, good: DataFrame) -> np.ndarray:
     if not total[1].any():
         return np.zeros(BUCKETS)
     raw = (total[0] + 0.5) / (total[0] + 0.5).sum()
-    return np.log((total[1] + PRIOR * raw) / (total[1].sum() + PRIOR)) - np.log(raw)
+    ratio = np.log((total[1] + PRIOR * raw) / (total[1].sum() + PRIOR)) - np.log(raw)
+    error = np.sqrt(1 / (total[1] + PRIOR * raw) + 1 / (total[0] + 0.5))
+    return np.where(ratio < 0, np.minimum(0, ratio + DOUBT * error), ratio)  # what chance may explain doesn't count against a text
 
 
 def target_sample(labels: DataFrame, bound: int = TARGET_DOCS) -> DataFrame:
@@ -71,22 +76,34 @@ def target_sample(labels: DataFrame, bound: int = TARGET_DOCS) -> DataFrame:
     return bounded_by_class(good, "doc_id", "quality", bound).select("doc_id")
 
 
+def _weigh(batch: pa.RecordBatch, ratio: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, log weights, Gumbel keys, and the keys as longs in the same order, of a batch's documents."""
+    n = batch.num_rows
+    weight, terms, content = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.uint64)
+    for a, b, bucket, doc in _chunks(batch):
+        weight[a:b] = np.bincount(doc, ratio[bucket], b - a)
+        terms[a:b] = np.bincount(doc, minlength=b - a)
+        np.add.at(content[a:b], doc, T.mix(bucket.astype(np.uint64)))
+    own = pc.fill_null(batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), -1).to_numpy().view(np.uint64)
+    unit = ((T.mix(T.mix(own + np.uint64(seed)) + content) >> np.uint64(12)).astype(np.float64) + 0.5) / 2**52
+    key = weight - np.log(-np.log(unit))
+    bits = key.view(np.int64)
+    return terms, weight, key, np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
+
+
 def _score(ratio: np.ndarray, seed: int):
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            weight, terms, content = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.uint64)
-            for a, b, bucket, doc in _chunks(batch):
-                weight[a:b] = np.bincount(doc, ratio[bucket], b - a)
-                terms[a:b] = np.bincount(doc, minlength=b - a)
-                np.add.at(content[a:b], doc, T.mix(bucket.astype(np.uint64)))
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            own = ids.fill_null(-1).to_numpy().astype(np.int64).view(np.uint64)
-            unit = ((T.mix(T.mix(own + np.uint64(seed)) + content) >> np.uint64(12)).astype(np.float64) + 0.5) / 2**52
-            key = weight - np.log(-np.log(unit))
-            bits = key.view(np.int64)
-            order = np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)  # longs in the order of the doubles
-            yield pa.RecordBatch.from_arrays([ids, pa.array(terms), pa.array(weight), pa.array(key), pa.array(order)], ["doc_id", "n_terms", "log_weight", "gumbel_key", "bits"])
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, _weigh(batch, ratio, seed))], ["doc_id", "n_terms", "log_weight", "gumbel_key", "bits"])
+
+    return run
+
+
+def _keep(ratio: np.ndarray, seed: int, least: int):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_weigh(batch, ratio, seed)[3] >= least))
 
     return run
 
@@ -117,13 +134,23 @@ def resample(docs: DataFrame, ratio: np.ndarray, k: int | None = None, cutoff: f
     rows) are selected together; k of 0 selects none. A null doc_id is kept. Other columns are ignored.
     """
     need(docs, "doc_id", "text")
+    scored, least = _threshold(docs, ratio, k, cutoff, seed)
+    return scored.select("doc_id", "n_terms", "log_weight", "gumbel_key", (F.col("bits") >= F.lit(least)).alias("selected"))
+
+
+def _threshold(docs: DataFrame, ratio: np.ndarray, k: int | None, cutoff: float, seed: int) -> tuple[DataFrame, int]:
+    """Scores by row, cut, and the smallest long key that is selected."""
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = cut(only.mapInArrow(_score(ratio, seed), "doc_id long, n_terms long, log_weight double, gumbel_key double, bits long"))
     total, above = scored.agg(F.count("*"), F.count(F.when(F.col("log_weight") >= cutoff, 1))).first()
     k = above if k is None else k
-    least = None if k >= total or k <= 0 else kth_largest(scored, "bits", k)
-    chosen = F.lit(k > 0) if least is None else F.col("bits") >= F.lit(least)
-    return scored.select("doc_id", "n_terms", "log_weight", "gumbel_key", chosen.alias("selected"))
+    return scored, 2**63 - 1 if k <= 0 else -(2**63) if k >= total else kth_largest(scored, "bits", k)
+
+
+def keep_selected(docs: DataFrame, ratio: np.ndarray, k: int | None = None, cutoff: float = 0.0, seed: int = 1) -> DataFrame:
+    """The rows of docs, all columns, that resample() selects; they are weighed once more, so that no text is shuffled."""
+    need(docs, "doc_id", "text")
+    return docs.mapInArrow(_keep(ratio, seed, _threshold(docs, ratio, k, cutoff, seed)[1]), docs.schema)
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from .packing import pack
 from .quality import fit as fit_ratio
 from .quality import resample, target_sample
 from .toxicity import score_toxicity
+from .webp import store_texts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,8 +23,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Keep what is at most e**4 times likelier as raw text than as target text: junk lies far below, short clean texts lie around 0.
-QUALITY_CUTOFF = -4.0
+#: Keep what is at most e**2 times likelier as raw text than as target text: junk lies far below, short clean texts lie around 0.
+QUALITY_CUTOFF = -2.0
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_texts(read(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -67,6 +72,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_best_fit_packing, op4_jaccard_join, op5_warc_derivatives, op6_chat_format, op7_context_mixing, op8_toxicity, op9_template_leaks, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_best_fit_packing, op3_lossless_webp, op4_jaccard_join, op5_warc_derivatives, op6_chat_format, op7_context_mixing, op8_toxicity, op9_template_leaks, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
