@@ -297,10 +297,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
         direct = told.where("linked").select(F.col("first").alias("a"), F.col("sid").alias("b"))
         roots = cut(components(direct.select(F.col("a").alias("u"), F.col("b").alias("v"))))
         rooted = told.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        one = rooted.where("short IS NOT NULL").select("first", F.explode("short").alias("item"), F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-        two = rooted.where("long IS NOT NULL").select("first", F.explode("long").alias("item"), F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+        one = rooted.where("short IS NOT NULL").select("first", F.explode("short").alias("item"), F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("d").alias("db"), (F.col("d") - F.size("short")).alias("after_b"))
+        two = rooted.where("long IS NOT NULL").select("first", F.explode("long").alias("item"), F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("d").alias("da"), (F.col("d") - F.size("long")).alias("after_a"))
         near = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        pairs = two.join(one, (two["first"] == one["first"]) & (two["item"] == one["item"]) & near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        shared = two.join(one, (two["first"] == one["first"]) & (two["item"] == one["item"]) & near)
+        # All shared elements up to where one list ends are counted, so at most what follows that end can be missing.
+        least = F.ceil((F.col("da") + F.col("db") - F.floor((F.col("na") + F.col("nb")) * F.lit(100 - percent) / F.lit(100 + percent))) / 2)
+        enough = shared.groupBy(two["first"], "a", "b").agg(F.count("*").alias("common"), F.max(least - F.greatest("after_a", "after_b")).alias("least")).where("common >= least")
+        pairs = enough.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         found = cut(_linked(pairs, sets, percent))
         links = [direct, found]
         if not found.isEmpty():
