@@ -36,7 +36,7 @@ STREAM_BYTES = 600_000
 STREAM_DOC_BYTES = 4_000
 #: Entries of a worker's table of contexts.
 TABLE_BITS = 20
-#: Word counts are looked up in memory up to this many distinct words (16 bytes each); beyond it by a join.
+#: Words whose counts are looked up in memory, the most frequent (16 bytes each); others are looked up by a join.
 LOOKUP_WORDS = 3_000_000
 
 
@@ -215,14 +215,14 @@ def _gather(batches):
 
     for batch in batches:
         data, offsets = T.buffer_of(T.column(batch, "text"))
-        for a, b in T.groups(offsets):
+        for a, b in T.groups(offsets, 1 << 20):
             own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             words.append(np.unique(T.words(own, at)[0], return_counts=True))
             pending += len(words[-1][0])
-            if pending > 2_000_000:
+            if pending > 800_000:
                 words[:] = [summed()]
                 pending = len(words[0][0])
-                if pending > 1_000_000:  # more words than a task should hold: pass them on
+                if pending > 400_000:  # more words than a task should hold: pass them on
                     yield from _rows(1, *words.pop())
                     pending = 0
             key, _ = grams(own, at)
@@ -343,39 +343,64 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def _score(shared, name: str, lookup):
+@dataclass
+class Words:
+    """Values of the words that occur at least `least` times in training text, by sorted hash; what other values there are.
+
+    Where least is 1 a word that isn't here is new. Where it is 2 such a word occurs once if its document was learned
+    from; else, and for a larger least, it must be looked up in the table of counts.
+    """
+
+    hashes: np.ndarray
+    values: np.ndarray
+    least: int
+    unseen: float
+    once: float
+    end: float
+    end_known: int
+
+
+def _score(shared, name: str):
     def run(batches):
+        from pyspark import TaskContext
+
         if name not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[name] = Scorer(shared.value[0])
-        scorer = _SCORERS[name]
-        known = shared.value[1] if lookup else None
+        scorer, known = _SCORERS[name], shared.value[1]
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, offsets = T.buffer_of(T.column(batch, "text"))
+            held = batch.column(batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
             n = batch.num_rows
             score, tokens, seen, base = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-            lists: list[np.ndarray] = []
-            for a, b in T.groups(offsets):
+            rare, edges = [np.zeros(0, np.uint64)], np.zeros(n, np.int64)
+            for a, b in T.groups(offsets, 1 << 20):
                 own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 hashes, counts = T.words(own, at)
                 tokens[a:b] = counts + 1
-                if known:
-                    doc = np.repeat(np.arange(b - a), counts)
-                    index = np.minimum(np.searchsorted(known[0], hashes), len(known[0]) - 1)
-                    hit = known[0][index] == hashes if len(known[0]) else np.zeros(len(hashes), bool)
-                    value = np.where(hit, known[1][index] if len(known[0]) else 0.0, known[2])
-                    seen[a:b] = np.bincount(doc, hit, b - a).astype(np.int64) + known[4]
-                    base[a:b] = np.bincount(doc, value, b - a) + known[3]
+                doc = np.repeat(np.arange(b - a), counts)
+                value, hit = np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+                if len(known.hashes):
+                    index = np.minimum(np.searchsorted(known.hashes, hashes), len(known.hashes) - 1)
+                    hit = known.hashes[index] == hashes
+                    value = np.where(hit, known.values[index], 0.0)
+                if known.least == 1:
+                    value[~hit] = known.unseen
                 else:
-                    lists += np.split(T.signed(hashes), np.cumsum(counts)[:-1])
+                    once = ~hit & ~held[a:b][doc] if known.least == 2 else np.zeros(len(hashes), bool)
+                    value[once] = known.once
+                    hit |= once
+                    rare.append(hashes[~hit])
+                    edges[a:b] = np.bincount(doc[~hit], minlength=b - a)
+                seen[a:b] = np.bincount(doc, hit, b - a).astype(np.int64) + known.end_known
+                base[a:b] = np.bincount(doc, value, b - a) + known.end
                 key, doc = grams(own, at)
                 score[a:b] = np.bincount(doc, scorer(key), b - a)
-            arrays = [*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out")), pa.array(tokens), pa.array(np.diff(offsets)), pa.array(score)]
-            names = ["doc_id", "held_out", "n_tokens", "n_bytes", "score"]
-            if known:
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(seen), pa.array(base)], [*names, "n_known", "base_score"])
-            else:
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(lists, pa.list_(pa.int64()))], [*names, "words"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(edges)]).astype(np.int32)), pa.array(T.signed(np.concatenate(rare))))
+            arrays = [*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out")), *map(pa.array, (tokens, np.diff(offsets), score, seen, base)), lists, pa.array(np.arange(row, row + n))]
+            row += n
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_bytes", "score", "n_known", "base_score", "rare", "row"])
 
     return run
 
@@ -386,32 +411,35 @@ def score_texts(docs: DataFrame, lookup_words: int = LOOKUP_WORDS) -> DataFrame:
     held_out: crc32 of the id modulo 10 is 0; the other rows are learned from (a null id counts as one of them). Tokens:
     words between bytes 0x20 and 0x09-0x0D, A-Z lowered, then one end. base_score: add-0.1 unigram log10 probability;
     score: the mixture's, of all bytes and the end. Null and empty texts consist of their end. Repeated rows score
-    alike. Other columns are ignored; an empty table gives no rows. The word counts are broadcast up to lookup_words
-    of them; beyond that, documents' words join them, with one result.
+    alike. Other columns are ignored; an empty table gives no rows. Of the word counts at most lookup_words are
+    broadcast, the most frequent; rarer words of documents join the others, with one result.
     """
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
     mixture, words, number, distinct = fit(docs)
     ends = docs_count(docs.where(F.coalesce(id_bucket("doc_id", 10) != 0, F.lit(True))))
     below = number + 0.1 * (distinct + 1)
-    floor = float(np.log10(0.1 / below))
-    end_value = float(np.log10((ends + 0.1) / below))
-    lookup = distinct <= lookup_words
-    known = None
-    if lookup:
-        table = words.toArrow()
-        hashes = table["word"].to_numpy().view(np.uint64)
-        order = np.argsort(hashes)
-        known = (hashes[order], np.log10((table["n"].to_numpy()[order] + 0.1) / below), floor, end_value, int(ends > 0))
+    log = lambda n: np.log10((n + 0.1) / below)
+    # The smallest power of two such that the words that occur so often fit into memory.
+    levels = sorted(((r["e"], r["k"]) for r in words.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    least, held = 1 << (levels[0][0] + 1 if levels else 0), 0
+    for e, k in levels:
+        if held + k > lookup_words:
+            break
+        held, least = held + k, 1 << e
+    least = 1 if held == distinct - (ends > 0) else least
+    table = words.where(F.col("n") >= least).toArrow()
+    hashes = table["word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    known = Words(hashes[order], log(table["n"].to_numpy()[order]), least, float(log(0)), float(log(1)), float(log(ends)), int(ends > 0))
     shared = spark.sparkContext.broadcast((mixture, known))
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(id_bucket("doc_id", 10) == 0, F.lit(False)).alias("held_out"), "text")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, "
-    scored = ready.mapInArrow(_score(shared, uuid.uuid4().hex, lookup), schema + ("n_known long, base_score double" if lookup else "words array<long>"))
-    if not lookup:
-        row = cut(scored.withColumn("row", F.monotonically_increasing_id()))
-        pairs = row.select("row", F.explode("words").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times")).join(words, "word", "left")
+    scored = ready.mapInArrow(_score(shared, uuid.uuid4().hex), "doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, n_known long, base_score double, rare array<long>, row long")
+    if least > 1:
+        scored = spilled(scored, "scored")
+        pairs = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times")).join(words.where(F.col("n") < least), "word", "left")
         value = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(below)) * F.col("times")
         sums = pairs.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(value).alias("v"))
-        scored = row.join(sums, "row", "left").withColumn("n_known", F.coalesce("k", F.lit(0)) + int(ends > 0)).withColumn("base_score", F.coalesce("v", F.lit(0.0)) + end_value)
+        scored = scored.drop("rare").join(sums, "row", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("k", F.lit(0)), "base_score": F.col("base_score") + F.coalesce("v", F.lit(0.0))})
     bits = -F.col("score") / F.lit(float(np.log10(2))) / F.greatest(F.col("n_bytes"), F.lit(1))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(number).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
