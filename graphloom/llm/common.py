@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whole texts go to Python workers in batches of at most so many rows and bytes; the defaults would hold tens of megabytes of text on either side.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; where it is unset (tests), an own temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,7 +30,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, where neither PYTHONPATH nor the working folder has it: once for each context, through Spark's own file server."""
+    """Bounds Arrow batches, and makes this package importable in Python workers, where neither PYTHONPATH nor the working folder has it: once for each context, through Spark's own file server."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if int(spark.conf.get(key, "0") or 0) > most or not spark.conf.get(key, ""):
+            spark.conf.set(key, str(most))
     package = Path(__file__).resolve().parents[1]
     root, sc = str(package.parent), spark.sparkContext
     if root in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == root or getattr(sc, "_graphloom_shipped", False):

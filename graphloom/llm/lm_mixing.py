@@ -24,7 +24,7 @@ from . import text_arrays as T
 from .common import cut, id_bucket, need, spilled
 
 #: Bits of the slot number of each order's predictors (0: no context).
-SLOT_BITS = (9, 16, 18, 19, 20, 20)
+SLOT_BITS = (9, 16, 18, 20, 21, 21)
 ORDERS = len(SLOT_BITS)
 BASES = np.cumsum([0, *(1 << b for b in SLOT_BITS)])
 #: This byte ends a text; UTF-8 has no such byte.
@@ -34,8 +34,9 @@ MAP_STEPS = 33
 #: Bound of the training stream for mixer and map, in bytes; at most so many bytes of one document.
 STREAM_BYTES = 600_000
 STREAM_DOC_BYTES = 4_000
-#: Entries of a worker's table of contexts.
+#: Bits of the number of entries of a worker's table of contexts, for counting and for scoring.
 TABLE_BITS = 20
+SCORE_BITS = 22
 #: Words whose counts are looked up in memory, the most frequent (16 bytes each); others are looked up by a join.
 LOOKUP_WORDS = 3_000_000
 
@@ -126,7 +127,7 @@ class Mixture:
             if own is not None:
                 n0 = np.maximum(0, n0 - (own == 0))
                 n1 = np.maximum(0, n1 - own)
-            x[:, order] = np.log((n1 + 0.08) / (n0 + 0.08))
+            x[:, order] = np.log((n1 + 0.4) / (n0 + 0.4))
             seen.append(n0 + n1)
         level = lambda n: np.minimum(4, np.log2(n + 1) / 2.5).astype(np.int64)
         return np.clip(x, -12, 12), (level(seen[5]) * 5 + level(seen[4])) * 3 + np.minimum(2, np.log2(seen[3] + 1) / 4).astype(np.int64)
@@ -159,7 +160,7 @@ class Mixture:
             total[live] += np.log10(np.where(bit == 1, p, 1 - p))
         return total
 
-    def learn(self, key: np.ndarray, batch: int = 256, rate: float = 0.02) -> None:
+    def learn(self, key: np.ndarray, batch: int = 256, rate: float = 0.0006) -> None:
         """Online: for each few grams of the stream in turn, predict, then move weights and map towards the bits that came."""
         lengths, nodes, bits = self.tree
         self.refine = np.tile(1 / (1 + np.exp(-np.linspace(-14, 14, MAP_STEPS))), (256, 1))
@@ -287,11 +288,13 @@ def fit(docs: DataFrame) -> tuple[Mixture, DataFrame, int, int]:
     tree = huffman(total)
     rows = training.select("text").mapInArrow(_gather, "kind long, id long, n long")
     sums = spilled(rows.groupBy("kind", "id").agg(F.sum("n").alias("n")), "counts")
-    counts = np.zeros((2, BASES[-1]), np.uint32)
+    counts = np.zeros((2, BASES[-1]), np.uint16)
     seen = sums.where("kind = 0").select("id", "n").mapInArrow(_predictors(tree), "slot long, n long, m long")
-    found = seen.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toArrow()
+    found = seen.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    found = found.select(F.col("slot").cast("int"), *(F.least(c, F.lit(2**31 - 1)).cast("int").alias(c) for c in "nm")).toArrow()
     for side, name in enumerate("nm"):
-        counts[side][found["slot"].to_numpy()] = np.minimum(found[name].to_numpy(), 2**31)
+        # halved until they fit, both alike: only their ratio and rough size matter
+        counts[side][found["slot"].to_numpy()] = found[name].to_numpy() >> np.maximum(0, np.ceil(np.log2(np.maximum(1, np.maximum(found["n"].to_numpy(), found["m"].to_numpy()) / 65535.0)))).astype(np.int32)
     words = sums.where("kind = 1").select(F.col("id").alias("word"), "n")
     number, distinct = words.agg(F.sum("n"), F.count("*")).first()
     mixture = Mixture(counts, tree)
@@ -322,8 +325,8 @@ class Scorer:
     """log10 of grams, by way of a table of those met before."""
 
     def __init__(self, mixture: Mixture):
-        self.mixture, self.table = mixture, Contexts()
-        self.values = np.zeros(len(self.table.keys))
+        self.mixture, self.table = mixture, Contexts(SCORE_BITS)
+        self.values = np.zeros(len(self.table.keys), np.float32)
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
         place, hit = self.table.place(key)
@@ -358,6 +361,22 @@ class Words:
     once: float
     end: float
     end_known: int
+    starts: np.ndarray | None = None
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index and whether it is there, of each word: hashes are spread evenly, so those of equal leading bits are few and are compared in turn."""
+        if self.starts is None:
+            self.starts = np.searchsorted(self.hashes, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+        at = self.starts[(words >> np.uint64(44)).astype(np.int64)]
+        hit = np.zeros(len(words), bool)
+        left = np.flatnonzero(at < len(self.hashes))
+        while len(left):
+            there = self.hashes[at[left]]
+            hit[left[there == words[left]]] = True
+            left = left[there < words[left]]
+            at[left] += 1
+            left = left[at[left] < len(self.hashes)]
+        return np.minimum(at, len(self.hashes) - 1), hit
 
 
 def _score(shared, name: str):
@@ -382,8 +401,7 @@ def _score(shared, name: str):
                 doc = np.repeat(np.arange(b - a), counts)
                 value, hit = np.zeros(len(hashes)), np.zeros(len(hashes), bool)
                 if len(known.hashes):
-                    index = np.minimum(np.searchsorted(known.hashes, hashes), len(known.hashes) - 1)
-                    hit = known.hashes[index] == hashes
+                    index, hit = known.find(hashes)
                     value = np.where(hit, known.values[index], 0.0)
                 if known.least == 1:
                     value[~hit] = known.unseen
