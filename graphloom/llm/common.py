@@ -31,9 +31,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def ship(spark: SparkSession) -> None:
     """Bounds Arrow batches, and makes this package importable in Python workers, where neither PYTHONPATH nor the working folder has it: once for each context, through Spark's own file server."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if int(spark.conf.get(key, "0") or 0) > most or not spark.conf.get(key, ""):
-            spark.conf.set(key, str(most))
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     package = Path(__file__).resolve().parents[1]
     root, sc = str(package.parent), spark.sparkContext
     if root in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == root or getattr(sc, "_graphloom_shipped", False):

@@ -240,29 +240,39 @@ def _stars(buckets: DataFrame) -> DataFrame:
 
 
 def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(first, sid, n, d, linked, short, long): how each set differs from its leader, and what others it may link to must share.
+    """(first, sid, n, d, linked, diff): how each set differs from its leader; those outside the leader come first in diff, which only leaders with two members or more need."""
+    stars = cut(stars)
+    bases = _only(sets, stars.select(F.col("first").alias("sid"))).select(F.col("sid").alias("first"), F.col("items").alias("base"))
+    whole = stars.join(sets.select("sid", "items"), "sid").join(bases, "first")
+    own = whole.select("first", "sid", "members", F.size("items").alias("n"), F.size("base").alias("nf"), F.concat(F.array_except("items", "base"), F.array_except("base", "items")).alias("diff"))
+    own = own.withColumn("d", F.size("diff")).withColumn("linked", _similar(F.col("d"), F.col("n") + F.col("nf"), percent))
+    return own.select("first", "sid", "n", "d", "linked", F.when(F.col("members") > 1, F.col("diff")).alias("diff"))
+
 
-    Of two sets o, m of one leader f, not both linked to f, say o isn't. With D their differences to f, o and m link only
+def _candidates(told: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs(a, b) of one leader, not linked so far, that may be similar.
+
+    Of two sets o, m of a leader f, not both linked to f, say o isn't. With D their differences to f, o and m link only
     if D(o) and D(m) share t >= (|D(o)| + |D(m)| - k(o, m)) / 2 elements, and t >= 1. Under one order of elements (those
     outside f first, as they are rarer) the first |D(o)| - t + 1 of the one and |D(m)| - t + 1 of the other then share
-    an element. `short` is the latter by a lower bound of t over all unlinked o (about half of D(m)), `long` the former
-    by one over all m. Only leaders with two members or more need them.
+    an element; t is bounded below by the smallest differences of the leader's sets. Pairs that meet this way are
+    counted: up to where one list ends all shared elements are seen, so at most what follows that end can be missing.
     """
-    stars = cut(stars)
-    bases = _only(sets, stars.select(F.col("first").alias("sid"))).select(F.col("sid").alias("first"), F.col("items").alias("base"))
-    whole = stars.join(sets.select("sid", "items"), "sid").join(bases, "first")
-    own = whole.select("first", "sid", "members", F.size("items").alias("n"), F.size("base").alias("nf"), F.array_except("items", "base").alias("added"), F.array_except("base", "items").alias("removed"))
-    diff = F.concat("added", "removed")
-    own = own.select("first", "sid", "members", "n", "nf", diff.alias("diff"), F.size(diff).alias("d"))
-    own = own.withColumn("linked", _similar(F.col("d"), F.col("n") + F.col("nf"), percent))
-    slack = F.ceil(F.greatest(F.lit(0), F.col("n") - F.col("nf")) * F.lit((100 - percent) / (100 + percent)) + F.lit(1e-9))
-    t_short = F.greatest(F.lit(1), F.ceil((F.col("d") + 1 - slack) / 2))
+    least = told.where("diff IS NOT NULL").groupBy("first").agg(F.min("d").alias("d_any"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("d_open")).where("d_open IS NOT NULL")
+    least = cut(least)
+    own = told.where("diff IS NOT NULL").join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "first")
+    own = own.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     k_most = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * F.lit(100 - percent) / F.lit(100 + percent))
-    t_long = F.greatest(F.lit(1), F.col("d") - k_most)
-    several = F.col("members") > 1
-    short = F.when(several, F.slice("diff", 1, (F.col("d") - t_short + 1).cast("int")))
-    long_ = F.when(several & ~F.col("linked"), F.slice("diff", 1, (F.col("d") - t_long + 1).cast("int")))
-    return own.select("first", "sid", "n", "d", "linked", short.alias("short"), long_.alias("long"))
+    t_short = F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("d_open") - k_most) / 2))
+    t_long = F.greatest(F.lit(1), F.col("d") - k_most, F.ceil((F.col("d") + F.col("d_any") - k_most) / 2))
+    head = lambda t: F.slice("diff", 1, F.greatest(F.lit(0), F.col("d") - t + 1).cast("int"))
+    side = lambda t, x: ["first", F.explode(head(t)).alias("item"), F.col("sid").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("d").alias(f"d{x}"), (F.least(t, F.col("d") + 1) - 1).alias(f"after_{x}")]
+    one, two = own.select(*side(t_short, "b")), own.where("NOT linked").select(*side(t_long, "a"))
+    near = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    shared = two.join(one, (two["first"] == one["first"]) & (two["item"] == one["item"]) & near)
+    needed = F.ceil((F.col("da") + F.col("db") - F.floor((F.col("na") + F.col("nb")) * F.lit(100 - percent) / F.lit(100 + percent))) / 2)
+    enough = shared.groupBy(two["first"], "a", "b").agg(F.count("*").alias("common"), F.max(needed - F.greatest("after_a", "after_b")).alias("least")).where("common >= least")
+    return enough.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_links: bool = False):
@@ -296,15 +306,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
         told = spilled(_differences(_stars(buckets), sets, percent), "differences")
         direct = told.where("linked").select(F.col("first").alias("a"), F.col("sid").alias("b"))
         roots = cut(components(direct.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        rooted = told.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        one = rooted.where("short IS NOT NULL").select("first", F.explode("short").alias("item"), F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("d").alias("db"), (F.col("d") - F.size("short")).alias("after_b"))
-        two = rooted.where("long IS NOT NULL").select("first", F.explode("long").alias("item"), F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("d").alias("da"), (F.col("d") - F.size("long")).alias("after_a"))
-        near = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        shared = two.join(one, (two["first"] == one["first"]) & (two["item"] == one["item"]) & near)
-        # All shared elements up to where one list ends are counted, so at most what follows that end can be missing.
-        least = F.ceil((F.col("da") + F.col("db") - F.floor((F.col("na") + F.col("nb")) * F.lit(100 - percent) / F.lit(100 + percent))) / 2)
-        enough = shared.groupBy(two["first"], "a", "b").agg(F.count("*").alias("common"), F.max(least - F.greatest("after_a", "after_b")).alias("least")).where("common >= least")
-        pairs = enough.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = _candidates(told, roots, percent)
         found = cut(_linked(pairs, sets, percent))
         links = [direct, found]
         if not found.isEmpty():
