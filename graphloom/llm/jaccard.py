@@ -143,6 +143,16 @@ def _describe(width: int, percent: int):
     return run
 
 
+#: Bits of a set's parity sketch.
+SKETCH = 2048
+
+
+def sketch(items: np.ndarray) -> np.ndarray:
+    """For each of SKETCH buckets of the hash, whether an odd number of elements falls into it, as longs: two sets' sketches differ in no more bits than the sets in elements."""
+    bits = np.bincount((T.mix(items) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _arrays(width: int):
     def run(batches):
         for batch in batches:
@@ -150,7 +160,8 @@ def _arrays(width: int):
             counts = np.array([len(x) for x in found], np.int32)
             values = T.signed(np.concatenate(found)) if counts.any() else np.zeros(0, np.int64)
             made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("sid")), made], ["sid", "items"])
+            sketches = pa.array([sketch(x) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("sid")), pa.array(counts.astype(np.int64)), sketches, made], ["sid", "n", "sketch", "items"])
 
     return run
 
@@ -222,8 +233,11 @@ def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose sets pass the exact test; both joins are equi-joins on a set id."""
-    pairs = cut(pairs)
+    """The pairs(a, b) whose sets pass the exact test. Sketches come first, as they are small and turn most others down; all joins are equi-joins on a set id."""
+    small = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    a, b = pairs.join(small("a"), "a"), small("b")
+    pairs = cut(a.join(b, (a["b"] == b["b"]) & _similar(apart, F.col("na") + F.col("nb"), percent)).select("a", a["b"]))
     left = _only(sets, pairs.select(F.col("a").alias("sid"))).select(F.col("sid").alias("a"), F.col("items").alias("ia"))
     right = _only(sets, pairs.select(F.col("b").alias("sid"))).select(F.col("sid").alias("b"), F.col("items").alias("ib"))
     both = pairs.join(right, "b").join(left, "a")
@@ -300,7 +314,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
         reps = table.where("signed").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
         reps = reps.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi")
         text = only.join(F.broadcast(reps) if few else reps, "doc_id")
-        sets = spilled(text.select("sid", "text").mapInArrow(_arrays(width), "sid long, items array<long>"), "sets")
+        sets = spilled(text.select("sid", "text").mapInArrow(_arrays(width), "sid long, n long, sketch array<long>, items array<long>"), "sets")
         if sets.count() > wanted.count():  # repeated ids
             sets = spilled(sets.dropDuplicates(["sid"]), "sets")
         told = spilled(_differences(_stars(buckets), sets, percent), "differences")
