@@ -39,10 +39,10 @@ def tables_graph(spark: SparkSession, sf_dir: str, only: tuple[str, ...] | None
     return PropertyGraph.from_tables(spark, pick(nodes), pick(edges), name="tables")
 
 
-def _ql(query: str, *only: str, columns: list | None = None) -> Callable[[SparkSession, str], DataFrame]:
+def _ql(query: str, *only: str, columns: Callable[[], list] | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = QueryEngine(tables_graph(spark, sf_dir, only)).execute(query).df
-        return df.select(*columns) if columns else df
+        return df.select(*columns()) if columns else df
 
     return run
 
@@ -78,16 +78,15 @@ _add("count_where", _ql("COUNT customer WHERE c_mktsegment = 'BUILDING' AND c_ac
 
 # scans, sort, paging, projection
 _add("node_scan", _on(lambda g: g.nodes("nation").select("id", "n_name"), "nation"), "SELECT n_nationkey AS id, n_name FROM nation")
-_add("nodes_all_types", _ql("NODES", "region", "nation", columns=["type", "id"]), "SELECT 'region' AS type, CAST(r_regionkey AS VARCHAR) AS id FROM region UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation")
+_add("nodes_all_types", _ql("NODES", "region", "nation", columns=lambda: ["type", "id"]), "SELECT 'region' AS type, CAST(r_regionkey AS VARCHAR) AS id FROM region UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation")
 _add("nodes_order_limit_offset", _ql("NODES customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC LIMIT 20 OFFSET 5 RETURN c_name, c_acctbal", "customer"), "SELECT c_name, c_acctbal FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 5")
 _add("nodes_return_absent", _ql("NODES supplier RETURN s_name, s_phone", "supplier"), "SELECT s_name, CAST(NULL AS VARCHAR) AS s_phone FROM supplier")
 _add("builder_query", lambda spark, sf_dir: QueryEngine(tables_graph(spark, sf_dir, ("part",))).match("part").where("p_size", ">=", 45).where("p_brand", "STARTS_WITH", "Brand#1").order_by("p_retailprice", "DESC").limit(15).return_fields("p_name", "p_size", "p_retailprice").execute().df, "SELECT p_name, p_size, p_retailprice FROM part WHERE p_size >= 45 AND starts_with(p_brand, 'Brand#1') ORDER BY p_retailprice DESC, p_partkey LIMIT 15")
-_add("edges_where", _ql("EDGES CONTAINS WHERE n_lines > 1", "CONTAINS", columns=["rel_type", "src_id", "dst_id"]), "SELECT 'CONTAINS' AS rel_type, CAST(l_orderkey AS VARCHAR) AS src_id, CAST(l_partkey AS VARCHAR) AS dst_id FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1")
+_add("edges_where", _ql("EDGES CONTAINS WHERE n_lines > 1", "CONTAINS", columns=lambda: ["rel_type", "src_id", "dst_id"]), "SELECT 'CONTAINS' AS rel_type, CAST(l_orderkey AS VARCHAR) AS src_id, CAST(l_partkey AS VARCHAR) AS dst_id FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1")
 _add("edge_scan_by_source", _on(lambda g: g.edges("PLACED", source=("customer", 7)).select("rel_type", "src_id", "dst_id"), "PLACED"), "SELECT 'PLACED' AS rel_type, CAST(o_custkey AS VARCHAR) AS src_id, CAST(o_orderkey AS VARCHAR) AS dst_id FROM orders WHERE o_custkey = 7")
 _add("edge_scan_by_target", _on(lambda g: g.edges("LIVES_IN", target=("nation", 3)).select("src_id", "dst_id"), "LIVES_IN"), "SELECT CAST(c_custkey AS VARCHAR) AS src_id, CAST(c_nationkey AS VARCHAR) AS dst_id FROM customer WHERE c_nationkey = 3")
 for _kind in ("SUM", "AVG", "MIN", "MAX"):
-    _value = [F.round("value", 2).alias("value"), "n_values"]
-    _add(f"{_kind.lower()}_where", _ql(f"{_kind} orders.o_totalprice WHERE o_orderstatus = 'F'", "orders", columns=_value), f"SELECT round({_kind.lower()}(o_totalprice), 2) AS value, count(o_totalprice) AS n_values FROM orders WHERE o_orderstatus = 'F'")
+    _add(f"{_kind.lower()}_where", _ql(f"{_kind} orders.o_totalprice WHERE o_orderstatus = 'F'", "orders", columns=lambda: [F.round("value", 2).alias("value"), "n_values"]), f"SELECT round({_kind.lower()}(o_totalprice), 2) AS value, count(o_totalprice) AS n_values FROM orders WHERE o_orderstatus = 'F'")
 _add("type_counts", _on(analysis.stats, "region", "nation", "customer", "IN_REGION", "LIVES_IN"), "SELECT 'node' AS kind, 'region' AS name, count(*) AS n FROM region UNION ALL SELECT 'node', 'nation', count(*) FROM nation UNION ALL SELECT 'node', 'customer', count(*) FROM customer UNION ALL SELECT 'edge', 'IN_REGION', count(*) FROM nation UNION ALL SELECT 'edge', 'LIVES_IN', count(*) FROM customer")
 
 # traversal
@@ -109,7 +108,7 @@ _add("traverse_max", _ql("TRAVERSE customer:1234 -> REPORTS_TO -> customer MAX 9
 _add("shortest_path_len", _on(lambda g: paths.shortest_lengths(g, ("customer", 7), None, 4).select("type", "id", F.col("length").cast("long").alias("length")), "PLACED", "CONTAINS", "SUPPLIED_BY", "BASED_IN"),
     """WITH o AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey = 7), p AS (SELECT DISTINCT l_partkey AS id FROM lineitem JOIN o ON l_orderkey = o.id), s AS (SELECT DISTINCT l_suppkey AS id FROM lineitem JOIN p ON l_partkey = p.id), n AS (SELECT DISTINCT s_nationkey AS id FROM supplier JOIN s ON s_suppkey = s.id)
     SELECT 'customer' AS type, '7' AS id, 0 AS length UNION ALL SELECT 'orders', CAST(id AS VARCHAR), 1 FROM o UNION ALL SELECT 'part', CAST(id AS VARCHAR), 2 FROM p UNION ALL SELECT 'supplier', CAST(id AS VARCHAR), 3 FROM s UNION ALL SELECT 'nation', CAST(id AS VARCHAR), 4 FROM n""")
-_add("path_statement", _ql("PATH customer:1234 TO customer:0 VIA REPORTS_TO", "REPORTS_TO", columns=[F.col("length").cast("long").alias("length"), F.array_join(F.transform("nodes", lambda n: n["id"]), ">").alias("nodes")]), "SELECT 4 AS length, '1234>123>12>1>0' AS nodes FROM customer WHERE c_custkey = 1234")
+_add("path_statement", _ql("PATH customer:1234 TO customer:0 VIA REPORTS_TO", "REPORTS_TO", columns=lambda: [F.col("length").cast("long").alias("length"), F.array_join(F.transform("nodes", lambda n: n["id"]), ">").alias("nodes")]), "SELECT 4 AS length, '1234>123>12>1>0' AS nodes FROM customer WHERE c_custkey = 1234")
 _add("all_paths", _on(lambda g: paths.all_paths(g, ("customer", 7), ("nation", 3), None, 4).select(F.array_join(F.transform("nodes", lambda n: n["id"]), ">").alias("nodes"), F.col("length").cast("long").alias("length")), "PLACED", "CONTAINS", "SUPPLIED_BY", "BASED_IN"),
     """SELECT concat('7>', o_orderkey, '>', c.l_partkey, '>', s.l_suppkey, '>3') AS nodes, 4 AS length FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) c ON c.l_orderkey = o_orderkey JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) s ON s.l_partkey = c.l_partkey JOIN supplier ON s_suppkey = s.l_suppkey WHERE o_custkey = 7 AND s_nationkey = 3""")
 _add("path_exists", _flag(lambda g: paths.path_exists(g, ("customer", 1234), ("customer", 0), "REPORTS_TO"), "found", "REPORTS_TO"), "SELECT count(*) > 0 AS found FROM customer WHERE c_custkey = 1234")
