@@ -60,15 +60,6 @@ def spilled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table that spilled() wrote; what was read from it must be written already."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "part-" not in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def id_bucket(column: str, n: int):
     """crc32 of the id's decimal text, modulo n: the fold rule of every learning operator here."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

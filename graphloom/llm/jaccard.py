@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as T
-from .common import cut, forget, need, spilled
+from .common import cut, need, spilled
 from .components import components
 
 #: Width of a size band; the widest step at which a set meets at most two bands.
@@ -124,33 +124,95 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
         yield from T.shingles(*T.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), width)
 
 
-def _describe(width: int, percent: int):
+def _classes(width: int):
     def run(batches):
-        seen: set[int] = set()  # copies within a task give their signatures once
         for batch in batches:
-            sizes, ids, lists = [], [], []
+            sizes, ids = [], []
             for items in _sets(batch, width):
-                sid = int(set_id(items).view(np.int64)) if len(items) else 0
                 sizes.append(len(items))
-                ids.append(sid)
-                lists.append(T.signed(signatures(items, percent)) if sid and sid not in seen else None)
-                seen.add(sid)
-            counts = np.array([0 if x is None else len(x) for x in lists], np.int32)
-            values = np.concatenate([x for x in lists if x is not None]) if counts.any() else np.zeros(0, np.int64)
-            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), made], ["doc_id", "n_shingles", "sid", "signatures"])
+                ids.append(int(set_id(items).view(np.int64)) if len(items) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n_shingles", "sid"])
 
     return run
 
 
-#: Bits of a set's parity sketch.
-SKETCH = 2048
+def _signatures(width: int, percent: int):
+    """(sig, sid) rows of a task's documents; copies within it give them once."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            made, ids = [np.zeros(0, np.uint64)], []
+            for items in _sets(batch, width):
+                sid = int(set_id(items).view(np.int64)) if len(items) else 0
+                if sid and sid not in seen:
+                    made.append(signatures(items, percent))
+                    ids.append(np.full(len(made[-1]), sid, np.int64))
+                    seen.add(sid)
+            yield pa.RecordBatch.from_arrays([pa.array(T.signed(np.concatenate(made))), pa.array(np.concatenate([np.zeros(0, np.int64), *ids]))], ["sig", "sid"])
+
+    return run
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
-    """For each of SKETCH buckets of the hash, whether an odd number of elements falls into it, as longs: two sets' sketches differ in no more bits than the sets in elements."""
-    bits = np.bincount((T.mix(items) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Parity sketch: for each bucket of the hash, whether an odd number of elements falls into it, as longs. Two sets' sketches differ in no more bits than the sets in elements; a longer one folds to a shorter one by xor of its halves."""
+    bits = 512 if len(items) <= 700 else 2048 if len(items) <= 3000 else 8192
+    odd = np.bincount((T.mix(items) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _folded(rows: list[np.ndarray]) -> np.ndarray:
+    """Sketches as a matrix of the shortest one's width."""
+    least = min(map(len, rows))
+    out = []
+    for r in rows:
+        while len(r) > least:
+            r = r[: len(r) // 2] ^ r[len(r) // 2 :]
+        out.append(r)
+    return np.array(out).view(np.uint64)
+
+
+#: Buckets up to this size are looked through by sketches; larger ones are kept whole.
+LOOKED = 256
+
+
+def _promising(percent: int):
+    """Rows (bucket, sid, n, sketch) in order of bucket -> (bucket, sid) of those that have another in the bucket which their sketches don't rule out."""
+
+    def near(n: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
+        m = _folded(sketches)
+        keep = np.zeros(len(n), bool)
+        for i in range(len(n) - 1):
+            apart = np.bitwise_count(m[i + 1 :] ^ m[i]).sum(1, dtype=np.int64)
+            hit = apart * (100 + percent) <= (n[i + 1 :] + n[i]) * (100 - percent)
+            keep[i] |= hit.any()
+            keep[i + 1 :] |= hit
+        return keep
+
+    def run(batches):
+        passed = None  # a large bucket whose first rows were kept unseen
+        held: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+        for batch in _and_end(batches):
+            if batch is not None:
+                lists = batch.column(3)
+                edges, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+                own = [values[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
+                held = (*(np.concatenate([held[k], batch.column(k).to_numpy()]) for k in range(3)), held[3] + own)
+            bucket, sid, n, sketches = held
+            if not len(bucket):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            stop = len(bucket) if batch is None or len(bucket) - starts[-1] > LOOKED else starts[-1]
+            keep = np.zeros(stop, bool)
+            for x, y in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
+                if x < stop:
+                    keep[x:y] = True if y - x > LOOKED or bucket[x] == passed else near(n[x:y], sketches[x:y])
+            if len(bucket) - starts[-1] > LOOKED:
+                passed = bucket[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[:stop][keep]), pa.array(sid[:stop][keep])], ["bucket", "sid"])
+            held = (bucket[stop:], sid[stop:], n[stop:], sketches[stop:])
+
+    return run
 
 
 def _arrays(width: int):
@@ -233,11 +295,8 @@ def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose sets pass the exact test. Sketches come first, as they are small and turn most others down; all joins are equi-joins on a set id."""
-    small = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    a, b = pairs.join(small("a"), "a"), small("b")
-    pairs = cut(a.join(b, (a["b"] == b["b"]) & _similar(apart, F.col("na") + F.col("nb"), percent)).select("a", a["b"]))
+    """The pairs(a, b) whose sets pass the exact test. Both joins are equi-joins on a set id."""
+    pairs = cut(pairs)
     left = _only(sets, pairs.select(F.col("a").alias("sid"))).select(F.col("sid").alias("a"), F.col("items").alias("ia"))
     right = _only(sets, pairs.select(F.col("b").alias("sid"))).select(F.col("sid").alias("b"), F.col("items").alias("ib"))
     both = pairs.join(right, "b").join(left, "a")
@@ -301,22 +360,21 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
     """
     need(docs, "doc_id", "text")
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wide = spilled(only.mapInArrow(_describe(width, percent), "doc_id long, n_shingles long, sid long, signatures array<long>"), "partenum")
-    rows = wide.select(F.explode("signatures").alias("sig"), "sid").repartition("sig").sortWithinPartitions("sig", "sid")
-    found = rows.mapInArrow(_buckets, "bucket long, sid long")
-    buckets = spilled(found.distinct(), "buckets")
-    table = spilled(wide.select("doc_id", "n_shingles", "sid", (F.size("signatures") > 0).alias("signed")), "classes")
-    forget(wide)  # the signatures are the largest scratch table, and done with
+    table = spilled(only.mapInArrow(_classes(width), "doc_id long, n_shingles long, sid long"), "classes")
+    rows = only.select("text").mapInArrow(_signatures(width, percent), "sig long, sid long").repartition("sig").sortWithinPartitions("sig", "sid")
+    buckets = spilled(rows.mapInArrow(_buckets, "bucket long, sid long").distinct(), "buckets")
     links, roots = [], None
     if not buckets.isEmpty():
         wanted = cut(buckets.select("sid").distinct())
         few = wanted.count() <= BROADCAST_ROWS
-        reps = table.where("signed").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+        reps = table.where("sid != 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
         reps = reps.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi")
         text = only.join(F.broadcast(reps) if few else reps, "doc_id")
         sets = spilled(text.select("sid", "text").mapInArrow(_arrays(width), "sid long, n long, sketch array<long>, items array<long>"), "sets")
         if sets.count() > wanted.count():  # repeated ids
             sets = spilled(sets.dropDuplicates(["sid"]), "sets")
+        ranged = buckets.join(sets.select("sid", "n", "sketch"), "sid").select("bucket", "sid", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
+        buckets = spilled(ranged.mapInArrow(_promising(percent), "bucket long, sid long"), "promising")
         told = spilled(_differences(_stars(buckets), sets, percent), "differences")
         direct = told.where("linked").select(F.col("first").alias("a"), F.col("sid").alias("b"))
         roots = cut(components(direct.select(F.col("a").alias("u"), F.col("b").alias("v"))))
