@@ -149,7 +149,8 @@ def from_lines(spark: SparkSession, lines: DataFrame, name: str = "graph", permi
     bad = parsed.where("error IS NOT NULL")
     if not permissive and (first := bad.first()):
         raise FormatError(first["error"])
-    good = parsed.where("error IS NULL").select("kind", "name", F.map_from_arrays("fields", F.arrays_zip("texts", "plain")).alias("m"))
+    pairs = F.when(F.col("error").isNull(), F.map_from_arrays("fields", F.arrays_zip("texts", "plain")))  # guarded: filters may be moved past it
+    good = parsed.where("error IS NULL").select("kind", "name", pairs.alias("m"))
     value = F.explode("m").alias("key", "v")
     look = F.when(~F.col("v.plain"), "string").when(F.col("v.texts").isin("null", "~"), "null").when(F.col("v.texts").isin("true", "false"), "boolean").when(F.col("v.texts").rlike(r"^-?\d{1,18}$"), "bigint").when(F.col("v.texts").rlike(r"^-?\d+\.\d+(?:[eE][+-]?\d+)?$"), "double").otherwise("string")
     kinds: dict[tuple[str, str], dict[str, set[str]]] = {}
