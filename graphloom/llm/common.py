@@ -53,10 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spilled(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under the shared checkpoint folder and read again (columnar, for wide scratch tables)."""
+    """df written as Parquet under the shared checkpoint folder and read again (columnar, for wide scratch tables); the files go when the application ends."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
+    schema, jvm = df.schema, df.sparkSession._jvm
     df.write.parquet(path)
+    made = jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(made)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

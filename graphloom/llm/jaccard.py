@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +65,14 @@ def band(index: int, percent: int) -> Band:
     k = 2 * upper * (100 - percent) // (100 + percent)
     if k <= 2:
         return Band(index, lower, upper, k, 1, k + 2, k, 0)
-    n1 = k // 2 + 1
-    slack = 0 if n1 < 8 else 1 + n1 // 32
-    return Band(index, lower, upper, k, n1 + slack, 3, 1, slack)
+    base, slack = k // 2 + 1, 0
+    while base >= 8:  # parts that have an empty choice of pieces, of the band's smallest sets: the mean and two deviations
+        n1 = base + slack
+        mean = n1 * (1 - (1 - exp(-(lower + 1) * 0.92 / n1 * 2 / 3)) ** 3)
+        if ceil(mean + 2 * sqrt(mean)) <= slack or slack > base // 2:
+            break
+        slack += 1
+    return Band(index, lower, upper, k, base + slack, 3, 1, slack)
 
 
 def bands_of(n: int, percent: int) -> list[Band]:
@@ -82,15 +88,41 @@ def bands_of(n: int, percent: int) -> list[Band]:
     return out
 
 
-def signatures(items: np.ndarray, percent: int) -> np.ndarray:
-    """PartEnum signatures of one sorted distinct uint64 set.
+#: Common shingles: those that as many sets of a sample share. Which ones they are changes no result.
+SAMPLE_DOCS, COMMON_IN, COMMON_MOST = 4_000, 4, 200_000
+#: Sets with at most this share of common shingles, and those that can be similar to them, leave them out.
+COMMON_SHARE = 0.25
+
+
+def all_signatures(items: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """Signatures of a set with or without the common shingles, or both.
+
+    Without a fixed group of elements two sets differ in no more elements than before, so the bound k holds and only
+    the bands go by the whole sizes. A signature of common shingles alone, which unlike sets share, is then an empty
+    one. If one of a similar pair has a share of at most COMMON_SHARE, the other has at most (COMMON_SHARE + 1 - t) / t,
+    and both leave them out; else both keep them.
+    """
+    if not len(common):
+        return signatures(items, percent, len(items), 0)
+    hit = common[np.minimum(np.searchsorted(common, items), len(common) - 1)] == items
+    share = hit.mean()
+    out = []
+    if share <= (COMMON_SHARE + 1 - percent / 100) / (percent / 100) + 1e-9:
+        out.append(signatures(items[~hit], percent, len(items), 1))
+    if share > COMMON_SHARE:
+        out.append(signatures(items, percent, len(items), 0))
+    return np.concatenate(out)
+
+
+def signatures(items: np.ndarray, percent: int, size: int, kind: int) -> np.ndarray:
+    """PartEnum signatures of sorted distinct uint64 elements, those that count of a set of `size`; kinds don't meet.
 
     Of a similar pair at least 1 + slack parts qualify. A set with at most `slack` parts that have an empty choice of
     pieces leaves those choices out: one qualifying part is still without any, and shares a full signature. A set
     with more keeps them all. So a pair is missed in no case, and empty choices seldom meet.
     """
     out = []
-    for b in bands_of(len(items), percent):
+    for b in bands_of(size, percent):
         spread = T.mix(items + np.uint64(0x632BE59BD9B4E019 * (b.index + 1) & (2**64 - 1)))
         part = ((spread >> np.uint64(40)) % np.uint64(b.n1)).astype(np.int64) * b.n2 + ((spread >> np.uint64(8)) % np.uint64(b.n2)).astype(np.int64)
         total = np.zeros(b.n1 * b.n2, np.uint64)
@@ -100,7 +132,7 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
         place = np.arange(b.n1, dtype=np.uint64)
         made, full = [], []
         for c, chosen in enumerate(b.subsets):
-            key = place * np.uint64(1024) + np.uint64(c) + np.uint64(b.index << 44)
+            key = place * np.uint64(1024) + np.uint64(c) + np.uint64((b.index << 44) + (kind << 60))
             for q in chosen:
                 key = T.mix(key + total[:, q])
             made.append(key)
@@ -136,17 +168,28 @@ def _classes(width: int):
     return run
 
 
-def _signatures(width: int, percent: int):
+def _common(docs: DataFrame, width: int) -> np.ndarray:
+    """Hashes of common shingles from a sample of about SAMPLE_DOCS documents, chosen by a hash of the id."""
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE_DOCS)
+    sets = sample.select(F.lit(0).cast("long").alias("sid"), "text").mapInArrow(_arrays(width), ARRAYS)
+    counts = sets.select(F.explode(F.array_distinct("items")).alias("item")).groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_IN)
+    found = counts.orderBy(F.col("n").desc(), "item").limit(COMMON_MOST).select("item").toArrow()["item"].to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def _signatures(width: int, percent: int, shared):
     """(sig, sid) rows of a task's documents; copies within it give them once."""
 
     def run(batches):
         seen: set[int] = set()
+        common = shared.value
         for batch in batches:
             made, ids = [np.zeros(0, np.uint64)], []
             for items in _sets(batch, width):
                 sid = int(set_id(items).view(np.int64)) if len(items) else 0
                 if sid and sid not in seen:
-                    made.append(signatures(items, percent))
+                    made.append(all_signatures(items, percent, common))
                     ids.append(np.full(len(made[-1]), sid, np.int64))
                     seen.add(sid)
             yield pa.RecordBatch.from_arrays([pa.array(T.signed(np.concatenate(made))), pa.array(np.concatenate([np.zeros(0, np.int64), *ids]))], ["sig", "sid"])
@@ -215,6 +258,9 @@ def _promising(percent: int):
     return run
 
 
+ARRAYS = "sid long, n long, sketch array<long>, items array<long>"
+
+
 def _arrays(width: int):
     def run(batches):
         for batch in batches:
@@ -361,7 +407,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
     need(docs, "doc_id", "text")
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = spilled(only.mapInArrow(_classes(width), "doc_id long, n_shingles long, sid long"), "classes")
-    rows = only.select("text").mapInArrow(_signatures(width, percent), "sig long, sid long").repartition("sig").sortWithinPartitions("sig", "sid")
+    shared = docs.sparkSession.sparkContext.broadcast(_common(only, width))
+    rows = only.select("text").mapInArrow(_signatures(width, percent, shared), "sig long, sid long").repartition("sig").sortWithinPartitions("sig", "sid")
     buckets = spilled(rows.mapInArrow(_buckets, "bucket long, sid long").distinct(), "buckets")
     links, roots = [], None
     if not buckets.isEmpty():
@@ -370,7 +417,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
         reps = table.where("sid != 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
         reps = reps.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi")
         text = only.join(F.broadcast(reps) if few else reps, "doc_id")
-        sets = spilled(text.select("sid", "text").mapInArrow(_arrays(width), "sid long, n long, sketch array<long>, items array<long>"), "sets")
+        sets = spilled(text.select("sid", "text").mapInArrow(_arrays(width), ARRAYS), "sets")
         if sets.count() > wanted.count():  # repeated ids
             sets = spilled(sets.dropDuplicates(["sid"]), "sets")
         ranged = buckets.join(sets.select("sid", "n", "sketch"), "sid").select("bucket", "sid", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
