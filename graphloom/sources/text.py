@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..model import HIDDEN, KEY, SEQ, NodeRef, PropertyGraph, both_ways
 from .values import FormatError, quoted, split_fields, typed
 
+# Fixed value: the extension of files in the line format.
+LINE_SUFFIX = ".isonl"
 LINE = r"^(nodes|edges)\.([^|]+)\|([^|]*)\|(.*)$"
 ROW = "kind string, name string, fields array<string>, texts array<string>, plain array<boolean>, error string"
 
@@ -191,9 +193,9 @@ def from_lines(spark: SparkSession, lines: DataFrame, name: str = "graph", permi
 
 
 def load(spark: SparkSession, path: str, permissive: bool = False) -> PropertyGraph:
-    """By extension: `.isonl` line by line, anything else as blocks; the graph is named after the file."""
+    """By extension: LINE_SUFFIX line by line, anything else as blocks; the graph is named after the file."""
     name = PurePosixPath(path).stem
-    if path.endswith(".isonl"):
+    if path.endswith(LINE_SUFFIX):
         return from_lines(spark, spark.read.text(path), name, permissive)
     rows = spark.read.text(path, wholetext=True).collect()
     return from_blocks(spark, rows[0]["value"] if rows else "", name)
@@ -201,7 +203,7 @@ def load(spark: SparkSession, path: str, permissive: bool = False) -> PropertyGr
 
 def save(graph: PropertyGraph, path: str) -> None:
     """By extension; the line format becomes a folder of part files, blocks one file in it."""
-    if path.endswith(".isonl"):
+    if path.endswith(LINE_SUFFIX):
         to_lines(graph).write.mode("overwrite").text(path)
     else:
         graph.spark.createDataFrame([(to_blocks(graph).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)

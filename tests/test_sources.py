@@ -38,8 +38,8 @@ def test_blocks_round_trip(spark, graph, tmp_path):
     made = text.to_blocks(graph)
     assert made.startswith("nodes.city\nid name\nb B\n\nnodes.doc\n") and ":doc:1 :city:b" in made
     same(graph, text.from_blocks(spark, made))
-    text.save(graph, str(tmp_path / "g.ison"))
-    again = text.load(spark, str(tmp_path / "g.ison"))
+    text.save(graph, str(tmp_path / "g.graph"))
+    again = text.load(spark, str(tmp_path / "g.graph"))
     assert again.name == "g"
     same(graph, again)
 
@@ -149,6 +149,6 @@ def test_drawings(team, tmp_path):
 
 
 def test_command(team, tmp_path):
-    (tmp_path / "g.ison").write_text(text.to_blocks(team))
-    assert layout.main([str(tmp_path / "g.ison"), str(tmp_path / "o.svg"), "--label", "name"]) == 0
+    (tmp_path / "g.graph").write_text(text.to_blocks(team))
+    assert layout.main([str(tmp_path / "g.graph"), str(tmp_path / "o.svg"), "--label", "name"]) == 0
     assert (tmp_path / "o.svg").read_text().startswith("<svg")
