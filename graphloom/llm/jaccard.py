@@ -199,7 +199,9 @@ def _signatures(width: int, percent: int, shared):
 
 def sketch(items: np.ndarray) -> np.ndarray:
     """Parity sketch: for each bucket of the hash, whether an odd number of elements falls into it, as longs. Two sets' sketches differ in no more bits than the sets in elements; a longer one folds to a shorter one by xor of its halves."""
-    bits = 512 if len(items) <= 700 else 2048 if len(items) <= 3000 else 8192
+    bits = 512  # unlike sets differ in about half of the bits, which must be more than similar ones may
+    while bits < 0.6 * len(items) and bits < 1 << 16:
+        bits *= 2
     odd = np.bincount((T.mix(items) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -215,6 +217,13 @@ def _folded(rows: list[np.ndarray]) -> np.ndarray:
     return np.array(out).view(np.uint64)
 
 
+def _mark(long: np.ndarray) -> np.ndarray:
+    """A sketch folded to 256 bits."""
+    while len(long) > 4:
+        long = long[: len(long) // 2] ^ long[len(long) // 2 :]
+    return long
+
+
 #: Buckets up to this size are looked through by sketches; larger ones are kept whole.
 LOOKED = 256
 
@@ -258,7 +267,7 @@ def _promising(percent: int):
     return run
 
 
-ARRAYS = "sid long, n long, sketch array<long>, items array<long>"
+ARRAYS = "sid long, n long, sketch array<long>, mark array<long>, items array<long>"
 
 
 def _arrays(width: int):
@@ -268,8 +277,9 @@ def _arrays(width: int):
             counts = np.array([len(x) for x in found], np.int32)
             values = T.signed(np.concatenate(found)) if counts.any() else np.zeros(0, np.int64)
             made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
-            sketches = pa.array([sketch(x) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("sid")), pa.array(counts.astype(np.int64)), sketches, made], ["sid", "n", "sketch", "items"])
+            longs = [sketch(x) for x in found]
+            sketches, marks = (pa.array(x, pa.list_(pa.int64())) for x in (longs, [_mark(x) for x in longs]))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("sid")), pa.array(counts.astype(np.int64)), sketches, marks, made], ["sid", "n", "sketch", "mark", "items"])
 
     return run
 
@@ -362,10 +372,10 @@ def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(first, sid, n, d, linked, diff): how each set differs from its leader; those outside the leader come first in diff, which only leaders with two members or more need."""
     stars = cut(stars)
     bases = _only(sets, stars.select(F.col("first").alias("sid"))).select(F.col("sid").alias("first"), F.col("items").alias("base"))
-    whole = stars.join(sets.select("sid", "items"), "sid").join(bases, "first")
-    own = whole.select("first", "sid", "members", F.size("items").alias("n"), F.size("base").alias("nf"), F.concat(F.array_except("items", "base"), F.array_except("base", "items")).alias("diff"))
+    whole = stars.join(sets.select("sid", "mark", "items"), "sid").join(bases, "first")
+    own = whole.select("first", "sid", "members", "mark", F.size("items").alias("n"), F.size("base").alias("nf"), F.concat(F.array_except("items", "base"), F.array_except("base", "items")).alias("diff"))
     own = own.withColumn("d", F.size("diff")).withColumn("linked", _similar(F.col("d"), F.col("n") + F.col("nf"), percent))
-    return own.select("first", "sid", "n", "d", "linked", F.when(F.col("members") > 1, F.col("diff")).alias("diff"))
+    return own.select("first", "sid", "n", "d", "linked", "mark", F.when(F.col("members") > 1, F.col("diff")).alias("diff"))
 
 
 def _candidates(told: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -375,7 +385,7 @@ def _candidates(told: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     if D(o) and D(m) share t >= (|D(o)| + |D(m)| - k(o, m)) / 2 elements, and t >= 1. Under one order of elements (those
     outside f first, as they are rarer) the first |D(o)| - t + 1 of the one and |D(m)| - t + 1 of the other then share
     an element; t is bounded below by the smallest differences of the leader's sets. Pairs that meet this way are
-    counted: up to where one list ends all shared elements are seen, so at most what follows that end can be missing.
+    turned down by their marks, or counted: up to where one list ends all shared elements are seen, so at most what follows that end can be missing.
     """
     least = told.where("diff IS NOT NULL").groupBy("first").agg(F.min("d").alias("d_any"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("d_open")).where("d_open IS NOT NULL")
     least = cut(least)
@@ -385,9 +395,10 @@ def _candidates(told: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     t_short = F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("d_open") - k_most) / 2))
     t_long = F.greatest(F.lit(1), F.col("d") - k_most, F.ceil((F.col("d") + F.col("d_any") - k_most) / 2))
     head = lambda t: F.slice("diff", 1, F.greatest(F.lit(0), F.col("d") - t + 1).cast("int"))
-    side = lambda t, x: ["first", F.explode(head(t)).alias("item"), F.col("sid").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("d").alias(f"d{x}"), (F.least(t, F.col("d") + 1) - 1).alias(f"after_{x}")]
+    side = lambda t, x: ["first", F.explode(head(t)).alias("item"), F.col("sid").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("d").alias(f"d{x}"), F.col("mark").alias(f"m{x}"), (F.least(t, F.col("d") + 1) - 1).alias(f"after_{x}")]
     one, two = own.select(*side(t_short, "b")), own.where("NOT linked").select(*side(t_long, "a"))
-    near = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & _similar(apart, F.col("na") + F.col("nb"), percent)
     shared = two.join(one, (two["first"] == one["first"]) & (two["item"] == one["item"]) & near)
     needed = F.ceil((F.col("da") + F.col("db") - F.floor((F.col("na") + F.col("nb")) * F.lit(100 - percent) / F.lit(100 + percent))) / 2)
     enough = shared.groupBy(two["first"], "a", "b").agg(F.count("*").alias("common"), F.max(needed - F.greatest("after_a", "after_b")).alias("least")).where("common >= least")
