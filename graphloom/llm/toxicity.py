@@ -24,6 +24,8 @@ PREFIXES = (4, 5)
 DOCS_PER_CLASS = 4_000
 FEATURES = 2_000
 FACTORS = 8
+#: Least number of gradient steps, however few rows there are.
+STEPS = 600
 
 
 @dataclass
@@ -70,6 +72,7 @@ def train(terms: list[np.ndarray], labels: np.ndarray, prior: float, features: i
 
     prior: the share of label 1 outside the sample; the bias is set for it. Result does not depend on the row order if rows are sorted.
     """
+    features = min(features, max(64, len(terms) // 4))  # more would fit chance in a small sample
     y = labels.astype(np.float64)
     rows = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
     flat = np.concatenate(terms) if terms else np.zeros(0, np.int64)
@@ -93,6 +96,7 @@ def train(terms: list[np.ndarray], labels: np.ndarray, prior: float, features: i
     params = [w, v, b]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step, decay = 0, (5e-4, 1e-3, 0)
+    epochs = max(epochs, -(-STEPS // max(1, -(-len(terms) // 256))))
     for epoch in range(epochs):
         order = rng.permutation(len(terms))
         for lo in range(0, len(order), 256):

@@ -121,8 +121,8 @@ def test_partenum_loses_no_pair(percent):
         b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**63, rng.integers(0, gone + 1), dtype=np.uint64)]))
         common = len(np.intersect1d(a, b))
         if 100 * common >= percent * (len(a) + len(b) - common) and (len(a) != len(b) or (a != b).any()):
-            for common in (a[:0], np.sort(rng.permutation(a)[: len(a) // 3]), np.union1d(a, b)):
-                assert len(np.intersect1d(jaccard.all_signatures(a, percent, common), jaccard.all_signatures(b, percent, common)))
+            for hot in (a[:0], np.sort(rng.permutation(a)[: len(a) // 3]), np.union1d(a, b)):
+                assert len(np.intersect1d(jaccard.all_signatures(a, percent, hot), jaccard.all_signatures(b, percent, hot)))
         fold = jaccard._folded([jaccard.sketch(a), jaccard.sketch(b)])
         assert np.bitwise_count(fold[0] ^ fold[1]).sum() <= len(a) + len(b) - 2 * common
 
