@@ -2,8 +2,8 @@
 
 Numbers, the units after them and names within sentences become typed placeholders; windows of template words are hashed
 and joined with those of the benchmark. Windows that match along one alignment make a run; a run counts if the values
-behind its placeholders repeat alike on both sides, so that a question with other numbers or names is caught and a
-chance match with mixed-up values is not.
+behind its placeholders go by one mapping from the item's to the document's, so that a question with other numbers or
+names is caught and a chance match with mixed-up values is not. Windows off the mapping are left out, not their run.
 """
 
 from __future__ import annotations
@@ -49,22 +49,54 @@ def slot_values(text: Column) -> Column:
     return F.array(F.regexp_extract_all(text, F.lit(f"({NUMBERS})"), F.lit(1)), F.transform(F.regexp_extract_all(numbered, F.lit(AFTER_NUMBER), F.lit(2)), F.lower), F.regexp_extract_all(units, F.lit(NAMES), F.lit(2)))
 
 
+def valued_words(words: Column, values: Column) -> Column:
+    """template_words with the value written behind each placeholder, place by place."""
+    line = F.array_join(words, " ")
+    for k, mark in enumerate((NUMBER, UNIT, NAME)):
+        own = F.transform(values[k], lambda v: F.concat(F.lit(mark), v))  # noqa: B023
+        line = F.array_join(F.zip_with(F.split(line, mark), own, lambda part, v: F.concat(F.coalesce(part, F.lit("")), F.coalesce(v, F.lit("")))), "")
+    return F.filter(F.split(line, " "), lambda w: w != "")
+
+
 def _windows(words: Column, width: int) -> Column:
     return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.slice(words, i, width))))
 
 
-def _pattern(values: Column, words: Column, start: Column, stop: Column, mark: str) -> Column:
-    """Which of the placeholders of one type in words[start, stop) have equal values: the place of each value's first occurrence."""
-    count = lambda w: F.size(F.filter(w, lambda x: x == mark))
-    own = F.slice(values, count(F.slice(words, 1, start)) + 1, count(F.slice(words, start + 1, stop - start)))
-    return F.transform(own, lambda v: F.array_position(own, v))
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once for a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _kept(windows: Column, shift: Column) -> Column:
+    """Those of a run's windows whose slots all go by the run's mapping, or all hold the item's own values.
+
+    The mapping gives each item value the document value it meets most often in the run, the item's own before others
+    that are as frequent; without a most frequent one the value has none. Two item values may share a document value.
+    """
+    within = lambda p, w: (p >= w["at"]) & (p < w["at"] + w["span"])
+    place = lambda p: F.get("item_words", p).isin(NUMBER, UNIT, NAME)
+
+    def of(true):
+        met = F.filter(F.sequence(F.lit(0), F.size("item_words") - 1), lambda p: place(p) & F.exists(true, lambda w: within(p, w)))
+        pairs = F.transform(met, lambda p: F.struct(p.alias("p"), F.get("item_valued", p).alias("a"), F.get("doc_valued", p + shift).alias("b")))
+        return _let(pairs, lambda own: _let(F.transform(own, lambda x: x.withField("n", F.size(F.filter(own, lambda y: (y["a"] == x["a"]) & (y["b"] == x["b"]))))), lambda own: chosen(true, own)))
+
+    def chosen(true, own):
+        rival = lambda x, y: (y["a"] == x["a"]) & (y["b"] != x["b"]) & ((y["n"] > x["n"]) | ((y["n"] == x["n"]) & (x["a"] != x["b"])))
+        strays = F.filter(own, lambda x: F.exists(own, lambda y: rival(x, y)))
+        others = F.filter(own, lambda x: x["a"] != x["b"])
+        free = lambda bad, w: ~F.exists(bad, lambda x: within(x["p"], w))
+        return _let(strays, lambda s: _let(others, lambda o: F.filter(true, lambda w: free(s, w) | free(o, w))))
+
+    alike = lambda w, a, b: F.slice(a, w["at"] + shift + 1, w["span"]) == F.slice(b, w["at"] + 1, w["span"])
+    return _let(F.filter(windows, lambda w: alike(w, F.col("doc_words"), F.col("item_words"))), of)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, content: int = CONTENT) -> DataFrame:
     """documents(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, windows, words, slots, exact), one row per leaked item of a document.
 
-    windows: matching windows of consistent runs; words: of the longest such run; slots: placeholders in it; exact:
-    all its values are the same as the item's. Null, empty and short texts match nothing; items shorter than `width`
+    windows: matching windows that are consistent; words: of the longest run from the first to the last of them; slots:
+    placeholders in it; exact: all its words and values are the same as the item's. Null, empty and short texts match nothing; items shorter than `width`
     words are matched as a whole if they have `content` words that aren't placeholders. Repeated documents and items
     are each reported; a null id is kept as null and taken as one document. Other columns are ignored; either table
     may be empty.
@@ -89,24 +121,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, conten
         found = seen.join(own, "hash").select("doc_id", "item_id", "at", "item_at", "span")
         hits = found if hits is None else hits.unionByName(found)
     runs = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.countDistinct("item_at").alias("windows"), F.min("item_at").alias("lo"), F.max(F.col("item_at") + F.col("span")).alias("hi")
+        F.collect_set(F.struct(F.col("item_at").alias("at"), "span")).alias("met")
     )
     runs = cut(runs)
     ids = runs.select("doc_id").distinct()
     few = ids.count() <= 1_000_000
     text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").where("text IS NOT NULL").distinct()
-    text = text.select(F.col("doc_id").alias("d"), template_words(F.col("text")).alias("doc_words"), slot_values(F.col("text")).alias("values"))
-    sides = items.select(F.col("item_id").alias("i"), "item_words", slot_values(F.col("item_text")).alias("item_values"))
+    text = text.select(F.col("doc_id").alias("d"), template_words(F.col("text")).alias("doc_words"), slot_values(F.col("text")).alias("v")).withColumn("doc_valued", valued_words(F.col("doc_words"), F.col("v")))
+    sides = items.select(F.col("item_id").alias("i"), "item_words", valued_words(F.col("item_words"), slot_values(F.col("item_text"))).alias("item_valued"))
     both = runs.join(text, runs["doc_id"].eqNullSafe(text["d"])).join(F.broadcast(sides) if few else sides, runs["item_id"].eqNullSafe(sides["i"]))
-    start, stop = F.col("lo") + F.col("shift"), F.col("hi") + F.col("shift")
-    same, equal = F.lit(True), F.lit(True)
-    for k, mark in enumerate((NUMBER, UNIT, NAME)):
-        theirs, ours = _pattern(F.col("item_values")[k], F.col("item_words"), F.col("lo"), F.col("hi"), mark), _pattern(F.col("values")[k], F.col("doc_words"), start, stop, mark)
-        same = same & (theirs == ours)
-        cutout = lambda v, w, a, b, mark=mark: F.slice(v, F.size(F.filter(F.slice(w, 1, a), lambda x: x == mark)) + 1, F.size(F.filter(F.slice(w, a + 1, b - a), lambda x: x == mark)))
-        equal = equal & (cutout(F.col("item_values")[k], F.col("item_words"), F.col("lo"), F.col("hi")) == cutout(F.col("values")[k], F.col("doc_words"), start, stop))
-    # between a run's windows words may differ: then its slots are those of the benchmark's windows alone
-    whole = F.slice("doc_words", start + 1, stop - start) == F.slice("item_words", F.col("lo") + 1, F.col("hi") - F.col("lo"))
-    judged = both.select("doc_id", "item_id", "windows", (F.col("hi") - F.col("lo")).alias("words"), placeholders(F.slice("item_words", F.col("lo") + 1, F.col("hi") - F.col("lo"))).alias("slots"), (~whole | same).alias("consistent"), (whole & equal).alias("exact"))
-    best = judged.where("consistent").groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max(F.struct("words", "slots", "exact")).alias("b"))
+    both = both.withColumn("kept", _kept(F.col("met"), F.col("shift"))).where(F.size("kept") > 0)
+    both = both.withColumns({"lo": F.array_min(F.transform("kept", lambda w: w["at"])), "hi": F.array_max(F.transform("kept", lambda w: w["at"] + w["span"])), "windows": F.size(F.array_distinct(F.transform("kept", lambda w: w["at"])))})
+    # between a run's windows words and values may differ
+    own = lambda c, by=F.lit(0): F.slice(c, F.col("lo") + by + 1, F.col("hi") - F.col("lo"))
+    judged = both.select("doc_id", "item_id", "windows", (F.col("hi") - F.col("lo")).alias("words"), placeholders(own("item_words")).alias("slots"), (own("doc_valued", F.col("shift")) == own("item_valued")).alias("exact"))
+    best = judged.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max(F.struct("words", "slots", "exact")).alias("b"))
     return best.select("doc_id", "item_id", "windows", F.col("b.words").cast("long").alias("words"), F.col("b.slots").cast("long").alias("slots"), F.col("b.exact").alias("exact"))

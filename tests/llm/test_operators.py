@@ -399,6 +399,17 @@ def test_other_numbers_and_names_are_caught(spark):
     assert set(got) == {0, 1} and got[1].exact and not got[0].exact and got[0].slots == 8
 
 
+def test_slots_may_merge_and_a_stray_one_costs_only_its_windows(spark):
+    apples = "Tom thinks that a basket on the table has 3 apples and his sister buys 5 more of them today."
+    passage = "the tank holds 60 litres of clean water when full and the pump in the cellar moves all of it up to the roof, where the other tank of 60 litres stands next to the old chimney of the house"
+    items = spark.createDataFrame([(1, apples), (2, passage)], "item_id long, text string")
+    texts = [apples.replace("3", "4").replace("5", "4"), passage[::-1].replace("06", "57", 1)[::-1], passage.replace("60", "75"), passage.replace("60", "75", 1).replace("60", "80", 1)]
+    got = {(r.doc_id, r.item_id): r for r in find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect()}
+    assert set(got) == {(0, 1), (1, 2), (2, 2), (3, 2)} and not any(r.exact for r in got.values())
+    whole = got[2, 2].windows
+    assert got[1, 2].windows == whole - 8 and 0 < got[3, 2].windows < got[1, 2].windows
+
+
 # WARC
 
 
