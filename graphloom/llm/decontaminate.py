@@ -89,46 +89,61 @@ def _kept(windows: Column, shift: Column) -> Column:
         return _let(strays, lambda s: _let(others, lambda o: F.filter(true, lambda w: free(s, w) | free(o, w))))
 
     alike = lambda w, a, b: F.slice(a, w["at"] + shift + 1, w["span"]) == F.slice(b, w["at"] + 1, w["span"])
-    return _let(F.filter(windows, lambda w: alike(w, F.col("doc_words"), F.col("item_words"))), of)
+    true = lambda w: F.when(w["valued"], alike(w, F.col("doc_valued"), F.col("item_valued"))).otherwise(alike(w, F.col("doc_words"), F.col("item_words")))
+    return _let(F.filter(windows, true), of)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, content: int = CONTENT) -> DataFrame:
     """documents(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, windows, words, slots, exact), one row per leaked item of a document.
 
     windows: matching windows that are consistent; words: of the longest run from the first to the last of them; slots:
-    placeholders in it; exact: all its words and values are the same as the item's. Null, empty and short texts match nothing; items shorter than `width`
-    words are matched as a whole if they have `content` words that aren't placeholders. Repeated documents and items
-    are each reported; a null id is kept as null and taken as one document. Other columns are ignored; either table
+    placeholders in it; exact: all its words and values are the same as the item's. Null and empty texts match nothing;
+    items shorter than `width` words are matched as a whole, from 3 words on. A window with fewer than `content` words
+    that aren't placeholders is matched with its values, and by the template of up to 2 * `width` words around it if
+    those have enough. Repeated documents and items are each reported; a null id is kept as null and taken as one document. Other columns are ignored; either table
     may be empty.
     """
     need(docs, "doc_id", "text")
     need(benchmark, "item_id", "text")
     items = benchmark.select("item_id", F.col("text").alias("item_text")).where("text IS NOT NULL").distinct()
-    items = items.select("item_id", "item_text", template_words(F.col("item_text")).alias("item_words"))
+    items = items.select("item_id", template_words(F.col("item_text")).alias("item_words"), slot_values(F.col("item_text")).alias("v"))
+    items = items.withColumn("item_valued", valued_words(F.col("item_words"), F.col("v"))).drop("v")
     size = F.least(F.lit(width), F.size("item_words"))
     placeholders = lambda w: F.size(F.filter(w, lambda x: x.isin(NUMBER, UNIT, NAME)))
-    spans = items.select("item_id", "item_words", size.alias("span"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("item_words") - width + 1))).alias("at"))
-    spans = spans.withColumn("own", F.slice("item_words", F.col("at"), F.col("span"))).where((F.col("span") > 0) & (F.size("own") - placeholders(F.col("own")) >= F.least(F.lit(content), F.col("span"))) & (F.size("own") - placeholders(F.col("own")) >= min(content, 3)))
-    targets = cut(spans.select(F.xxhash64("own").alias("hash"), "item_id", (F.col("at") - 1).alias("item_at"), "span"))
-    widths = sorted({r["span"] for r in targets.select("span").distinct().collect()})
-    ready = docs.select("doc_id", template_words(F.coalesce("text", F.lit(""))).alias("words"))
-    hits = None
-    for w in widths or [width]:
-        seen = ready.select("doc_id", F.posexplode(_windows(F.col("words"), w)).alias("at", "hash"))
-        own = targets.where(F.col("span") == w)
-        if targets.count() <= BROADCAST_ROWS:
-            own = F.broadcast(own)
-        found = seen.join(own, "hash").select("doc_id", "item_id", "at", "item_at", "span")
-        hits = found if hits is None else hits.unionByName(found)
+    filled = lambda w: F.size(w) - placeholders(w)
+    least = min(content, 3)
+    spans = items.select("item_id", "item_words", "item_valued", size.alias("span"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("item_words") - width + 1))).alias("at")).where(F.col("span") >= least)
+    spans = spans.withColumn("own", F.slice("item_words", F.col("at"), F.col("span")))
+    spans = spans.withColumn("strong", (filled(F.col("own")) >= F.least(F.lit(content), F.col("span"))) & (filled(F.col("own")) >= least))
+    target = lambda w, at, span, valued: [F.xxhash64(w).alias("hash"), "item_id", (at - 1).alias("item_at"), span.alias("span"), F.lit(valued).alias("valued")]
+    strong = spans.where("strong").select(*target(F.col("own"), F.col("at"), F.col("span"), False))
+    # too few words of their own: with their values, and as part of a longer template
+    weak = spans.where("NOT strong")
+    exact = weak.select(*target(F.slice("item_valued", F.col("at"), F.col("span")), F.col("at"), F.col("span"), True))
+    weak = weak.where(F.size("item_words") > width).withColumn("long", F.least(F.size("item_words"), F.lit(2 * width))).withColumn("from", F.least(F.col("at"), F.size("item_words") - F.col("long") + 1))
+    weak = weak.withColumn("around", F.slice("item_words", F.col("from"), F.col("long"))).where(filled(F.col("around")) >= content)
+    longer = weak.select(*target(F.col("around"), F.col("from"), F.col("long"), False)).distinct()
+    targets = cut(strong.unionByName(exact).unionByName(longer))
+    kinds = sorted((r["span"], r["valued"]) for r in targets.select("span", "valued").distinct().collect())
+    ready = docs.select("doc_id", template_words(F.coalesce("text", F.lit(""))).alias("words"), slot_values(F.coalesce("text", F.lit(""))).alias("v"))
+    ready = ready.withColumn("valued", valued_words(F.col("words"), F.col("v")))
+    if len(kinds) < 2:
+        w, valued = (kinds or [(width, False)])[0]
+        seen = ready.select("doc_id", F.posexplode(_windows(F.col("valued" if valued else "words"), w)).alias("at", "hash"))
+    else:  # all kinds of windows in one pass over the texts
+        placed = [F.coalesce(F.transform(_windows(F.col("valued" if v else "words"), w), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))), F.array().cast("array<struct<at:int,hash:bigint>>")) for w, v in kinds]
+        seen = ready.select("doc_id", F.explode(F.concat(*placed)).alias("h")).select("doc_id", "h.at", "h.hash")
+    own = F.broadcast(targets) if targets.count() <= BROADCAST_ROWS else targets
+    hits = seen.join(own, "hash").select("doc_id", "item_id", "at", "item_at", "span", "valued")
     runs = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set(F.struct(F.col("item_at").alias("at"), "span")).alias("met")
+        F.collect_set(F.struct(F.col("item_at").alias("at"), "span", "valued")).alias("met")
     )
     runs = cut(runs)
     ids = runs.select("doc_id").distinct()
     few = ids.count() <= 1_000_000
     text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").where("text IS NOT NULL").distinct()
     text = text.select(F.col("doc_id").alias("d"), template_words(F.col("text")).alias("doc_words"), slot_values(F.col("text")).alias("v")).withColumn("doc_valued", valued_words(F.col("doc_words"), F.col("v")))
-    sides = items.select(F.col("item_id").alias("i"), "item_words", valued_words(F.col("item_words"), slot_values(F.col("item_text"))).alias("item_valued"))
+    sides = items.select(F.col("item_id").alias("i"), "item_words", "item_valued")
     both = runs.join(text, runs["doc_id"].eqNullSafe(text["d"])).join(F.broadcast(sides) if few else sides, runs["item_id"].eqNullSafe(sides["i"]))
     both = both.withColumn("kept", _kept(F.col("met"), F.col("shift"))).where(F.size("kept") > 0)
     both = both.withColumns({"lo": F.array_min(F.transform("kept", lambda w: w["at"])), "hi": F.array_max(F.transform("kept", lambda w: w["at"] + w["span"])), "windows": F.size(F.array_distinct(F.transform("kept", lambda w: w["at"])))})

@@ -410,6 +410,15 @@ def test_slots_may_merge_and_a_stray_one_costs_only_its_windows(spark):
     assert got[1, 2].windows == whole - 8 and 0 < got[3, 2].windows < got[1, 2].windows
 
 
+def test_items_of_numbers_are_found(spark):
+    """Windows of few words: verbatim, and re-parameterised where a longer template has words enough."""
+    texts = ["What is 15 % of 240 plus 3 / 4 of 96?", "Add 12 + 7 + 30 + 4.5 + 81 + 6 now", "Compute 15 % of 240"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    found = ["so what is 15 % of 240 plus 3 / 4 of 96? Well", "What is 20 % of 110 plus 1 / 2 of 48?", "add 12 + 7 + 30 + 4.5 + 81 + 6 now", "add 11 + 8 + 20 + 3.5 + 71 + 5 now", "compute 15 % of 240 please", "compute 16 % of 240 please"]
+    got = {(r.doc_id, r.item_id): r.exact for r in find_leaks(spark.createDataFrame(list(enumerate(found)), "doc_id long, text string"), items).collect()}
+    assert got == {(0, 0): True, (1, 0): False, (2, 1): True, (4, 2): True}
+
+
 # WARC
 
 
