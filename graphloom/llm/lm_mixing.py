@@ -2,9 +2,9 @@
 
 A byte is coded as binary decisions along a Huffman tree. For each decision, predictors of orders 0 to 5 look up, by a
 hash of the preceding bytes and the tree node, how often the bit was 0 or 1 in the training text. A mixer adds their
-logits with weights of a gate (how much the longest contexts have seen), learned online by gradient steps over a
-training stream; an adaptive probability map then refines the mixed probability by tree node. The bit counts are
-gathered from all training text; mixer and map come from a bounded stream. Scoring applies the learned state, the same
+logits with weights of a gate (how much the longest contexts have seen), learned by a few Newton steps; a probability
+map then refines the mixed probability by tree node. Bit counts, mixer and map are all gathered from all training text:
+of a decision its own bit is left out of the counts. Scoring applies the learned state, the same
 for every document, so that scores don't depend on the order or the placing of rows; its result for a six-byte context
 is kept in a table, as most contexts recur.
 """
@@ -31,9 +31,8 @@ BASES = np.cumsum([0, *(1 << b for b in SLOT_BITS)])
 END = 0xFF
 GATES = 5 * 5 * 3
 MAP_STEPS = 33
-#: Bound of the training stream for mixer and map, in bytes; at most so many bytes of one document.
-STREAM_BYTES = 600_000
-STREAM_DOC_BYTES = 4_000
+#: Newton steps of the mixer, each a pass over the gram table; a last pass makes the map.
+PASSES = 3
 #: Bits of the number of entries of a worker's table of contexts, for counting and for scoring.
 TABLE_BITS = 20
 SCORE_BITS = 22
@@ -160,29 +159,62 @@ class Mixture:
             total[live] += np.log10(np.where(bit == 1, p, 1 - p))
         return total
 
-    def learn(self, key: np.ndarray, batch: int = 256, rate: float = 0.0006) -> None:
-        """Online: for each few grams of the stream in turn, predict, then move weights and map towards the bits that came."""
+    def sums(self, key: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """What learning adds up over grams that occur so many times: by gate slopes and curvatures of the log loss, by node and step of the map decisions and ones."""
         lengths, nodes, bits = self.tree
-        self.refine = np.tile(1 / (1 + np.exp(-np.linspace(-14, 14, MAP_STEPS))), (256, 1))
-        for lo in range(0, len(key), batch):
-            own = key[lo : lo + batch]
+        total = np.zeros(SUMS)
+        slope, curve, n, ones = _parts(total)
+        for lo in range(0, len(key), 50_000):
+            own, count = key[lo : lo + 50_000], times[lo : lo + 50_000].astype(np.float64)
             byte = (own & np.uint64(255)).astype(np.int64)
-            which = np.repeat(np.arange(len(own)), lengths[byte])
-            depth = np.arange(len(which)) - np.repeat(np.cumsum(lengths[byte]) - lengths[byte], lengths[byte])
-            node, bit = nodes[byte[which], depth], bits[byte[which], depth]
-            x, gate = self.inputs(own[which], node, bit)
-            z = self.mixed(x, gate)
-            p = 1 / (1 + np.exp(-z))
-            step = np.zeros_like(self.weights)
-            np.add.at(step, gate, (bit - p)[:, None] * x)
-            held = np.bincount(gate, minlength=GATES)[:, None]
-            self.weights += rate * step / np.sqrt(np.maximum(1, held))
-            near = np.rint((z + 14) * (MAP_STEPS - 1) / 28).astype(np.int64)
-            at = node * MAP_STEPS + near
-            n = np.bincount(at, minlength=256 * MAP_STEPS)
-            ones = np.bincount(at, bit, 256 * MAP_STEPS)
-            flat, hit = self.refine.reshape(-1), n > 0
-            flat[hit] += (1 - 0.98 ** n[hit]) * (ones[hit] / n[hit] - flat[hit])
+            for k in range(nodes.shape[1]):
+                live = np.flatnonzero(lengths[byte] > k)
+                if not len(live):
+                    break
+                node, bit, c = nodes[byte[live], k], bits[byte[live], k], count[live]
+                x, gate = self.inputs(own[live], node, bit)
+                z = self.mixed(x, gate)
+                p = 1 / (1 + np.exp(-z))
+                order = np.argsort(gate.astype(np.uint8), kind="stable")
+                edges = np.searchsorted(gate[order], np.arange(GATES + 1))
+                x, d, h = x[order], (c * (bit - p))[order], (c * p * (1 - p))[order]
+                for g in np.flatnonzero(np.diff(edges)):
+                    part = slice(edges[g], edges[g + 1])
+                    slope[g] += d[part] @ x[part]
+                    curve[g] += x[part].T @ (x[part] * h[part, None])
+                at = node * MAP_STEPS + np.rint((z + 14) * (MAP_STEPS - 1) / 28).astype(np.int64)
+                n += np.bincount(at, c, len(n))
+                ones += np.bincount(at, c * bit, len(n))
+        return total
+
+    def step(self, total: np.ndarray) -> None:
+        """A Newton step of the weights, held to their start as by ten decisions."""
+        slope, curve, _, _ = _parts(total)
+        move = np.linalg.solve(curve + 10 * np.eye(ORDERS + 1), (slope - 10 * (self.weights - 0.3))[..., None])[..., 0]
+        self.weights = self.weights + np.clip(move, -0.5, 0.5)
+
+    def chart(self, total: np.ndarray) -> None:
+        """The map: share of ones at each node and step, beside fifty decisions as mixed."""
+        _, _, n, ones = _parts(total)
+        mixed = 1 / (1 + np.exp(-np.linspace(-14, 14, MAP_STEPS)))
+        self.refine = (ones.reshape(256, -1) + 50 * mixed) / (n.reshape(256, -1) + 50)
+
+    def learn(self, key: np.ndarray) -> None:
+        """Weights and map from the grams of a text, in memory."""
+        unique, times = np.unique(key, return_counts=True)
+        for _ in range(PASSES):
+            self.step(self.sums(unique, times))
+        self.chart(self.sums(unique, times))
+
+
+SUMS = GATES * (ORDERS + 1) * (ORDERS + 2) + 2 * 256 * MAP_STEPS
+
+
+def _parts(total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Views of sums(): slopes, curvatures, decisions, ones."""
+    wide, square = GATES * (ORDERS + 1), GATES * (ORDERS + 1) ** 2
+    n, ones = total[wide + square :].reshape(2, -1)
+    return total[:wide].reshape(GATES, -1), total[wide : wide + square].reshape(GATES, ORDERS + 1, ORDERS + 1), n, ones
 
 
 def _count_bytes(batches):
@@ -269,11 +301,18 @@ def _predictors(tree):
     return run
 
 
-def _head(batches):
-    """The first bytes of each stream document, cut where a character ends: the bound on one document's share of the stream."""
-    for batch in batches:
-        data, offsets = T.buffer_of(T.column(batch, "text"))
-        yield pa.RecordBatch.from_arrays([pa.array([data[a : min(b, a + STREAM_DOC_BYTES)].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["head"])
+def _learning(shared, weights: np.ndarray):
+    """Mixture.sums of one task's grams."""
+
+    def run(batches):
+        mixture = Mixture(*shared.value, weights=weights)
+        total = np.zeros(SUMS)
+        for batch in batches:
+            total += mixture.sums(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["place", "value"])
+
+    return run
 
 
 def fit(docs: DataFrame) -> tuple[Mixture, DataFrame, int, int]:
@@ -298,22 +337,14 @@ def fit(docs: DataFrame) -> tuple[Mixture, DataFrame, int, int]:
     words = sums.where("kind = 1").select(F.col("id").alias("word"), "n")
     number, distinct = words.agg(F.sum("n"), F.count("*")).first()
     mixture = Mixture(counts, tree)
-    share = min(1.0, STREAM_BYTES / max(1, int(total.sum())) * 2)
-    picked = training.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2000)
-    heads = sorted(bytes(r[0]) for r in picked.select("text").mapInArrow(_head, "head binary").collect())
-    order = np.random.default_rng(11).permutation(len(heads))
-    held, size = [], 0
-    for i in order:
-        if size >= STREAM_BYTES:
-            break
-        held.append(heads[i])
-        size += len(heads[i])
-    if held:
-        data = np.frombuffer(b"".join(held), np.uint8)
-        key, _ = grams(data, np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int64))
-        mixture.learn(key)
-    else:
-        mixture.refine = None
+    if total.any():
+        shared = training.sparkSession.sparkContext.broadcast((counts, tree))
+        for turn in range(PASSES + 1):
+            added = np.zeros(SUMS)
+            found = sums.where("kind = 0").select("id", "n").mapInArrow(_learning(shared, mixture.weights), "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+            added[found["place"].to_numpy()] = found["value"].to_numpy()
+            mixture.step(added) if turn < PASSES else mixture.chart(added)
+        shared.destroy()
     return mixture, words, int(number or 0) + docs_count(training), int(distinct) + (1 if total[END] else 0)
 
 

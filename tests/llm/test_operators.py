@@ -315,6 +315,19 @@ def test_next_byte_probabilities_sum_to_one():
     assert -M.Scorer(m)(key).sum() / np.log10(2) / len(data) < 1.5
 
 
+def test_mixer_and_map_learn_from_late_text(spark):
+    """Every decision on the path of a byte that occurs, if only late in long documents, moves the map."""
+    from graphloom.llm import lm_mixing as M
+
+    rng = random.Random(6)
+    rows = [(i, "a few words " * 400 + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=2000))) for i in range(30)]
+    m = M.fit(spark.createDataFrame(rows, "doc_id long, text string"))[0]
+    lengths, nodes, _ = m.tree
+    met = {int(n) for b in set("".join(t for _, t in rows).encode()) for n in nodes[b, : lengths[b]]}
+    grid = 1 / (1 + np.exp(-np.linspace(-14, 14, M.MAP_STEPS)))
+    assert all((m.refine[n] != grid).any() for n in met)
+
+
 # classifiers
 
 
