@@ -315,6 +315,12 @@ def _learning(shared, weights: np.ndarray):
     return run
 
 
+def halved(n: str, m: str) -> list:
+    """Two long counts as ints below 2**16, halved until they fit, both alike: only their ratio and rough size matter."""
+    times = f"greatest(0, length(bin(greatest({n}, {m}))) - 16)"
+    return [F.expr(f"cast(shiftright({c}, cast({times} as int)) as int)").alias(c) for c in (n, m)]
+
+
 def fit(docs: DataFrame) -> tuple[Mixture, DataFrame, int, int]:
     """(mixture, word counts (word, n), N, V) of the training texts: those whose fold (crc32 of the id, modulo 10) is not 0.
 
@@ -330,10 +336,9 @@ def fit(docs: DataFrame) -> tuple[Mixture, DataFrame, int, int]:
     counts = np.zeros((2, BASES[-1]), np.uint16)
     seen = sums.where("kind = 0").select("id", "n").mapInArrow(_predictors(tree), "slot long, n long, m long")
     found = seen.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    found = found.select(F.col("slot").cast("int"), *(F.least(c, F.lit(2**31 - 1)).cast("int").alias(c) for c in "nm")).toArrow()
+    found = found.select(F.col("slot").cast("int"), *halved("n", "m")).toArrow()
     for side, name in enumerate("nm"):
-        # halved until they fit, both alike: only their ratio and rough size matter
-        counts[side][found["slot"].to_numpy()] = found[name].to_numpy() >> np.maximum(0, np.ceil(np.log2(np.maximum(1, np.maximum(found["n"].to_numpy(), found["m"].to_numpy()) / 65535.0)))).astype(np.int32)
+        counts[side][found["slot"].to_numpy()] = found[name].to_numpy()
     words = sums.where("kind = 1").select(F.col("id").alias("word"), "n")
     number, distinct = words.agg(F.sum("n"), F.count("*")).first()
     mixture = Mixture(counts, tree)

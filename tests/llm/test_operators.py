@@ -328,6 +328,14 @@ def test_mixer_and_map_learn_from_late_text(spark):
     assert all((m.refine[n] != grid).any() for n in met)
 
 
+def test_large_bit_counts_keep_their_ratio(spark):
+    from graphloom.llm import lm_mixing as M
+
+    rows = [(10**10, 25 * 10**8), (0, 0), (65_535, 1), (65_536, 2), (3, 2**40)]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "n long, m long").select(*M.halved("n", "m")).collect()]
+    assert all(max(r) < 2**16 for r in got) and got[1:4] == [(0, 0), (65_535, 1), (32_768, 1)] and got[0][0] / got[0][1] == pytest.approx(4, rel=1e-3) and got[4][0] == 0
+
+
 # classifiers
 
 
