@@ -19,7 +19,7 @@ from graphloom.llm.components import components
 from graphloom.llm.decontaminate import find_leaks
 from graphloom.llm.language_id import identify
 from graphloom.llm.lm_mixing import score_texts
-from graphloom.llm.packing import OpenWindows, best_fit, pack
+from graphloom.llm.packing import OpenWindows, best_fit, pack, tokenizer
 from graphloom.llm.toxicity import score_toxicity
 
 DATA = "/root/testdata/sf0.001"
@@ -178,7 +178,6 @@ def test_packing_holds_each_id_once(docs, local):
     from tokenizers import Tokenizer
 
     code = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    code.encode_special_tokens = True
     want = {i: [*code.encode(t or "", add_special_tokens=False).ids, 1] for i, t in zip(local.doc_id, local.text, strict=True)}
     got = pack(docs, keep_ids=True).toPandas()
     for doc, own in got.groupby("doc_id"):
@@ -191,6 +190,23 @@ def test_packing_holds_each_id_once(docs, local):
     assert got.length.sum() / (got.sequence_id.nunique() * 2048) > 0.97
 
 
+def test_ids_are_those_of_the_vocabulary():
+    """Added tokens and all, on strings of awkward pieces."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    code, own, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokenizer("byte_bpe_50k.json"), random.Random(2)
+    pieces = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "\r\n", "\t", "a", "Word", "don't", "'S", "é", "日本", "\U0001f642", "12", "...", "\u00a0", "\u0301", "\u200b", "\0"]
+    for text in ["a <|endoftext|> b", "", *("".join(rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(3000))]:
+        assert own.encode(text, allowed_special="all") == code.encode(text, add_special_tokens=False).ids
+    assert 50256 in own.encode("a <|endoftext|> b", allowed_special="all")
+
+
+def test_added_tokens_are_packed_by_their_id(spark):
+    got = pack(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string"), keep_ids=True).first()
+    assert got.doc_tokens == 5 and 50256 in got.ids
+
+
 # lossless WebP
 
 
