@@ -1,8 +1,8 @@
 """Chat formatting with DataFrame functions only: schema fingerprints choose a declarative mapping to canonical turns.
 
-A record is a JSON text in any known layout. Its fingerprint is a hash of its sorted key paths (with the paths of the
-first message where there is a list of messages); a table of mappings, keyed by the fingerprints of the layouts they
-describe, says which fields become which turns. Turns are then rendered by a template whose control strings are escaped
+A record is a JSON text in any known layout. Its fingerprint is a hash of its sorted field paths, nested to any depth and
+of all elements of its lists together; a table of mappings, keyed by the fingerprints of the layouts they
+describe, says which fields become which turns, so a field that a mapping would not carry makes the layout an unknown one. Turns are then rendered by a template whose control strings are escaped
 inside texts by one backslash after their first character, which unescape() takes out again.
 """
 
@@ -35,9 +35,9 @@ class Mapping:
     aliases: tuple[tuple[str, str], ...] = ()
 
     @property
-    def paths(self) -> list[str]:
-        inner = [f"{self.messages}[].{x}" for x in (self.role, self.text)] if self.messages else []
-        return sorted([*self.keys, *inner])
+    def paths(self) -> str:
+        inner = {self.messages: f": ARRAY<OBJECT<{', '.join(sorted((self.role, self.text)))}>>"}
+        return f"OBJECT<{', '.join(k + inner.get(k, '') for k in sorted(self.keys))}>"
 
 
 #: Names of the roles in the from/value layout.
@@ -53,21 +53,23 @@ MAPPINGS = (
     Mapping("instruction_input", ("instruction", "input", "output"), (("user", "instruction", "input"), ("assistant", "output"))),
     Mapping("system_instruction", ("system", "instruction", "output"), (("system", "system"), ("user", "instruction"), ("assistant", "output"))),
 )
-LISTS = tuple(dict.fromkeys(m.messages for m in MAPPINGS if m.messages))
+#: A field's plain type in the tree of paths; one of mixed types stays and is unknown.
+PLAIN = r": (?:STRING|BIGINT|BOOLEAN|VOID|DOUBLE|DECIMAL\([0-9,]+\))(?=[,>])"
+
+
+def field_paths(record: Column) -> Column:
+    """The sorted nested field paths of a JSON record as one tree, such as OBJECT<messages: ARRAY<OBJECT<content, role>>>; null where the text is no JSON, names a field twice or takes over 128 MB."""
+    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), PLAIN, "")
 
 
 def fingerprint(record: Column) -> Column:
-    """Hash of a JSON record's sorted key paths; null where the text is no JSON object."""
-    paths = F.json_object_keys(record)
-    for name in LISTS:
-        first = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
-        inner = F.filter(F.split(F.concat(F.lit(f"{name}[]."), F.array_join(first, f"\n{name}[].")), "\n"), lambda k: k != "")
-        paths = F.concat(paths, F.coalesce(inner, F.array().cast("array<string>")))
-    return F.xxhash64(F.array_join(F.array_sort(paths), "\n"))
+    """Hash of a JSON record's nested field paths; null where there are none to tell."""
+    paths = field_paths(record)
+    return F.when(paths.isNotNull(), F.xxhash64(paths))
 
 
 def known_fingerprint(mapping: Mapping) -> Column:
-    return F.xxhash64(F.lit("\n".join(mapping.paths)))
+    return F.xxhash64(F.lit(mapping.paths))
 
 
 def canonical_turns(record: Column, mark: Column) -> tuple[Column, Column]:
@@ -123,11 +125,14 @@ def render(df: DataFrame, turns: str = "turns", trained: str = "assistant") -> D
     """Adds `formatted` and `loss_runs` (array<struct<length, loss>>: run lengths in characters that cover formatted; loss is true for each text of the trained role)."""
     head = lambda t: F.concat(F.lit(OPEN), _line(t["role"]), F.lit("\n"))
     parts = F.transform(F.col(turns), lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == trained).alias("loss")))
-    df = df.withColumn("_parts", parts)
+    own = "parts"
+    while own in df.columns:
+        own += "_"
+    df = df.withColumn(own, parts)
     run = lambda n, on: F.struct(n.cast("long").alias("length"), on.alias("loss"))
-    runs = F.flatten(F.transform("_parts", lambda p: F.array(run(F.length(p["head"]), F.lit(False)), run(F.length(p["body"]), p["loss"]), run(F.lit(len(CLOSE) + 1), F.lit(False)))))
-    text = F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE + "\n"))), "")
-    return df.withColumns({"formatted": text, "loss_runs": runs}).drop("_parts")
+    runs = F.flatten(F.transform(own, lambda p: F.array(run(F.length(p["head"]), F.lit(False)), run(F.length(p["body"]), p["loss"]), run(F.lit(len(CLOSE) + 1), F.lit(False)))))
+    text = F.array_join(F.transform(own, lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE + "\n"))), "")
+    return df.withColumns({"formatted": text, "loss_runs": runs}).drop(own)
 
 
 def read_back(formatted: Column, loss_runs: Column) -> tuple[Column, Column]:
@@ -147,8 +152,9 @@ def _literal(text: str) -> str:
 def format_records(records: DataFrame, record: str = "record") -> DataFrame:
     """Adds fingerprint, mapping, turns, formatted and loss_runs to a table with a JSON text column.
 
-    A null, malformed or unknown record has a null mapping and null turns (nothing is dropped); an empty list of messages
-    has an unknown fingerprint. Other columns are kept; those of the names above are replaced.
+    A null, malformed or unknown record has a null mapping and null turns, its text stays in the record (nothing is
+    dropped); an empty list of messages and messages of several layouts have unknown fingerprints. Other columns are
+    kept; those of the names above are replaced.
     """
     need(records, record)
     df = records.withColumn("fingerprint", fingerprint(F.col(record)))

@@ -98,3 +98,6 @@ def test_chat_edges(spark):
     assert chat.digest(chat.format_records(chat.records_of(rows.limit(0)))).isEmpty()
     odd = spark.createDataFrame([(1, None), (2, "no json"), (3, '{"a": 1}'), (4, '{"messages": []}')], "k long, record string")
     assert all(r["mapping"] is None for r in chat.format_records(odd).collect())
+    clash = spark.createDataFrame([(1, '{"prompt": "a", "response": "b"}', "x", "y", "z", 3)], "k long, record string, parts string, formatted string, turns string, fingerprint int")
+    row = chat.format_records(clash).first()
+    assert row["parts"] == "x" and row["formatted"] != "y" and len(row["turns"]) == 2 and row["mapping"] == "prompt_response"

@@ -290,6 +290,20 @@ def test_layouts_are_told_by_fingerprint(spark):
         assert sum(x["length"] for x in r["loss_runs"]) == len(r["formatted"]) and [x["loss"] for x in r["loss_runs"]].count(True) == 1
 
 
+def test_fields_that_no_mapping_carries_make_a_layout_unknown(spark):
+    """Later messages of another layout, further or deeper fields, mixed types: named by another fingerprint, with no turns."""
+    known = ['{"messages": [{"role": "user", "content": "a"}, {"content": null, "role": "assistant"}]}', '{"messages": [{"content": "", "role": ""}]}']
+    odd = [
+        '{"messages": [{"role": "user", "content": "a"}, {"from": "gpt", "value": "b"}]}', '{"conversations": [{"from": "human", "value": "a"}, {"role": "assistant", "content": "b"}]}', '{"messages": [{"role": "user", "content": "a"}, {"role": "user", "content": "b", "weight": 1}]}',
+        '{"messages": [{"role": "user", "content": {"parts": ["a"]}}]}', '{"messages": [{"role": "user", "content": ["a"]}, {"role": "user", "content": "b"}]}', '{"prompt": "a", "response": "b", "meta": {"x": 1}}', '{"prompt": ["a"], "response": "b"}', '{"prompt": "a", "response: STRING": "b"}', '["a"]',
+    ]
+    rows = list(enumerate(known + odd))
+    got = chat.format_records(spark.createDataFrame(rows, "i int, record string")).orderBy("i").collect()
+    assert [r["mapping"] for r in got] == ["messages"] * 2 + [None] * len(odd)
+    assert len({r["fingerprint"] for r in got[1:]}) == len(odd) + 1 and all(r["fingerprint"] is not None and r["turns"] is None for r in got[2:])
+    assert got[0]["fingerprint"] == got[1]["fingerprint"] and [r["record"] for r in got] == known + odd
+
+
 # language model
 
 
