@@ -5,8 +5,10 @@ difference by k_j. PartEnum splits the hash domain into n1 parts and each of tho
 differs in at most k2 elements, so some choice of n2-k2 of its pieces is equal in both sets. Each such choice is one
 signature, hence every similar pair shares one: candidates are complete, and an exact intersection follows.
 
-A bucket of one signature may hold a large group of near copies, so its pairs are never listed. Each set is compared with
-its bucket's leader; two others that the leader doesn't link already must share some of what they change in it.
+A bucket of one signature may hold a large group, so its pairs are never listed. Small buckets are looked through by
+sketches. Members of large ones go by a second filter: of two similar sets the rarest elements meet, so that unlike sets
+which share a common passage part. What still is a large bucket is a group of near copies. Each set is compared with its
+bucket's leader; two others that the leader doesn't link already must share some of the rarest of what they change in it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as T
-from .common import cut, need, spilled
+from .common import cut, lean, need, spilled
 from .components import components
 
 #: Width of a size band; the widest step at which a set meets at most two bands.
@@ -172,19 +174,25 @@ def _common(docs: DataFrame, width: int) -> np.ndarray:
     """Hashes of common shingles from a sample of about SAMPLE_DOCS documents, chosen by a hash of the id."""
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE_DOCS)
-    sets = sample.select(F.lit(0).cast("long").alias("sid"), "text").mapInArrow(_arrays(width), ARRAYS)
+    sets = sample.select("text").mapInArrow(lean(_arrays(width)), ARRAYS)
     counts = sets.select(F.explode(F.array_distinct("items")).alias("item")).groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_IN)
     found = counts.orderBy(F.col("n").desc(), "item").limit(COMMON_MOST).select("item").toArrow()["item"].to_numpy()
     return np.sort(found.view(np.uint64))
 
 
+#: Ids or names that a task keeps to leave out what it has met before.
+SEEN = 200_000
+
+
 def _signatures(width: int, percent: int, shared):
-    """(sig, sid) rows of a task's documents; copies within it give them once."""
+    """(sig, rank, sid) rows of a task's documents; copies within it give them once, as far as memory is set aside for it."""
 
     def run(batches):
         seen: set[int] = set()
         common = shared.value
         for batch in batches:
+            if len(seen) > SEEN:
+                seen.clear()
             made, ids = [np.zeros(0, np.uint64)], []
             for items in _sets(batch, width):
                 sid = int(set_id(items).view(np.int64)) if len(items) else 0
@@ -192,7 +200,8 @@ def _signatures(width: int, percent: int, shared):
                     made.append(all_signatures(items, percent, common))
                     ids.append(np.full(len(made[-1]), sid, np.int64))
                     seen.add(sid)
-            yield pa.RecordBatch.from_arrays([pa.array(T.signed(np.concatenate(made))), pa.array(np.concatenate([np.zeros(0, np.int64), *ids]))], ["sig", "sid"])
+            sids = np.concatenate([np.zeros(0, np.int64), *ids])
+            yield pa.RecordBatch.from_arrays([pa.array(T.signed(np.concatenate(made))), pa.array(np.zeros(len(sids), np.int32)), pa.array(sids)], ["sig", "rank", "sid"])
 
     return run
 
@@ -218,31 +227,30 @@ def _folded(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def _mark(long: np.ndarray) -> np.ndarray:
-    """A sketch folded to 256 bits."""
-    while len(long) > 4:
+    """A sketch folded to 512 bits."""
+    while len(long) > 8:
         long = long[: len(long) // 2] ^ long[len(long) // 2 :]
     return long
 
 
-#: Buckets up to this size are looked through by sketches; larger ones are kept whole.
+#: Buckets up to this size are looked through by sketches.
 LOOKED = 256
 
 
 def _promising(percent: int):
-    """Rows (bucket, sid, n, sketch) in order of bucket -> (bucket, sid) of those that have another in the bucket which their sketches don't rule out."""
+    """Rows (bucket, sid, n, sketch) in order of bucket, of at most LOOKED each -> (first, sid): those that another set of the bucket may be similar to, by their sketches, under the one that may be similar to most."""
 
     def near(n: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
         m = _folded(sketches)
-        keep = np.zeros(len(n), bool)
+        others = np.zeros(len(n), np.int64)
         for i in range(len(n) - 1):
             apart = np.bitwise_count(m[i + 1 :] ^ m[i]).sum(1, dtype=np.int64)
-            hit = apart * (100 + percent) <= (n[i + 1 :] + n[i]) * (100 - percent)
-            keep[i] |= hit.any()
-            keep[i + 1 :] |= hit
-        return keep
+            hit = _similar(apart, n[i + 1 :] + n[i], percent)
+            others[i] += np.count_nonzero(hit)
+            others[i + 1 :] += hit
+        return others
 
     def run(batches):
-        passed = None  # a large bucket whose first rows were kept unseen
         held: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
         for batch in _and_end(batches):
             if batch is not None:
@@ -254,14 +262,17 @@ def _promising(percent: int):
             if not len(bucket):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            stop = len(bucket) if batch is None or len(bucket) - starts[-1] > LOOKED else starts[-1]
-            keep = np.zeros(stop, bool)
+            stop = len(bucket) if batch is None else starts[-1]
+            first, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for x, y in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
-                if x < stop:
-                    keep[x:y] = True if y - x > LOOKED or bucket[x] == passed else near(n[x:y], sketches[x:y])
-            if len(bucket) - starts[-1] > LOOKED:
-                passed = bucket[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[:stop][keep]), pa.array(sid[:stop][keep])], ["bucket", "sid"])
+                if x < stop and y - x > 1:
+                    others = near(n[x:y], sketches[x:y])
+                    if others.any():
+                        lead = sid[x:y][np.lexsort((sid[x:y], -others))[0]]
+                        own = sid[x:y][(others > 0) & (sid[x:y] != lead)]
+                        first.append(np.full(len(own), lead))
+                        kept.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(kept))], ["first", "sid"])
             held = (bucket[stop:], sid[stop:], n[stop:], sketches[stop:])
 
     return run
@@ -279,26 +290,23 @@ def _arrays(width: int):
             made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
             longs = [sketch(x) for x in found]
             sketches, marks = (pa.array(x, pa.list_(pa.int64())) for x in (longs, [_mark(x) for x in longs]))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("sid")), pa.array(counts.astype(np.int64)), sketches, marks, made], ["sid", "n", "sketch", "mark", "items"])
+            ids = np.array([int(set_id(x).view(np.int64)) if len(x) else 0 for x in found], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts.astype(np.int64)), sketches, marks, made], ["sid", "n", "sketch", "mark", "items"])
 
     return run
 
 
-#: Buckets up to this size are compared by their members, and equal ones kept once; larger ones are passed on as they come.
-WHOLE = 4096
-
-
 def _buckets(batches):
-    """Rows (sig, sid) in order -> (bucket, sid), the members of buckets with two sets or more.
+    """Rows (sig, rank, sid) in order -> (bucket, sid, first), the members of buckets with two sets or more.
 
-    Streams: it holds one batch and the members of an open bucket up to WHOLE. Signatures with the same members are
-    one bucket, named by a hash of them; a larger bucket is named by its signature and passed on as it comes.
+    Streams: it holds one batch and the members of an open bucket up to LOOKED. Signatures with the same members are one
+    bucket, named by a hash of them; first is 0. Of a larger bucket first is the first member, with which the others stand.
     """
     seen: set[int] = set()
     sig, sid, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
     for batch in _and_end(batches):
         if batch is not None:
-            sig, sid = np.concatenate([sig, batch.column(0).to_numpy()]), np.concatenate([sid, batch.column(1).to_numpy()])
+            sig, sid = np.concatenate([sig, batch.column(0).to_numpy()]), np.concatenate([sid, batch.column(2).to_numpy()])
         if not len(sig):
             continue
         new = np.ones(len(sig), bool)
@@ -306,9 +314,9 @@ def _buckets(batches):
         sig, sid = sig[new], sid[new]
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         out = []
-        if large is not None and sig[0] == large:
+        if large is not None and sig[0] == large[0]:
             stop = starts[1] if len(starts) > 1 else len(sig)
-            out.append((sig[:stop], sid[:stop]))
+            out.append((np.full(stop, large[0]), sid[:stop], np.full(stop, large[1])))
             sig, sid, starts = sig[stop:], sid[stop:], starts[1:] - stop
         if len(starts):
             large = None
@@ -316,22 +324,86 @@ def _buckets(batches):
             whole = starts[starts < stop]
             if len(whole):
                 sizes = np.diff(np.append(whole, stop))
-                many = sizes > 1
                 name = T.signed(T.mix(np.add.reduceat(T.mix(sid[:stop].view(np.uint64)), whole) + sizes.astype(np.uint64)))
-                for i in np.flatnonzero(many):
+                keep = sizes > 1
+                for i in np.flatnonzero(keep):
                     if (x := int(name[i])) in seen:
-                        many[i] = False
-                    elif len(seen) < 1_000_000:
+                        keep[i] = False
+                    else:
+                        if len(seen) > SEEN:
+                            seen.clear()
                         seen.add(x)
-                keep = np.repeat(many, sizes)
-                out.append((np.repeat(name, sizes)[keep], sid[:stop][keep]))
+                lead = np.where(sizes > LOOKED, sid[whole], 0)
+                rows = np.repeat(keep, sizes)
+                out.append((np.repeat(name, sizes)[rows], sid[:stop][rows], np.repeat(lead, sizes)[rows]))
             sig, sid = sig[stop:], sid[stop:]
-            if len(sig) > WHOLE:
-                large = int(sig[0])
-                out.append((sig, sid))
+            if len(sig) > LOOKED:
+                large = int(sig[0]), int(sid[0])
+                out.append((sig, sid, np.full(len(sig), sid[0])))
                 sig, sid = sig[:0], sid[:0]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(2)], ["bucket", "sid"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(3)], ["bucket", "sid", "first"])
+
+
+BUCKETS = "bucket long, sid long, first long"
+#: Bits of the number of counters that tell rare elements from frequent ones. Elements may share a counter: their order is another one then, and any gives the same links.
+COUNTERS = 20
+
+
+def _counter(items: np.ndarray) -> np.ndarray:
+    return (T.mix(items) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values, as uint64, of a column of lists of longs without nulls."""
+    lists = batch.column(batch.schema.get_field_index(name))
+    edges = lists.offsets.to_numpy()
+    return edges - edges[0], lists.values.to_numpy()[edges[0] : edges[-1]].view(np.uint64)
+
+
+def _tally(elements):
+    """Occurrences by counter of one task's rows; elements(batch) gives the hashes."""
+
+    def run(batches):
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(_counter(elements(batch)), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["counter", "n"])
+
+    return run
+
+
+def _counted(rows: DataFrame, elements) -> np.ndarray:
+    """How often each counter is met in all rows; the driver gets 2**COUNTERS numbers at most."""
+    found = rows.mapInArrow(lean(_tally(elements)), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << COUNTERS, np.int32)
+    total[found["counter"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
+    return total
+
+
+def _items_of(batch: pa.RecordBatch) -> np.ndarray:
+    return _lists(batch, "items")[1]
+
+
+def _rarest(percent: int, shared):
+    """Rows (sid, items) -> (sig, rank, sid): of each set the rarest elements, so many that two similar sets share one; not those that no other set holds. rank: how many such there are, few in a group's original."""
+
+    def run(batches):
+        total = shared.value
+        for batch in batches:
+            edges, values = _lists(batch, "items")
+            sids, out = batch.column(0).to_numpy(), []
+            for sid, x, y in zip(sids, edges[:-1], edges[1:], strict=True):
+                items = values[x:y]
+                times = total[_counter(items)]
+                n = len(items) - -(-len(items) * percent // 100) + 1
+                head = np.lexsort((items, times))[:n]
+                head = head[times[head] > 1]
+                out.append((T.signed(items[head]), np.full(len(head), n - len(head), np.int32), np.full(len(head), sid)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, t), *(o[k] for o in out)])) for k, t in enumerate((np.int64, np.int32, np.int64))], ["sig", "rank", "sid"])
+
+    return run
 
 
 def _and_end(batches):
@@ -360,17 +432,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(_similar(total - 2 * F.size(F.array_intersect("ia", "ib")), total, percent)).select("a", "b")
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """(first, sid, members): each bucket is led by its set that is in most buckets, and a set meets each of its leaders once."""
-    degree = buckets.groupBy("sid").agg(F.count("*").alias("degree"))
-    lead = buckets.join(degree, "sid").groupBy("bucket").agg(F.max_by("sid", F.struct("degree", "sid")).alias("first"))
-    pairs = buckets.select("bucket", "sid").join(lead, "bucket").where("sid != first").select("first", "sid").distinct()
-    return pairs.join(pairs.groupBy("first").agg(F.count("*").alias("members")), "first")
-
-
 def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(first, sid, n, d, linked, diff): how each set differs from its leader; those outside the leader come first in diff, which only leaders with two members or more need."""
+    """(first, sid, n, d, linked, mark, diff): how each set differs from its leader; only leaders with two members or more need diff."""
     stars = cut(stars)
+    stars = stars.join(stars.groupBy("first").agg(F.count("*").alias("members")), "first")
     bases = _only(sets, stars.select(F.col("first").alias("sid"))).select(F.col("sid").alias("first"), F.col("items").alias("base"))
     whole = stars.join(sets.select("sid", "mark", "items"), "sid").join(bases, "first")
     own = whole.select("first", "sid", "members", "mark", F.size("items").alias("n"), F.size("base").alias("nf"), F.concat(F.array_except("items", "base"), F.array_except("base", "items")).alias("diff"))
@@ -378,33 +443,103 @@ def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return own.select("first", "sid", "n", "d", "linked", "mark", F.when(F.col("members") > 1, F.col("diff")).alias("diff"))
 
 
+def _star_items(batch: pa.RecordBatch) -> np.ndarray:
+    """Hashes of a leader's difference elements, other ones for each leader."""
+    edges, values = _lists(batch, "diff")
+    first = batch.column(batch.schema.get_field_index("first")).to_numpy().view(np.uint64)
+    return T.mix(np.repeat(T.mix(first), np.diff(edges)) + values)
+
+
+def _heads(percent: int, shared):
+    """Rows of own (see _candidates) -> (item, side, first, sid, root, n, d, after, mark): the rarest differences of each set, for either side of the join."""
+
+    def run(batches):
+        total = shared.value
+        for batch in batches:
+            edges, _ = _lists(batch, "diff")
+            items = _star_items(batch)
+            n, d, d_any, d_open = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("n", "d", "d_any", "d_open"))
+            open_ = ~batch.column(batch.schema.get_field_index("linked")).to_numpy(zero_copy_only=False)
+            k_most = (n + n * 100 // percent) * (100 - percent) // (100 + percent)
+            half = lambda x: -(-x // 2)
+            short = np.maximum(1, half(d + d_open - k_most))
+            long = np.maximum(np.maximum(1, d - k_most), half(d + d_any - k_most))
+            out, row, side, after = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                times = total[_counter(items[x:y])]
+                order = np.lexsort((items[x:y], times))
+                for kind, t in ((0, short[i]), (1, long[i]))[: 2 if open_[i] else 1]:
+                    head = order[: max(0, y - x - t + 1)]
+                    head = head[times[head] > 1]
+                    out.append(items[x:y][head])
+                    row.append(np.full(len(head), i))
+                    side.append(np.full(len(head), kind, np.int32))
+                    after.append(np.full(len(head), min(t, y - x + 1) - 1))
+            at = pa.array(np.concatenate(row))
+            taken = [batch.column(batch.schema.get_field_index(c)).take(at) for c in ("first", "sid", "root", "n", "d", "mark")]
+            yield pa.RecordBatch.from_arrays([pa.array(T.signed(np.concatenate(out))), pa.array(np.concatenate(side)), pa.array(np.concatenate(after)), *taken], ["item", "side", "after", "first", "sid", "root", "n", "d", "mark"])
+
+    return run
+
+
+HEADS = "item long, side int, after long, first long, sid long, root long, n long, d long, mark array<long>"
+
+
 def _candidates(told: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs(a, b) of one leader, not linked so far, that may be similar.
 
     Of two sets o, m of a leader f, not both linked to f, say o isn't. With D their differences to f, o and m link only
-    if D(o) and D(m) share t >= (|D(o)| + |D(m)| - k(o, m)) / 2 elements, and t >= 1. Under one order of elements (those
-    outside f first, as they are rarer) the first |D(o)| - t + 1 of the one and |D(m)| - t + 1 of the other then share
-    an element; t is bounded below by the smallest differences of the leader's sets. Pairs that meet this way are
-    turned down by their marks, or counted: up to where one list ends all shared elements are seen, so at most what follows that end can be missing.
+    if D(o) and D(m) differ in size by k(o, m) at most and share t >= (|D(o)| + |D(m)| - k(o, m)) / 2 elements, and
+    t >= 1. Under one order of elements (the rarest among the leader's sets first) the first |D(o)| - t + 1 of the one and
+    |D(m)| - t + 1 of the other then share an element; t is bounded below by the smallest differences of the leader's
+    sets. What the leader alone lacks or holds, all its sets share, and it comes last. Pairs that meet this way are turned
+    down by their marks, or counted: up to where one list ends all shared elements are seen, so at most what follows that end can be missing.
     """
     least = told.where("diff IS NOT NULL").groupBy("first").agg(F.min("d").alias("d_any"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("d_open")).where("d_open IS NOT NULL")
     least = cut(least)
     own = told.where("diff IS NOT NULL").join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "first")
     own = own.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    k_most = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * F.lit(100 - percent) / F.lit(100 + percent))
-    t_short = F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("d_open") - k_most) / 2))
-    t_long = F.greatest(F.lit(1), F.col("d") - k_most, F.ceil((F.col("d") + F.col("d_any") - k_most) / 2))
-    head = lambda t: F.slice("diff", 1, F.greatest(F.lit(0), F.col("d") - t + 1).cast("int"))
-    side = lambda t, x: ["first", F.explode(head(t)).alias("item"), F.col("sid").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("d").alias(f"d{x}"), F.col("mark").alias(f"m{x}"), (F.least(t, F.col("d") + 1) - 1).alias(f"after_{x}")]
-    one, two = own.select(*side(t_short, "b")), own.where("NOT linked").select(*side(t_long, "a"))
+    own = spilled(own.select("first", "sid", "root", F.col("n").cast("long").alias("n"), F.col("d").cast("long").alias("d"), F.col("d_any").cast("long").alias("d_any"), F.col("d_open").cast("long").alias("d_open"), "linked", "mark", "diff"), "open")
+    shared = own.sparkSession.sparkContext.broadcast(_counted(own, _star_items))
+    heads = spilled(own.mapInArrow(lean(_heads(percent, shared)), HEADS), "heads")
+    side = lambda x, k: heads.where(F.col("side") == k).select("item", F.col("first").alias(f"f{x}"), F.col("sid").alias(x), *(F.col(c).alias(c[0] + x if c != "after" else f"after_{x}") for c in ("root", "n", "d", "mark", "after")))
+    one, two = side("b", 0), side("a", 1)
+    most = F.floor((F.col("na") + F.col("nb")) * F.lit(100 - percent) / F.lit(100 + percent))
     apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & _similar(apart, F.col("na") + F.col("nb"), percent)
-    shared = two.join(one, (two["first"] == one["first"]) & (two["item"] == one["item"]) & near)
-    needed = F.ceil((F.col("da") + F.col("db") - F.floor((F.col("na") + F.col("nb")) * F.lit(100 - percent) / F.lit(100 + percent))) / 2)
-    enough = shared.groupBy(two["first"], "a", "b").agg(F.count("*").alias("common"), F.max(needed - F.greatest("after_a", "after_b")).alias("least")).where("common >= least")
+    near = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.abs(F.col("da") - F.col("db")) <= most) & _similar(apart, F.col("na") + F.col("nb"), percent)
+    met = two.join(one, (two["item"] == one["item"]) & (F.col("fa") == F.col("fb")) & near)
+    needed = F.ceil((F.col("da") + F.col("db") - most) / 2)
+    enough = met.groupBy("fa", "a", "b").agg(F.count("*").alias("common"), F.max(needed - F.greatest("after_a", "after_b")).alias("least")).where("common >= least")
     return enough.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _stars(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(first, sid): the sets that a bucket's leader is to be compared with. Members of large buckets meet again by their rarest elements."""
+    small, crowded = buckets.where("first = 0").select("bucket", "sid"), buckets.where("first != 0").select("sid").distinct()
+    stars = None
+    if not buckets.where("first != 0").isEmpty():
+        own = spilled(_only(sets, crowded).select("sid", "items"), "crowded")
+        shared = own.sparkSession.sparkContext.broadcast(_counted(own, _items_of))
+        again = own.mapInArrow(lean(_rarest(percent, shared)), "sig long, rank int, sid long").repartition("sig").sortWithinPartitions("sig", "rank", "sid")
+        again = spilled(again.mapInArrow(lean(_buckets), BUCKETS), "again")
+        stars = again.where("first != 0 AND first != sid").select("first", "sid").distinct()
+        small = small.unionByName(again.where("first = 0").select("bucket", "sid")).distinct()
+    ranged = small.join(sets.select("sid", "n", "sketch"), "sid").select("bucket", "sid", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
+    found = ranged.mapInArrow(lean(_promising(percent)), "first long, sid long")
+    return (found if stars is None else found.unionByName(stars)).distinct()
+
+
+def _sets_of(only: DataFrame, table: DataFrame, buckets: DataFrame, width: int) -> DataFrame:
+    """(sid, n, sketch, mark, items), once for each set of a bucket, from the texts of the smallest id that holds it. Ids that repeat, or are missing, bring further texts; each is known by its own set."""
+    wanted = cut(buckets.select("sid").distinct())
+    few = wanted.count() <= BROADCAST_ROWS
+    reps = table.where("sid != 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    ids = reps.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi").select(F.col("doc_id").alias("rep")).distinct()
+    text = only.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    sets = spilled(_only(text.select("text").mapInArrow(lean(_arrays(width)), ARRAYS), wanted), "sets")
+    return spilled(sets.dropDuplicates(["sid"]), "sets") if sets.count() > wanted.count() else sets
+
+
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_links: bool = False):
     """documents(doc_id, text, ...) -> (doc_id, n_shingles, component_id).
 
@@ -417,23 +552,15 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, keep_
     """
     need(docs, "doc_id", "text")
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = spilled(only.mapInArrow(_classes(width), "doc_id long, n_shingles long, sid long"), "classes")
+    table = spilled(only.mapInArrow(lean(_classes(width)), "doc_id long, n_shingles long, sid long"), "classes")
     shared = docs.sparkSession.sparkContext.broadcast(_common(only, width))
-    rows = only.select("text").mapInArrow(_signatures(width, percent, shared), "sig long, sid long").repartition("sig").sortWithinPartitions("sig", "sid")
-    buckets = spilled(rows.mapInArrow(_buckets, "bucket long, sid long").distinct(), "buckets")
+    rows = only.select("text").mapInArrow(lean(_signatures(width, percent, shared)), "sig long, rank int, sid long").repartition("sig").sortWithinPartitions("sig", "sid")
+    met = rows.mapInArrow(lean(_buckets), BUCKETS)
+    buckets = spilled(met.select(F.when(F.col("first") == 0, F.col("bucket")).otherwise(0).alias("bucket"), "sid", F.when(F.col("first") == 0, 0).otherwise(1).cast("long").alias("first")).distinct(), "buckets")
     links, roots = [], None
     if not buckets.isEmpty():
-        wanted = cut(buckets.select("sid").distinct())
-        few = wanted.count() <= BROADCAST_ROWS
-        reps = table.where("sid != 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-        reps = reps.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi")
-        text = only.join(F.broadcast(reps) if few else reps, "doc_id")
-        sets = spilled(text.select("sid", "text").mapInArrow(_arrays(width), ARRAYS), "sets")
-        if sets.count() > wanted.count():  # repeated ids
-            sets = spilled(sets.dropDuplicates(["sid"]), "sets")
-        ranged = buckets.join(sets.select("sid", "n", "sketch"), "sid").select("bucket", "sid", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
-        buckets = spilled(ranged.mapInArrow(_promising(percent), "bucket long, sid long"), "promising")
-        told = spilled(_differences(_stars(buckets), sets, percent), "differences")
+        sets = _sets_of(only, table, buckets, width)
+        told = spilled(_differences(_stars(buckets, sets, percent), sets, percent), "differences")
         direct = told.where("linked").select(F.col("first").alias("a"), F.col("sid").alias("b"))
         roots = cut(components(direct.select(F.col("a").alias("u"), F.col("b").alias("v"))))
         pairs = _candidates(told, roots, percent)

@@ -128,18 +128,72 @@ def test_partenum_loses_no_pair(percent):
 
 
 @pytest.mark.parametrize("size", [1, 3, 7, 10_000])
-def test_bucket_stream_is_the_same_in_any_batches(size):
+@pytest.mark.parametrize("looked", [4, 256])
+def test_bucket_stream_is_the_same_in_any_batches(size, looked, monkeypatch):
+    monkeypatch.setattr(jaccard, "LOOKED", looked)
     rng = np.random.default_rng(5)
-    rows = sorted(set(zip(rng.integers(0, 60, 900).tolist(), rng.integers(0, 12, 900).tolist(), strict=True)))
-    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + size]], pa.int64()) for k in range(2)], ["sig", "sid"]) for i in range(0, len(rows), size)]
-    got = collections.defaultdict(set)
+    rows = sorted(set(zip(rng.integers(0, 60, 900).tolist(), rng.integers(1, 12, 900).tolist(), strict=True)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([r[0] for r in own], [0] * len(own), [r[1] for r in own])], ["sig", "rank", "sid"]) for own in (rows[i : i + size] for i in range(0, len(rows), size))]
+    small, large = collections.defaultdict(set), set()
     for b in jaccard._buckets(iter(batches)):
-        for name, sid in zip(b["bucket"].to_pylist(), b["sid"].to_pylist(), strict=True):
-            got[name].add(sid)
+        for name, sid, first in zip(*(b[c].to_pylist() for c in ("bucket", "sid", "first")), strict=True):
+            small[name].add(sid) if not first else large.add((first, sid))
     want = collections.defaultdict(set)
     for sig, sid in rows:
         want[sig].add(sid)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, {frozenset(x) for x in want.values() if len(x) > 1}))
+    assert sorted(map(sorted, small.values())) == sorted(map(sorted, {frozenset(x) for x in want.values() if 1 < len(x) <= looked}))
+    assert large == {(min(x), sid) for x in want.values() if len(x) > looked for sid in x}
+
+
+def dense_components(texts, width, percent):
+    """Components by products of 0/1 matrices."""
+    place, rows = {}, []
+    for t in texts:
+        w = low_words(t)
+        rows.append({place.setdefault(tuple(w[k : k + width]), len(place)) for k in range(len(w) - width + 1)})
+    m = np.zeros((len(rows), len(place)), np.float32)
+    for i, own in enumerate(rows):
+        m[i, list(own)] = 1
+    size, label = m.sum(1), np.arange(len(rows))
+    near = []
+    for lo in range(0, len(rows), 1000):
+        both = m[lo : lo + 1000] @ m.T
+        near.append(100 * both >= percent * (size[lo : lo + 1000, None] + size - both))
+    near = np.concatenate(near)
+    while True:
+        now = np.array([label[x].min() for x in near])
+        if (now == label).all():
+            return label.tolist()
+        label = now
+
+
+def test_large_families_equal_brute_force(spark):
+    """A family of more than 4,096 near copies, half of them too far from its original; many texts around one passage; and many that are near in their rarest words only."""
+    rng = random.Random(11)
+    edits, words = [f"e{i}" for i in range(60)], [f"w{i}" for i in range(3000)]
+    base, passage = rng.choices(words, k=40), rng.choices(words, k=14)
+    texts = []
+    for _ in range(4800):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            copy[rng.randrange(len(copy))] = rng.choice(edits)
+        texts.append(" ".join(copy))
+    texts += [" ".join(rng.choices(words, k=9) + passage + rng.choices(words, k=9)) for _ in range(600)]
+    texts += [" ".join(passage + rng.choices(words[:3], k=3)) for _ in range(300)]
+    rng.shuffle(texts)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == dense_components(texts, 2, 85)
+    assert len(set(texts[:])) > 3500
+
+
+def test_ids_that_repeat_or_are_missing_lose_no_link(spark):
+    """Texts are told by their sets, not by ids."""
+    rng = random.Random(12)
+    base = rng.choices([f"w{i}" for i in range(500)], k=60)
+    near = lambda k: " ".join([*base[:k], "x", *base[k + 1 :]])
+    rows = [(None, near(3)), (None, near(40)), (7, "something else altogether, in a few words"), (7, near(20)), (9, " ".join(base))]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect())
+    assert got == [(0, 7), (0, 7), (7, 7), (7, 7), (9, 7)]
 
 
 def test_components_of_chains_and_stars(spark):
