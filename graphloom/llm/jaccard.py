@@ -238,17 +238,42 @@ LOOKED = 256
 
 
 def _promising(percent: int):
-    """Rows (bucket, sid, n, sketch) in order of bucket, of at most LOOKED each -> (first, sid): those that another set of the bucket may be similar to, by their sketches, under the one that may be similar to most."""
+    """Rows (bucket, sid, n, sketch) in order of bucket, of at most LOOKED each -> (first, sid): groups of sets that may be similar by their sketches, each under the one that may be similar to most."""
 
     def near(n: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
-        m = _folded(sketches)
-        others = np.zeros(len(n), np.int64)
-        for i in range(len(n) - 1):
-            apart = np.bitwise_count(m[i + 1 :] ^ m[i]).sum(1, dtype=np.int64)
-            hit = _similar(apart, n[i + 1 :] + n[i], percent)
-            others[i] += np.count_nonzero(hit)
-            others[i + 1 :] += hit
-        return others
+        """Which sets (a symmetric matrix) may be similar: their sizes and sketches, folded to the smaller set's width, allow it."""
+        order = np.argsort(n, kind="stable")
+        size, width = n[order], np.array([len(sketches[i]) for i in order])
+        reach = np.searchsorted(size, size * 100 // percent, "right")
+        out = np.zeros((len(n), len(n)), bool)
+        for w in np.unique(width):
+            rows = np.flatnonzero(width == w)  # a run, as larger sets have wider sketches
+            a, b = rows[0], rows[-1] + 1
+            m = _folded([sketches[i] for i in order[a : reach[b - 1]]])
+            for i in range(a, b):
+                j = reach[i]
+                apart = np.bitwise_count(m[i + 1 - a : j - a] ^ m[i - a]).sum(1, dtype=np.int64)
+                met = order[i + 1 : j][_similar(apart, size[i + 1 : j] + size[i], percent)]
+                out[order[i], met] = out[met, order[i]] = True
+        return out
+
+    def groups(sid: np.ndarray, linked: np.ndarray) -> Iterator[tuple[np.int64, np.ndarray]]:
+        """Of each group that the matrix connects, the set that is linked to most, and the others."""
+        others = linked.sum(1)
+        left = others > 0
+        order = np.lexsort((sid, -others))
+        while left.any():
+            lead = order[left[order]][0]
+            seen = linked[lead].copy()
+            seen[lead] = True
+            while np.count_nonzero(seen) < np.count_nonzero(left):
+                new = linked[seen].any(0) & ~seen
+                if not new.any():
+                    break
+                seen |= new
+            left &= ~seen
+            seen[lead] = False
+            yield sid[lead], sid[seen]
 
     def run(batches):
         held: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
@@ -266,10 +291,7 @@ def _promising(percent: int):
             first, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for x, y in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
                 if x < stop and y - x > 1:
-                    others = near(n[x:y], sketches[x:y])
-                    if others.any():
-                        lead = sid[x:y][np.lexsort((sid[x:y], -others))[0]]
-                        own = sid[x:y][(others > 0) & (sid[x:y] != lead)]
+                    for lead, own in groups(sid[x:y], near(n[x:y], sketches[x:y])):
                         first.append(np.full(len(own), lead))
                         kept.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(kept))], ["first", "sid"])
@@ -458,17 +480,17 @@ def _heads(percent: int, shared):
         for batch in batches:
             edges, _ = _lists(batch, "diff")
             items = _star_items(batch)
-            n, d, d_any, d_open = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("n", "d", "d_any", "d_open"))
-            open_ = ~batch.column(batch.schema.get_field_index("linked")).to_numpy(zero_copy_only=False)
+            n, d, d_any, d_away = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("n", "d", "d_any", "d_away"))
+            away = batch.column(batch.schema.get_field_index("away")).to_numpy(zero_copy_only=False)
             k_most = (n + n * 100 // percent) * (100 - percent) // (100 + percent)
             half = lambda x: -(-x // 2)
-            short = np.maximum(1, half(d + d_open - k_most))
+            short = np.maximum(1, half(d + d_away - k_most))
             long = np.maximum(np.maximum(1, d - k_most), half(d + d_any - k_most))
             out, row, side, after = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 times = total[_counter(items[x:y])]
                 order = np.lexsort((items[x:y], times))
-                for kind, t in ((0, short[i]), (1, long[i]))[: 2 if open_[i] else 1]:
+                for kind, t in ((0, short[i]), (1, long[i]))[: 2 if away[i] else 1]:
                     head = order[: max(0, y - x - t + 1)]
                     head = head[times[head] > 1]
                     out.append(items[x:y][head])
@@ -486,20 +508,23 @@ HEADS = "item long, side int, after long, first long, sid long, root long, n lon
 
 
 def _candidates(told: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs(a, b) of one leader, not linked so far, that may be similar.
+    """Pairs(a, b) of one leader, not connected so far, that may be similar.
 
-    Of two sets o, m of a leader f, not both linked to f, say o isn't. With D their differences to f, o and m link only
+    Of two sets o, m of a leader f, not connected, say o isn't connected with f. With D their differences to f, o and m link only
     if D(o) and D(m) differ in size by k(o, m) at most and share t >= (|D(o)| + |D(m)| - k(o, m)) / 2 elements, and
     t >= 1. Under one order of elements (the rarest among the leader's sets first) the first |D(o)| - t + 1 of the one and
     |D(m)| - t + 1 of the other then share an element; t is bounded below by the smallest differences of the leader's
     sets. What the leader alone lacks or holds, all its sets share, and it comes last. Pairs that meet this way are turned
     down by their marks, or counted: up to where one list ends all shared elements are seen, so at most what follows that end can be missing.
     """
-    least = told.where("diff IS NOT NULL").groupBy("first").agg(F.min("d").alias("d_any"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("d_open")).where("d_open IS NOT NULL")
+    few = roots.count() <= BROADCAST_ROWS
+    named = lambda node, root: (F.broadcast if few else lambda x: x)(roots.select(F.col("node").alias(node), F.col("root").alias(root)))
+    own = told.where("diff IS NOT NULL").join(named("sid", "root"), "sid", "left").join(named("first", "home"), "first", "left")
+    own = own.withColumns({"root": F.coalesce("root", "sid"), "home": F.coalesce("home", "first")}).withColumn("away", F.col("root") != F.col("home"))
+    least = own.groupBy("first").agg(F.min("d").cast("long").alias("d_any"), F.min(F.when(F.col("away"), F.col("d"))).cast("long").alias("d_away")).where("d_away IS NOT NULL")
     least = cut(least)
-    own = told.where("diff IS NOT NULL").join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "first")
-    own = own.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    own = spilled(own.select("first", "sid", "root", F.col("n").cast("long").alias("n"), F.col("d").cast("long").alias("d"), F.col("d_any").cast("long").alias("d_any"), F.col("d_open").cast("long").alias("d_open"), "linked", "mark", "diff"), "open")
+    own = own.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "first")
+    own = spilled(own.select("first", "sid", "root", F.col("n").cast("long").alias("n"), F.col("d").cast("long").alias("d"), "d_any", "d_away", "away", "mark", "diff"), "open")
     shared = own.sparkSession.sparkContext.broadcast(_counted(own, _star_items))
     heads = spilled(own.mapInArrow(lean(_heads(percent, shared)), HEADS), "heads")
     side = lambda x, k: heads.where(F.col("side") == k).select("item", F.col("first").alias(f"f{x}"), F.col("sid").alias(x), *(F.col(c).alias(c[0] + x if c != "after" else f"after_{x}") for c in ("root", "n", "d", "mark", "after")))

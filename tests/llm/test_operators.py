@@ -315,6 +315,52 @@ def test_stored_texts_are_read_back(docs, local):
         assert webp.payload_in(webp.decode(bytes(r.media)), len(payload)).tobytes() == payload
 
 
+def transform_of(stored):
+    bits = webp.Bits(bytes(stored[20:]), 8)
+    bits.read(14), bits.read(14), bits.read(4)
+    return bits.read(2) if bits.read(1) else None
+
+
+def test_texts_are_stored_by_references_palettes_and_predictors(monkeypatch):
+    """Each where it is smaller, and read back through the decoder's own steps."""
+    met, copy, images = collections.Counter(), webp._copy, webp.TextImages()
+    monkeypatch.setattr(webp, "_copy", lambda out, begin, size, d: (met.update(references=len(begin), copied=int(size.sum())), copy(out, begin, size, d)))
+    for name in ("_unpack", "predictor"):
+        monkeypatch.setattr(webp, name, (lambda f, name: lambda *a: (met.update([name]), f(*a))[1])(getattr(webp, name), name))
+    rng = np.random.default_rng(7)
+    walk = bytes((64 + np.clip(np.cumsum(rng.integers(-1, 2, 9000)), -30, 60)).astype(np.uint8))
+    prose = " ".join(rng.choice(["the", "house", "stands", "near", "water", "and", "light"], 3000))
+    texts = {"": None, prose: None, "".join(rng.choice(list("абвгдежзиклмнопрстуфхцчшщыэюя "), 3000)): webp.PALETTE, "".join(rng.choice(list("ACGT"), 3000)): webp.PALETTE, walk.decode(): webp.PREDICTOR, "x" * 700_000 + prose + "y" * 9: None, "\0" * 130: None}
+    for text, want in texts.items():
+        payload = webp.payload_of(text.encode())
+        shape = webp.shape_of(len(payload))
+        stored = images.encode(payload, *shape)
+        assert (webp.payload_in(webp.decode(stored), len(payload)) == payload).all()
+        assert want is None or transform_of(stored) == want
+    assert met["references"] > 100 and met["copied"] > 700_000 and met["_unpack"] >= 2 and met["predictor"] >= 1
+
+
+def test_awkward_payloads_are_read_back():
+    rng, images = np.random.default_rng(8), webp.TextImages()
+    shapes = [rng.integers(0, k, n, dtype=np.uint8) for k in (2, 3, 5, 17, 256) for n in (64, 640, 70_016)]
+    shapes += [np.resize(rng.integers(0, 256, k, dtype=np.uint8), 399_360) for k in (1, 7, 64, 5000, 300_000)]
+    for payload in shapes:
+        width, height = webp.shape_of(len(payload))
+        assert (webp.payload_in(webp.decode(images.encode(payload, width, height)), len(payload)) == payload).all()
+
+
+def test_references_are_apart_and_true():
+    rng = np.random.default_rng(9)
+    for k in (2, 4, 30):
+        data = rng.integers(0, k, 5000, dtype=np.uint8)
+        end = 0
+        for at, n, back in zip(*(x.tolist() for x in webp.repeats(data)), strict=True):
+            assert at >= end and webp.LEAST <= n <= webp.LONGEST and 0 < back <= at
+            assert all(data[at + i] == data[at - back + i] for i in range(n))
+            end = at + n
+        assert end <= len(data)
+
+
 # chat formatting
 
 
@@ -450,6 +496,48 @@ def test_toxicity_learns_an_interaction(spark):
     assert got.where("predicted = toxic").count() / got.count() > 0.9
 
 
+def test_toxicity_learns_a_pair_among_thousands_of_commoner_terms(spark):
+    """An insult beside a group is toxic, either alone is not; 2,000 words are commoner than both."""
+    rng = random.Random(5)
+    fillers, rows = [f"word{k:04d}x" for k in range(2000)], []
+    for i in range(3000):
+        insult, group = rng.random() < 0.12, rng.random() < 0.12
+        if rng.random() < 0.1:
+            insult = group = True
+        words = rng.sample(fillers, 400) + ["zinsult"] * insult + ["qgroup"] * group
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), 1, int(insult and group)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    got = score_toxicity(df.select("doc_id", "text"), df).join(df, "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.97
+    assert sum(r.predicted for r in got if r.toxic) > 0.9 * sum(r.toxic for r in got)
+
+
+def test_toxicity_scores_equal_the_equation(spark, docs):
+    """bias, weights and pairs written out."""
+    from graphloom.llm import toxicity as X
+
+    rng, texts = np.random.default_rng(3), ["you idiot, idiot!", "", "Größe und Idiot", "x " * 40 + "you"]
+    buckets = np.unique(np.concatenate([X._terms(*T.buffer_of(pa.array([t])))[0] for t in texts]))[::2]
+    m = X.FactorizationMachine(buckets, -0.3, rng.normal(size=len(buckets)), rng.normal(size=(len(buckets), 3)))
+    got = {r.doc_id: r.score for r in X.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()}
+    place = {int(b): i for i, b in enumerate(buckets)}
+    for i, t in enumerate(texts):
+        own = sorted({place[b] for b in X._terms(*T.buffer_of(pa.array([t])))[0].tolist() if b in place})
+        z = m.bias + sum(m.linear[k] for k in own) + sum(float(m.factors[a] @ m.factors[b]) for n, a in enumerate(own) for b in own[n + 1 :])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+
+
+def test_discoveries_equal_the_definition():
+    from graphloom.llm import toxicity as X
+
+    rng = np.random.default_rng(2)
+    z = np.concatenate([rng.normal(size=400), rng.normal(5, 1, 20)])
+    p = sorted((math.erfc(max(x, 0) / math.sqrt(2)), i) for i, x in enumerate(z))
+    k = max((k for k, (x, _) in enumerate(p, 1) if x <= 0.1 * k / len(z)), default=0)
+    assert set(np.flatnonzero(X.discoveries(z, len(z))).tolist()) == {i for _, i in p[:k]}
+
+
 def test_quality_rejects_junk_and_keeps_clean(spark):
     d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = Q.select_quality(d, lab).join(lab, "doc_id").groupBy("quality", "selected").count().collect()
