@@ -1,9 +1,12 @@
 """Lossless WebP (VP8L) in numpy: decoder for all of the format, encoder, and a column operator that stores texts as images.
 
 Decoder: prefix codes, back-references, colour cache, entropy images; then the predictor, cross-colour, subtract-green
-and palette transforms are inverted. An image of one code group without references or cache is decoded by arrays: the
-length of the symbol that would start at every bit position is looked up at once, then the chain of real positions is
-followed pixel by pixel. All others go token by token.
+and palette transforms are inverted. An image of one code group without a cache is decoded by arrays: the length of the
+token that would start at every bit position is looked up at once, then the chain of real positions is followed, literals
+are put in place together and references copied in order. All others go token by token.
+
+Texts are stored a byte a pixel, as the green sample: repeats within a block as references, the rest as literals under
+one of a few fixed codes, after a palette (by frequency, packed where it is small) or a predictor wherever that is smaller.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import lean, need
 
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 # Fixed values of the format: order of code length codes, and the cache's hash multiplier.
@@ -30,6 +33,8 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if (y or x > 0)),
 MOST = 1 << 14
 #: Bits that one array pass of the decoder covers.
 SPAN = 1 << 18
+#: Texts are searched for repeats in blocks of this many bytes; shorter repeats than LEAST stay literals, longer ones than LONGEST (the format's bound) go in parts.
+BLOCK, LEAST, LONGEST = 1 << 18, 6, 4096
 
 
 class Bits:
@@ -167,63 +172,124 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups = int(meta.max()) + 1
         place = np.repeat(np.repeat(meta, 1 << step, 0)[:height], 1 << step, 1)[:, :width].ravel().tolist()
     codes = [_read_group(bits, cache_bits) for _ in range(groups)]
-    if place is None and not cache_bits and codes[0][0].most < 256:
-        return _literals(bits, codes[0], width * height).reshape(height, width)
+    if place is None and not cache_bits:
+        return _spans(bits, codes[0], width, height)
     return _tokens(bits, codes, place, width, height, cache_bits)
 
 
-def _literals(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
-    """n pixels without references; spans of the stream are looked up whole."""
-    green, red, blue, alpha = (c.table for c in codes[:4])
+#: Extra bits of a length or distance by its prefix.
+EXTRA = np.array([0, 0, 0, 0, *((p - 2) >> 1 for p in range(4, 40))], np.int32)
+
+
+def _values(prefix: np.ndarray, whole: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Lengths or distance codes from their prefixes and the extra bits at bit positions `at`; whole: the 24 bits from each byte on."""
+    extra = EXTRA[prefix]
+    byte = at >> 3
+    bits = (whole[byte].astype(np.int64) | (whole[np.minimum(byte + 2, len(whole) - 1)].astype(np.int64) >> 8 << 24)) >> (at & 7)
+    base = np.where(prefix < 4, prefix, (2 + (prefix & 1)) << extra)
+    return base + (bits & ((1 << extra.astype(np.int64)) - 1)) + 1
+
+
+def _spans(bits: Bits, codes: list[Code], width: int, height: int) -> np.ndarray:
+    """Pixels of an image of one group without a cache; spans of the stream are looked up whole."""
+    n = width * height
+    green, red, blue, alpha, far = (c.table for c in codes)
     same = green is red and green is blue and green is alpha
-    if not any(t[0] & 15 for t in (green, red, blue, alpha)) and all(c.most == c.table[0] >> 4 for c in codes[:4]):  # one colour takes no bits
-        return np.full(n, (int(alpha[0]) >> 4 << 24) | (int(red[0]) >> 4 << 16) | (int(green[0]) >> 4 << 8) | int(blue[0]) >> 4, np.uint32)
+    refers = codes[0].most >= 256
+    if not any(t[0] & 15 for t in (green, red, blue, alpha)) and all(c.most == c.table[0] >> 4 for c in codes[:4]) and not refers:  # one colour takes no bits
+        return np.full((height, width), (int(alpha[0]) >> 4 << 24) | (int(red[0]) >> 4 << 16) | (int(green[0]) >> 4 << 8) | int(blue[0]) >> 4, np.uint32)
+    flat = [t if t[0] & 15 or c.most != t[0] >> 4 else None for c, t in zip(codes[:4], (green, red, blue, alpha), strict=True)]  # None: one symbol without bits
+    near = np.array([max(1, x + y * width) for x, y in NEAR], np.int64)
     data = np.frombuffer(bits.data, np.uint8)
     out, made = np.empty(n, np.uint32), 0
     while made < n:
         first = bits.at >> 3
-        have = min(len(data) - first, SPAN // 8 + 16)
+        have = min(len(data) - first, SPAN // 8 + 16, (n - made) * 10 + 16)
         if have <= 0:
             raise ValueError("image data end early")
         own = np.zeros(have + 16, np.uint32)
         own[:have] = data[first : first + have]
         whole = own[:-2] | (own[1:-1] << np.uint32(8)) | (own[2:] << np.uint32(16))
         window = ((whole[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).ravel()
-        size = len(window)
-        entry = [green[window]]
-        here = np.arange(size, dtype=np.int32)
-        limit = np.int32(size - 1)
-        step = [np.minimum(here + (entry[0] & 15), limit)]
-        if same:
-            entry = entry * 4
-            step = step * 4
-        else:
-            for t in (red, blue, alpha):
+        here = np.arange(len(window), dtype=np.int32)
+        limit = np.int32(len(window) - 1)
+        entry, step = [], []
+        for t in flat:
+            if same and entry:
+                entry.append(entry[0]), step.append(step[0])
+            elif t is None:
+                entry.append(None), step.append(None)
+            else:
                 entry.append(t[window])
                 step.append(np.minimum(here + (entry[-1] & 15), limit))
-        two = step[1][step[0]]
-        four = two[two] if same else step[3][step[2][two]]
-        jump, at, stop = memoryview(np.ascontiguousarray(four)), bits.at & 7, min(SPAN, 8 * have - 1)
+        lit = here
+        for s in step:
+            lit = lit if s is None else s if lit is here else s[lit]
+        jump = lit
+        if refers:
+            symbol = (entry[0] >> 4).astype(np.int32) - 256
+            starts = np.flatnonzero(symbol >= 0).astype(np.int32)
+            prefix = symbol[starts]
+            extra_at = step[0][starts]
+            far_at = np.minimum(extra_at + EXTRA[prefix], limit)
+            far_entry = far[window[far_at]]
+            jump = lit.copy() if lit is here or lit is step[0] else lit
+            jump[starts] = np.minimum(far_at + (far_entry & 15) + EXTRA[np.minimum(far_entry >> 4, 39)], limit)
+        chain, at, stop = memoryview(np.ascontiguousarray(jump)), bits.at & 7, min(SPAN, 8 * have - 1)
         places: list[int] = []
-        put, left = places.append, n - made
-        for _ in range(left):
+        put = places.append
+        for _ in range(n - made):
             if at > stop:
                 break
             put(at)
-            at = jump[at]
-        if at > 8 * have and have == len(data) - first:
-            raise ValueError("image data end early")
+            at = chain[at]
         p = np.array(places, np.int32)
-        q = step[0][p]
-        r = step[1][q]
-        s = step[2][r]
-        part = ((entry[3][s] >> 4).astype(np.uint32) << 24) | ((entry[1][q] >> 4).astype(np.uint32) << 16) | ((entry[0][p] >> 4).astype(np.uint32) << 8) | (entry[2][r] >> 4)
-        out[made : made + len(part)] = part
-        made += len(part)
-        if not len(part):
+        size = np.ones(len(p), np.int64)
+        ref = np.zeros(0, np.int64)
+        if refers:
+            ref = np.flatnonzero(symbol[p] >= 0)
+            size[ref] = _values(symbol[p[ref]], whole, step[0][p[ref]])
+        ends = np.cumsum(size)
+        if len(p) and ends[-1] > n - made:  # what follows the image
+            count = int(np.searchsorted(ends, n - made)) + 1
+            if ends[count - 1] > n - made:
+                raise ValueError("reference outside the image")
+            at = places[count] if count < len(places) else at
+            p, size, ends, ref = p[:count], size[:count], ends[:count], ref[ref < count]
+        if not len(p) or (at > 8 * have and have == len(data) - first):
             raise ValueError("image data end early")
+        begin = made + ends - size
+        plain = np.ones(len(p), bool)
+        plain[ref] = False
+        q, value = p[plain], np.zeros(int(plain.sum()), np.uint32)
+        for e, s, t, shift in zip(entry, step, (green, red, blue, alpha), (8, 16, 0, 24), strict=True):
+            value |= ((e[q] >> 4).astype(np.uint32) if e is not None else np.uint32(int(t[0]) >> 4)) << np.uint32(shift)
+            q = q if s is None else s[q]
+        out[begin[plain]] = value
+        if len(ref):
+            where = np.minimum(step[0][p[ref]] + EXTRA[symbol[p[ref]]], limit)
+            code = far[window[where]]
+            if (code >> 4).max() > 39:
+                raise ValueError("symbol beyond its alphabet")
+            d = _values((code >> 4).astype(np.int32), whole, np.minimum(where + (code & 15), limit))
+            d = np.where(d > 120, d - 120, near[np.minimum(d, 120) - 1])
+            _copy(out, begin[ref], size[ref], d)
+        made += int(ends[-1])
         bits.at = 8 * first + at
-    return out
+        if bits.at > 8 * len(data):
+            raise ValueError("image data end early")
+    return out.reshape(height, width)
+
+
+def _copy(out: np.ndarray, begin: np.ndarray, size: np.ndarray, d: np.ndarray) -> None:
+    """References in order: each pixel is the one d before it."""
+    if (d > begin).any():
+        raise ValueError("reference outside the image")
+    for o, m, back in zip(begin.tolist(), size.tolist(), d.tolist(), strict=True):
+        if back >= m:
+            out[o : o + m] = out[o - back : o - back + m]
+        else:
+            out[o : o + m] = np.resize(out[o - back : o], m)
 
 
 def _tokens(bits: Bits, codes: list[list[Code]], place: list[int] | None, width: int, height: int, cache_bits: int) -> np.ndarray:
@@ -292,6 +358,8 @@ def _predict(mode: int, left, top, right, corner):
 def predictor(pixels: np.ndarray, modes: np.ndarray, step: int, undo: bool) -> np.ndarray:
     """Adds (undo) or takes away the predictions; modes by blocks of 2**step pixels."""
     height, width = pixels.shape
+    if len(used := np.unique(modes)) == 1 and used[0] in (1, 2):
+        return _one_way(pixels, int(used[0]), undo)
     given = _split(pixels).reshape(-1, 4)
     known = given.copy() if undo else given
     out = np.empty_like(given)
@@ -311,6 +379,33 @@ def predictor(pixels: np.ndarray, modes: np.ndarray, step: int, undo: bool) -> n
     return _join(out).reshape(height, width)
 
 
+def _one_way(pixels: np.ndarray, mode: int, undo: bool) -> np.ndarray:
+    """predictor() where all blocks predict from the left (1) or from above (2): sums or differences along rows and columns, channel by channel."""
+    out = np.zeros(pixels.shape, np.uint32)
+    for shift in (0, 8, 16, 24):
+        c = ((pixels >> np.uint32(shift)) & np.uint32(255)).astype(np.uint8)
+        black = np.uint8(255 if shift == 24 else 0)
+        if undo:
+            c[0, 0] += black
+            if mode == 1:
+                c[:, 0] = np.cumsum(c[:, 0], dtype=np.uint8)
+                c = np.cumsum(c, 1, dtype=np.uint8)
+            else:
+                c[0] = np.cumsum(c[0], dtype=np.uint8)
+                c = np.cumsum(c, 0, dtype=np.uint8)
+        else:
+            given = c.copy()
+            if mode == 1:
+                c[:, 1:] -= given[:, :-1]
+                c[1:, 0] -= given[:-1, 0]
+            else:
+                c[1:] -= given[:-1]
+                c[0, 1:] -= given[0, :-1]
+            c[0, 0] -= black
+        out |= c.astype(np.uint32) << np.uint32(shift)
+    return out
+
+
 def cross_colour(pixels: np.ndarray, factors: np.ndarray, step: int, undo: bool) -> np.ndarray:
     height, width = pixels.shape
     f = np.repeat(np.repeat(_split(factors), 1 << step, 0)[:height], 1 << step, 1)[:, :width]
@@ -336,12 +431,18 @@ def _palette_bits(size: int) -> int:
 
 
 def _unpack(indices: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:
+    """Colours by index, several to a pixel where the palette is small; rows go in blocks."""
     bits = _palette_bits(len(table))
-    green = (indices >> np.uint32(8)) & np.uint32(255)
     per = 8 >> bits
-    spread = (green[:, :, None] >> (np.arange(1 << bits, dtype=np.uint32) * np.uint32(per))) & np.uint32((1 << per) - 1)
-    own = spread.reshape(len(green), -1)[:, :width]
-    return np.where(own < len(table), np.append(table, np.uint32(0))[np.minimum(own, len(table))], 0).astype(np.uint32)
+    colours = np.append(table, np.zeros(256 - len(table), np.uint32)).astype(np.uint32)  # an index beyond the palette is transparent black
+    out = np.empty((len(indices), width), np.uint32)
+    rows = max(1, (1 << 20) // max(1, width))
+    for lo in range(0, len(indices), rows):
+        green = ((indices[lo : lo + rows] >> np.uint32(8)) & np.uint32(255)).astype(np.uint8)
+        if bits:
+            green = ((green[:, :, None] >> (np.arange(1 << bits, dtype=np.uint8) * np.uint8(per))) & np.uint8((1 << per) - 1)).reshape(len(green), -1)
+        out[lo : lo + rows] = colours[green[:, :width]]
+    return out
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -427,12 +528,18 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
         lengths = lengths.copy()
         lengths[0] = 1
     w.put(0, 1)
+    size = len(lengths)
+    lengths = lengths[: int(np.flatnonzero(lengths)[-1]) + 1]
     meta = code_lengths(np.bincount(lengths, minlength=19), 7)
     order = [int(meta[k]) for k in LENGTH_ORDER]
     w.put(15, 4)
     for x in order:
         w.put(x, 3)
-    w.put(0, 1)
+    shorter = len(lengths) < size  # then how many lengths are given (two symbols are held, so 2 at least)
+    w.put(shorter, 1)
+    if shorter:
+        wide = max(0, (len(lengths) - 2).bit_length() - 1) // 2
+        w.put(wide, 3), w.put(len(lengths) - 2, 2 + 2 * wide)
     codes = canonical(meta)
     single = np.count_nonzero(meta) == 1
     for n in lengths.tolist():
@@ -581,8 +688,12 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), mode: int = 11,
     return _file(w.bytes())
 
 
-def _text_lengths() -> np.ndarray:
-    """One code for the bytes of texts, from a rule: letters by rank of use, then capitals and marks, lead and trail bytes of accented letters, then all others."""
+def _weights(kind: str) -> np.ndarray:
+    """Weights of the 256 literals, from a rule. text: letters by rank of use, then capitals and marks, lead and trail bytes of accented letters, then all others; rank: places of a palette by frequency; rest: small differences."""
+    if kind == "rank":
+        return 1 / (np.arange(256) + 3.0) ** 1.1
+    if kind == "rest":
+        return 1 / (1.0 + np.minimum(np.arange(256), 256 - np.arange(256)))
     weight = np.full(256, 2e-4)
     weight[33:127] = 6e-4
     weight[[195, *range(160, 192)]] = 1.5e-3
@@ -592,48 +703,215 @@ def _text_lengths() -> np.ndarray:
     for rank, c in enumerate(b"etnahoirsdluc"):
         weight[c] = 0.2 / (rank + 2)
     weight[32] = 0.16
-    return code_lengths(weight * 1e9, 12)
+    return weight
+
+
+#: Weights of the length prefixes beside all literals, and of the distance prefixes, by a rule.
+LENGTHS = 0.25 / (1 + np.abs(np.arange(24) - 5.0)) ** 1.5
+DISTANCES = 1 / (1 + np.abs(np.arange(40) - 22.0))
+
+
+def _codes_by(lengths: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(lengths), np.int64)
+    for symbol, code in canonical(lengths).items():
+        out[symbol] = code
+    return out
+
+
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_prefix() of arrays."""
+    v = value - 1
+    high = np.maximum(2, np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1)
+    second = (v >> (high - 1)) & 1
+    large = v >= 4
+    return np.where(large, 2 * high + second, v), np.where(large, high - 1, 0), np.where(large, v - ((2 + second) << (high - 1)), 0)
+
+
+def repeats(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, length, distance) of a block's references, in order and apart: from the first byte on, each place that begins like its last earlier one takes as much as agrees."""
+    n = len(data)
+    none = (np.zeros(0, np.int64),) * 3
+    if n < 2 * LEAST:
+        return none
+    padded = np.append(data, np.zeros(8, np.uint8))
+    gram = np.ndarray((n - LEAST + 1,), "<u8", padded.data, 0, (1,)) & np.uint64((1 << 8 * LEAST) - 1)
+    order = np.argsort(gram, kind="stable")
+    gram = gram[order]
+    same = np.flatnonzero(gram[1:] == gram[:-1])
+    if not len(same):
+        return none
+    back = np.zeros(n, np.int32)
+    back[order[same + 1]] = order[same + 1] - order[same]
+    turn = np.flatnonzero(back[1:] != back[:-1]) + 1
+    edges = np.concatenate([[0], turn, [n]])
+    agree = np.repeat(edges[1:], np.diff(edges)) - np.arange(n) + LEAST - 1
+    length = np.minimum(np.where(back > 0, agree, 0), LONGEST).astype(np.int32)
+    held = np.flatnonzero(back)
+    after = memoryview(np.append(held, n)[np.searchsorted(held, np.arange(n + 1))].astype(np.int32))
+    size, found, at = memoryview(length), [], after[0]
+    put = found.append
+    while at < n:
+        put(at)
+        at = after[at + size[at]]
+    where = np.array(found, np.int64)
+    return where, length[where].astype(np.int64), back[where].astype(np.int64)
 
 
 class TextImages:
-    """Encoder of payloads as images, four bytes a pixel in the order green, red, blue, alpha, all by one code."""
+    """Encoder of payloads as images, a byte a pixel in the green channel."""
 
     def __init__(self):
-        self.lengths = _text_lengths()
-        codes = canonical(self.lengths)
-        self.codes = np.array([codes[i] for i in range(256)], np.uint32)
-        head = Writer()
-        head.put(0, 1), head.put(0, 1), head.put(0, 1)  # no transforms, no cache, one group
-        _put_code(head, np.append(self.lengths, np.zeros(24, np.uint8)))
-        for _ in range(3):
-            _put_code(head, self.lengths)
-        _put_code(head, np.zeros(40, np.uint8))
-        self.head = head
+        self.lengths, self.codes, self.heads = {}, {}, {}
+        self.far = code_lengths(DISTANCES * 1e9, 12)
+        self.far_codes = _codes_by(self.far)
+        for kind in ("text", "rank", "rest"):
+            weight = _weights(kind)
+            own = code_lengths(np.append(weight / weight.sum(), LENGTHS / LENGTHS.sum() * 0.25) * 1e9, 13)
+            head = Writer()
+            head.put(0, 1), head.put(0, 1)  # no cache, one group
+            _put_code(head, own)
+            for value in (0, 0, 255) if kind != "rest" else (0, 0, 0):
+                head.put(1, 1), head.put(0, 1), head.put(1, 1), head.put(value, 8)
+            _put_code(head, self.far)
+            self.lengths[kind], self.codes[kind], self.heads[kind] = own, _codes_by(own), head
+        self.near: dict[int, np.ndarray] = {}
+        w, flat = Writer(), np.full(256, 8, np.uint8)  # a palette's start, without its size
+        w.put(1, 1), w.put(PALETTE, 2), w.put(0, 8), w.put(0, 1)
+        _put_code(w, np.append(flat, np.zeros(24, np.uint8)))
+        for symbols in ((0,), (0,), (0, 255), (0,)):  # alpha: 255, then no difference
+            w.put(1, 1), w.put(len(symbols) - 1, 1), w.put(1, 1)
+            for x in symbols:
+                w.put(x, 8)
+        self.palette, self.bytes = w, canonical(flat)
+
+    def _tokens(self, data: np.ndarray, width: int) -> list[tuple]:
+        """Of each block (literal bytes, token starts, whether each is a reference, prefixes, extra bits and values of lengths and distances)."""
+        if width not in self.near:
+            table = np.zeros(8 * width + 9, np.int64)
+            for i, (x, y) in reversed(list(enumerate(NEAR))):
+                table[max(1, x + y * width)] = i + 1
+            self.near = {width: table}
+        near, out = self.near[width], []
+        for lo in range(0, len(data), BLOCK):
+            own = data[lo : lo + BLOCK]
+            where, length, back = repeats(own)
+            cover = np.zeros(len(own) + 1, np.int8)
+            cover[where] += 1
+            np.subtract.at(cover, where + length, 1)
+            starts = np.cumsum(cover[:-1]) == 0
+            starts[where] = True
+            starts = np.flatnonzero(starts)
+            ref = np.zeros(len(own), bool)
+            ref[where] = True
+            code = near[np.minimum(back, len(near) - 1)]
+            code = np.where((back < len(near)) & (code > 0), code, back + 120)
+            out.append((own[starts], ref[starts], _prefixes(length), _prefixes(code)))
+        return out
+
+    def _size(self, tokens: list[tuple], kind: str, place: np.ndarray | None = None) -> int:
+        """Bits of the tokens under a code; place: palette index of each byte."""
+        own, total = self.lengths[kind], self.heads[kind].n
+        for literal, ref, (a, more, _), (b, further, _) in tokens:
+            seen = np.bincount(literal[~ref], minlength=256)
+            total += int((seen * (own[:256] if place is None else own[place])).sum() + own[256 + a].sum() + more.sum() + self.far[b].sum() + further.sum())
+        return total
+
+    def _write(self, head: Writer, tokens: list[tuple], kind: str, place: np.ndarray | None = None) -> bytes:
+        head.put(self.heads[kind].value, self.heads[kind].n)
+        lengths, codes = self.lengths[kind], self.codes[kind]
+        out, carry, used = [head.bytes()[: head.n >> 3]], head.value >> (head.n & ~7), head.n & 7
+        for literal, ref, (a, more, what), (b, further, which) in tokens:
+            symbol = literal.astype(np.int64) if place is None else place[literal]
+            symbol[ref] = 256 + a
+            field, size = np.zeros((len(symbol), 5), np.int64), np.zeros((len(symbol), 5), np.int64)
+            field[:, 0], size[:, 0] = codes[symbol], lengths[symbol]
+            field[ref, 1], size[ref, 1] = what, more
+            field[ref, 2], size[ref, 2] = self.far_codes[b], self.far[b]
+            field[ref, 3], size[ref, 3] = which & 0xFFF, np.minimum(further, 12)
+            field[ref, 4], size[ref, 4] = which >> 12, np.maximum(0, further - 12)
+            if ref.any():
+                live = size.ravel() > 0
+                field, size = field.ravel()[live], size.ravel()[live]
+            else:
+                field, size = field[:, 0], size[:, 0]
+            ends = np.cumsum(size) + used
+            at = ends - size
+            value, byte, n = field << (at & 7), at >> 3, (int(ends[-1]) >> 3) + 4 if len(ends) else 4
+            stream = sum(np.bincount(byte + k, (value >> 8 * k) & 255, n) for k in range(3)).astype(np.int64)
+            stream[0] += carry
+            last = int(ends[-1])
+            carry, used = int(stream[last >> 3]), last & 7
+            out.append(stream[: last >> 3].astype(np.uint8).tobytes())
+        if used:
+            out.append(bytes([carry]))
+        return _file(b"".join(out))
 
     def encode(self, payload: np.ndarray, width: int, height: int) -> bytes:
-        first = _head(width, height)
-        first.put(self.head.value, self.head.n)
-        bits = self.lengths[payload].astype(np.int64)
-        ends = np.cumsum(bits)
-        at = ends - bits + first.n
-        stream = np.zeros((first.n + int(ends[-1]) + 7 >> 3) + 3, np.int64)
-        value = self.codes[payload].astype(np.int64) << (at & 7)
-        byte = at >> 3
-        low = int(byte[0])
-        body = np.bincount(byte - low, value & 255, len(stream) - low) + np.bincount(byte - low + 1, (value >> 8) & 255, len(stream) - low) + np.bincount(byte - low + 2, value >> 16, len(stream) - low)
-        stream[low:] = body.astype(np.int64)
-        head = np.frombuffer(first.bytes(), np.uint8)
-        stream[: len(head)] += head
-        return _file(stream[:-3].astype(np.uint8).tobytes())
+        """The smallest of: as it is, through a palette by frequency, and, where differences are less spread than bytes, through a predictor."""
+        tokens = self._tokens(payload, width)
+        seen = np.bincount(payload, minlength=256)
+        order = np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)]
+        place = np.zeros(256, np.int64)
+        place[order] = np.arange(len(order))
+        options = [(self._size(tokens, "text"), 0, lambda: self._write(self._head(width, height), tokens, "text"))]
+        bits = _palette_bits(len(order))
+        packed, few = tokens, place
+        if bits:
+            index = place[payload].astype(np.uint8).reshape(height, -1, 1 << bits) << (np.arange(1 << bits, dtype=np.uint8) * np.uint8(8 >> bits))
+            packed, few = self._tokens(np.bitwise_or.reduce(index, 2).ravel(), width >> bits), None
+        options.append((self._size(packed, "rank", few) + self.palette.n + 9 * len(order), 1, lambda: self._write(self._head(width, height, self._palette(order)), packed, "rank", few)))
+        pixels = payload.reshape(height, width)
+        for mode in (1, 2):
+            rest = pixels.copy()
+            if mode == 1:
+                rest[:, 1:] -= pixels[:, :-1]
+                rest[1:, 0] -= pixels[:-1, 0]
+            else:
+                rest[1:] -= pixels[:-1]
+                rest[0, 1:] -= pixels[0, :-1]
+            if _spread(np.bincount(rest.ravel(), minlength=256)) < _spread(seen):
+                other = self._tokens(rest.ravel(), width)
+                given = self._mode(mode, width, height)
+                options.append((self._size(other, "rest") + given.n, 1 + mode, lambda other=other, given=given: self._write(self._head(width, height, given), other, "rest")))
+        return min(options, key=lambda o: o[:2])[2]()
+
+    def _head(self, width: int, height: int, transform: Writer | None = None) -> Writer:
+        head = _head(width, height)
+        if transform:
+            head.put(transform.value, transform.n)
+        head.put(0, 1)
+        return head
+
+    def _palette(self, order: np.ndarray) -> Writer:
+        """The palette transform: green values of the colours by 8 bits each, as differences."""
+        w = Writer()
+        w.put(self.palette.value | (len(order) - 1 << 3), self.palette.n)
+        for k, value in enumerate(np.diff(order, prepend=0).tolist()):
+            w.put(self.bytes[value & 255], 8), w.put(k == 0, 1)
+        return w
+
+    def _mode(self, mode: int, width: int, height: int) -> Writer:
+        """The predictor transform with one mode for all blocks of 512 pixels: an image of one colour, which takes no bits."""
+        w = Writer()
+        w.put(1, 1), w.put(PREDICTOR, 2), w.put(7, 3), w.put(0, 1)
+        for value in (mode, 0, 0, 0, 0):
+            w.put(1, 1), w.put(0, 1), w.put(1, 1), w.put(value, 8)
+        return w
+
+
+def _spread(counts: np.ndarray) -> float:
+    """Entropy of counts, in bits."""
+    n = counts[counts > 0].astype(np.float64)
+    return float((n * np.log2(n.sum() / n)).sum())
 
 
 def shape_of(n_pixels: int) -> tuple[int, int]:
-    """Width and height for a multiple of 16 pixels; pixels beyond them (zero) only where one column of blocks isn't enough."""
-    blocks = n_pixels // 16
+    """Width and height for a multiple of 64 pixels; pixels beyond them (zero) only where one column of blocks isn't enough."""
+    blocks = n_pixels // 64
     wide = -(-blocks // MOST)
-    if wide * 16 > MOST:
+    if wide * 64 > MOST:
         raise ValueError("payload too long for one image")
-    return 16 * wide, -(-blocks // wide)
+    return 64 * wide, -(-blocks // wide)
 
 
 def payload_of(text: bytes) -> np.ndarray:
@@ -642,19 +920,16 @@ def payload_of(text: bytes) -> np.ndarray:
 
 
 def payload_in(pixels: np.ndarray, n: int) -> np.ndarray:
-    p = pixels.ravel()
-    out = np.empty((len(p), 4), np.uint8)
-    for k, shift in enumerate((8, 16, 0, 24)):
-        out[:, k] = (p >> np.uint32(shift)) & np.uint32(255)
-    return out.ravel()[:n]
+    return ((pixels.ravel()[:n] >> np.uint32(8)) & np.uint32(255)).astype(np.uint8)
 
 
 def feature_of(pixels: np.ndarray) -> str:
-    """Shape, mean of each channel and a 64-bit average hash over 8 x 8 cells of the green channel."""
-    channels = [(pixels >> np.uint32(s)) & np.uint32(255) for s in (24, 16, 8, 0)]
-    means = "/".join(f"{c.mean():.3f}" for c in channels)
-    green = channels[2].ravel()
-    cells = np.add.reduceat(green, np.arange(64) * len(green) // 64) / np.maximum(1, np.diff(np.append(np.arange(64) * len(green) // 64, len(green)))) if len(green) >= 64 else np.resize(green, 64)
+    """Shape, mean of each channel (alpha, red, green, blue) and a 64-bit average hash over 8 x 8 cells of the green channel."""
+    flat = pixels.ravel()
+    means = "/".join(f"{((flat >> np.uint32(s)) & np.uint32(255)).mean():.3f}" for s in (24, 16, 8, 0))
+    green = ((flat >> np.uint32(8)) & np.uint32(255)).astype(np.uint8)
+    edges = np.arange(64) * len(green) // 64
+    cells = np.add.reduceat(green, edges, dtype=np.int64) / np.diff(np.append(edges, len(green)))
     mark = int.from_bytes(np.packbits(cells > cells.mean()).tobytes(), "big")
     return f"{pixels.shape[1]}x{pixels.shape[0]};mean={means};hash={mark:016x}"
 
@@ -670,8 +945,8 @@ def _store(keep: bool):
             for i, text in enumerate(batch.column(batch.schema.get_field_index("text"))):
                 raw = (text.as_py() or "").encode()
                 payload = payload_of(raw)
-                width, height = shape_of(len(payload) // 4)
-                full = payload if width * height * 4 == len(payload) else np.append(payload, np.zeros(width * height * 4 - len(payload), np.uint8))
+                width, height = shape_of(len(payload))
+                full = payload if width * height == len(payload) else np.append(payload, np.zeros(width * height - len(payload), np.uint8))
                 stored = images.encode(full, width, height)
                 pixels = decode(stored)
                 back = payload_in(pixels, len(payload)).tobytes()
@@ -691,8 +966,8 @@ def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
 
     Each text's UTF-8 bytes, padded by zeros to a positive multiple of 64, become one lossless WebP image; digests and
     features are of the pixels read back from it. Null counts as empty; equal texts give equal values; a null doc_id is
-    kept. A text over 1 GB has no image and is an error. Other columns are ignored. Each row stands alone: no shuffle.
+    kept. A text over 268 MB has no image and is an error. Other columns are ignored. Each row stands alone: no shuffle.
     """
     need(docs, "doc_id", "text")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store(keep_media), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_store(keep_media)), schema)
