@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import text_arrays as T
-from .common import bounded_by_class, id_bucket, need
+from .common import bounded_by_class, id_bucket, lean, need
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -149,7 +149,7 @@ def _sample_windows(batches):
 def fit(docs: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> ByteConvNet | None:
     """Trains on documents whose fold (crc32 of the id, modulo 4) is not 2 and whose lang is set: about docs_per_label of each label (the bound). None without any."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("doc_id").isNull() | (id_bucket("doc_id", 4) != 2))).select("doc_id", "text", "lang")
-    rows = bounded_by_class(own, "doc_id", "lang", docs_per_label).select("text", "lang").mapInArrow(_sample_windows, "lang string, bytes binary").toArrow()
+    rows = bounded_by_class(own, "doc_id", "lang", docs_per_label).select("text", "lang").mapInArrow(lean(_sample_windows), "lang string, bytes binary").toArrow()
     if not rows.num_rows:
         return None
     lang = rows["lang"].to_pylist()
@@ -198,14 +198,14 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     """
     need(docs, "doc_id", "text")
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text", _has_letter())
-    return ready.mapInArrow(_predict(net, ("text", "_has_letter"), ("lang_pred", "score")), "doc_id long, held_out boolean, lang_pred string, score double")
+    return ready.mapInArrow(lean(_predict(net, ("text", "_has_letter"), ("lang_pred", "score"))), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, net: ByteConvNet | None, least: float) -> DataFrame:
     """The rows of docs, all columns, whose language is predicted with a score of at least `least`: one pass, no join."""
     need(docs, "text")
     schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())])
-    tagged = docs.select("*", _has_letter()).mapInArrow(_predict(net, ("_has_letter",), ("_lang_pred", "_lang_score")), schema)
+    tagged = docs.select("*", _has_letter()).mapInArrow(lean(_predict(net, ("_has_letter",), ("_lang_pred", "_lang_score"))), schema)
     return tagged.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*docs.columns)
 
 

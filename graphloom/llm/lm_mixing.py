@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as T
-from .common import cut, id_bucket, need, spilled
+from .common import cut, id_bucket, lean, need, spilled
 
 #: Bits of the slot number of each order's predictors (0: no context).
 SLOT_BITS = (9, 16, 18, 20, 21, 21)
@@ -328,13 +328,13 @@ def fit(docs: DataFrame) -> tuple[Mixture, DataFrame, int, int]:
     """
     training = docs.where(F.coalesce(id_bucket("doc_id", 10) != 0, F.lit(True))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = np.zeros(256, np.int64)
-    for r in training.select("text").mapInArrow(_count_bytes, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+    for r in training.select("text").mapInArrow(lean(_count_bytes), "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         total[r["byte"]] = r["n"]
     tree = huffman(total)
-    rows = training.select("text").mapInArrow(_gather, "kind long, id long, n long")
+    rows = training.select("text").mapInArrow(lean(_gather), "kind long, id long, n long")
     sums = spilled(rows.groupBy("kind", "id").agg(F.sum("n").alias("n")), "counts")
     counts = np.zeros((2, BASES[-1]), np.uint16)
-    seen = sums.where("kind = 0").select("id", "n").mapInArrow(_predictors(tree), "slot long, n long, m long")
+    seen = sums.where("kind = 0").select("id", "n").mapInArrow(lean(_predictors(tree)), "slot long, n long, m long")
     found = seen.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     found = found.select(F.col("slot").cast("int"), *halved("n", "m")).toArrow()
     for side, name in enumerate("nm"):
@@ -346,7 +346,7 @@ def fit(docs: DataFrame) -> tuple[Mixture, DataFrame, int, int]:
         shared = training.sparkSession.sparkContext.broadcast((counts, tree))
         for turn in range(PASSES + 1):
             added = np.zeros(SUMS)
-            found = sums.where("kind = 0").select("id", "n").mapInArrow(_learning(shared, mixture.weights), "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+            found = sums.where("kind = 0").select("id", "n").mapInArrow(lean(_learning(shared, mixture.weights)), "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
             added[found["place"].to_numpy()] = found["value"].to_numpy()
             mixture.step(added) if turn < PASSES else mixture.chart(added)
         shared.destroy()
@@ -488,7 +488,7 @@ def score_texts(docs: DataFrame, lookup_words: int = LOOKUP_WORDS) -> DataFrame:
     known = Words(hashes[order], log(table["n"].to_numpy()[order]), least, float(log(0)), float(log(1)), float(log(ends)), int(ends > 0))
     shared = spark.sparkContext.broadcast((mixture, known))
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(id_bucket("doc_id", 10) == 0, F.lit(False)).alias("held_out"), "text")
-    scored = ready.mapInArrow(_score(shared, uuid.uuid4().hex), "doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, n_known long, base_score double, rare array<long>, row long")
+    scored = ready.mapInArrow(lean(_score(shared, uuid.uuid4().hex)), "doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, n_known long, base_score double, rare array<long>, row long")
     if least > 1:
         scored = spilled(scored, "scored")
         pairs = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times")).join(words.where(F.col("n") < least), "word", "left")

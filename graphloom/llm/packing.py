@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import lean, need
 
 WINDOW = 2048
 END = 1
@@ -145,6 +145,6 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", window: int = W
     """
     need(docs, "doc_id", "text")
     schema = SCHEMA + ", serial long" + ", ids array<long>" * keep_ids
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(vocabulary, window, end, keep_ids), schema)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_pieces(vocabulary, window, end, keep_ids)), schema)
     dealt = pieces.repartition(F.xxhash64("doc_id", "start", "serial"))
-    return dealt.mapInArrow(_pack(window), SCHEMA + ", ids array<long>" * keep_ids + ", sequence_id long, offset long")
+    return dealt.mapInArrow(lean(_pack(window)), SCHEMA + ", ids array<long>" * keep_ids + ", sequence_id long, offset long")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as T
-from .common import bounded_by_class, cut, need
+from .common import bounded_by_class, cut, lean, need
 
 BUCKETS = 1 << 14
 #: Pseudo-count of the target model, spread as raw text is: buckets that a small target sample says little about stay near a ratio of 1.
@@ -58,7 +58,7 @@ def fit(docs: DataFrame, good: DataFrame) -> np.ndarray:
     Counts are summed per task, then by bucket; the driver receives 2 * BUCKETS rows at most.
     """
     flagged = docs.select("doc_id", "text").join(F.broadcast(good.select("doc_id").distinct().withColumn("target", F.lit(True))), "doc_id", "left")
-    rows = flagged.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_count, "kind long, bucket long, n long")
+    rows = flagged.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(lean(_count), "kind long, bucket long, n long")
     total = np.zeros((2, BUCKETS))
     for r in rows.groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pylist():
         total[r["kind"], r["bucket"]] = r["n"]
@@ -141,7 +141,7 @@ def resample(docs: DataFrame, ratio: np.ndarray, k: int | None = None, cutoff: f
 def _threshold(docs: DataFrame, ratio: np.ndarray, k: int | None, cutoff: float, seed: int) -> tuple[DataFrame, int]:
     """Scores by row, cut, and the smallest long key that is selected."""
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = cut(only.mapInArrow(_score(ratio, seed), "doc_id long, n_terms long, log_weight double, gumbel_key double, bits long"))
+    scored = cut(only.mapInArrow(lean(_score(ratio, seed)), "doc_id long, n_terms long, log_weight double, gumbel_key double, bits long"))
     total, above = scored.agg(F.count("*"), F.count(F.when(F.col("log_weight") >= cutoff, 1))).first()
     k = above if k is None else k
     return scored, 2**63 - 1 if k <= 0 else -(2**63) if k >= total else kth_largest(scored, "bits", k)
@@ -150,7 +150,7 @@ def _threshold(docs: DataFrame, ratio: np.ndarray, k: int | None, cutoff: float,
 def keep_selected(docs: DataFrame, ratio: np.ndarray, k: int | None = None, cutoff: float = 0.0, seed: int = 1) -> DataFrame:
     """The rows of docs, all columns, that resample() selects; they are weighed once more, so that no text is shuffled."""
     need(docs, "doc_id", "text")
-    return docs.mapInArrow(_keep(ratio, seed, _threshold(docs, ratio, k, cutoff, seed)[1]), docs.schema)
+    return docs.mapInArrow(lean(_keep(ratio, seed, _threshold(docs, ratio, k, cutoff, seed)[1])), docs.schema)
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
