@@ -1,15 +1,15 @@
-"""Shortest and simple paths: breadth-first search level by level, with the order of a queue kept by ranks."""
+"""Shortest and simple paths: breadth-first search level by level; each node carries the way it was found by, whose order is that of a queue."""
 
 from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Direction, Edge, NodeRef, Path, PropertyGraph
-from .common import cut
-from .traversal import steps
+from .common import BROADCAST_ROWS, cut
+from .traversal import _levels, reach, small, starts_of, steps
 
 PATH_SCHEMA = "nodes array<struct<type:string,id:string>>, edges array<struct<rel_type:string,src_type:string,src_id:string,dst_type:string,dst_id:string>>, length int"
 
@@ -18,43 +18,44 @@ def path_frame(spark: SparkSession, paths: list[Path]) -> DataFrame:
     return spark.createDataFrame([([tuple(n) for n in p.nodes], [(e.rel_type, *e.source, *e.target) for e in p.edges], p.length) for p in paths], PATH_SCHEMA)
 
 
-def shortest_path(graph: PropertyGraph, start: Any, end: Any, rel: str | None = None, max_hops: int = 10, direction: Direction = Direction.OUT) -> Path | None:
-    """The first shortest path a queue would find (parents in order of discovery, edges out before edges in, by edge order); at most max_hops edges. A start that is the end needs no edge and no node."""
+def shortest_path(graph: PropertyGraph, start: Any, end: Any, rel: str | None = None, max_hops: int | None = 10, direction: Direction = Direction.OUT) -> Path | None:
+    """The first shortest path a queue would find (parents in order of discovery, edges out before edges in, by edge order); at most max_hops edges, or of any length where that is None. A start that is the end needs no edge and no node."""
     start, end = NodeRef.of(start), NodeRef.of(end)
     if start == end:
         return Path((start,), ())
-    step = steps(graph, rel, direction)
-    front = graph.spark.createDataFrame([(*start, 0)], "type string, id string, rank long")
-    seen = front.select("type", "id")
-    levels: list[DataFrame] = []
-    for _ in range(max_hops):
-        joined = front.join(step, (front["type"] == step["a_type"]) & (front["id"] == step["a_id"])).select("rank", "turned", "_seq", "rel_type", "a_type", "a_id", F.col("b_type").alias("type"), F.col("b_id").alias("id"))
-        order = ["rank", "turned", "_seq", "rel_type"]
-        first = joined.groupBy("type", "id").agg(F.min(F.struct(*order, "a_type", "a_id")).alias("p")).join(seen, ["type", "id"], "left_anti")
-        # a level's ranks need one order over all of it; only the ranks of a frontier, not its edges, pass one task
-        ranks = first.select("type", "id", "p", (F.row_number().over(Window.orderBy(*(F.col(f"p.{c}") for c in order), "type", "id")) - 1).cast("long").alias("rank"))
-        level = cut(ranks)
+    step = steps(graph, rel, direction).withColumnsRenamed({"a_type": "type", "a_id": "id"})
+    level = cut(graph.spark.createDataFrame([(*start, [])], f"type string, id string, way {WAY}"))
+    seen = level.select("type", "id")
+    hops = 0
+    while max_hops is None or hops < max_hops:
+        hops += 1
+        joined = small(level)[0].join(step, ["type", "id"])
+        here = F.struct("turned", F.col("_seq").alias("seq"), "rel_type", F.col("b_type").alias("type"), F.col("b_id").alias("id"))
+        ways = joined.select(F.col("b_type").alias("type"), F.col("b_id").alias("id"), F.array_append("way", here).alias("way"))
+        # ways of one length compare by the parent's place in its level, then by the edge
+        level = cut(ways.groupBy("type", "id").agg(F.min("way").alias("way")).join(seen, ["type", "id"], "left_anti"))
         if level.isEmpty():
             return None
-        levels.append(level)
-        if not level.where((F.col("type") == end.type) & (F.col("id") == end.id)).isEmpty():
-            break
-        front, seen = level.select("type", "id", "rank"), seen.unionByName(level.select("type", "id"))
-    else:
-        return None
-    nodes, edges = [end], []
-    for level in reversed(levels):
-        p = level.where((F.col("type") == nodes[-1].type) & (F.col("id") == nodes[-1].id)).first()["p"]
-        before = NodeRef(p["a_type"], p["a_id"])
-        edges.append(Edge(p["rel_type"], nodes[-1], before) if p["turned"] else Edge(p["rel_type"], before, nodes[-1]))
-        nodes.append(before)
-    return Path(tuple(reversed(nodes)), tuple(reversed(edges)))
+        found = level.where((F.col("type") == end.type) & (F.col("id") == end.id)).first()
+        if found:
+            return _path_of(start, found["way"])
+        seen = seen.unionByName(level.select("type", "id"))
+    return None
+
+
+WAY = "array<struct<turned:int,seq:string,rel_type:string,type:string,id:string>>"
+
+
+def _path_of(start: NodeRef, way: list) -> Path:
+    nodes, edges = [start], []
+    for s in way:
+        nodes.append(NodeRef(s["type"], s["id"]))
+        edges.append(Edge(s["rel_type"], *(reversed(nodes[-2:]) if s["turned"] else nodes[-2:])))
+    return Path(tuple(nodes), tuple(edges))
 
 
 def shortest_lengths(graph: PropertyGraph, start: Any, rel: str | None = None, max_hops: int = 10, direction: Direction = Direction.OUT) -> DataFrame:
     """(type, id, length) of every node within max_hops, by one breadth-first search."""
-    from .traversal import _levels
-
     return _levels(graph, start, rel, max_hops, direction, False).select("type", "id", F.col("depth").alias("length"))
 
 
@@ -62,18 +63,16 @@ def path_exists(graph: PropertyGraph, start: Any, end: Any, rel: str | None = No
     start, end = NodeRef.of(start), NodeRef.of(end)
     if start == end:
         return True
-    from .traversal import _follow, starts_of
-
-    step = steps(graph, rel, direction)
-    front = starts_of(graph, start)
-    seen = front
+    seen = cut(starts_of(graph, start))
+    front = small(seen)[0]
     for _ in range(max_hops):
-        front = cut(_follow(front, step).distinct().join(seen, ["type", "id"], "left_anti").select("start_type", "start_id", "type", "id"))
-        if front.isEmpty():
+        new = cut(reach(graph, front, rel, direction).distinct().join(seen, ["type", "id"], "left_anti").select("start_type", "start_id", "type", "id"))
+        front, n = small(new)
+        if not n:
             return False
-        if not front.where((F.col("type") == end.type) & (F.col("id") == end.id)).isEmpty():
+        if not new.where((F.col("type") == end.type) & (F.col("id") == end.id)).isEmpty():
             return True
-        seen = seen.unionByName(front)
+        seen = seen.unionByName(new)
     return False
 
 
@@ -82,8 +81,6 @@ def all_paths(graph: PropertyGraph, start: Any, end: Any, rel: str | None = None
 
     The search is pruned to nodes whose distances from start and to end fit the bound; then paths grow by one join a level.
     """
-    from .traversal import _levels
-
     start, end = NodeRef.of(start), NodeRef.of(end)
     if start == end:
         return path_frame(graph.spark, [Path((start,), ())])
@@ -92,7 +89,8 @@ def all_paths(graph: PropertyGraph, start: Any, end: Any, rel: str | None = None
     behind = _levels(graph, end, rel, max_hops, back, False).select("type", "id", F.col("depth").alias("db"))
     useful = cut(ahead.join(behind, ["type", "id"]).where(F.col("df") + F.col("db") <= max_hops).select("type", "id", "db"))
     ref = lambda t, i: F.struct(F.col(t).alias("type"), F.col(i).alias("id"))
-    step = steps(graph, rel, direction).join(useful.select(F.col("type").alias("b_type"), F.col("id").alias("b_id"), "db"), ["b_type", "b_id"])
+    near = useful.select(F.col("type").alias("b_type"), F.col("id").alias("b_id"), "db")
+    step = steps(graph, rel, direction).join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, ["b_type", "b_id"])
     step = cut(step.select(ref("a_type", "a_id").alias("a"), ref("b_type", "b_id").alias("b"), F.struct("rel_type", F.col("a_type").alias("src_type"), F.col("a_id").alias("src_id"), F.col("b_type").alias("dst_type"), F.col("b_id").alias("dst_id")).alias("e"), "db"))
     here = graph.spark.createDataFrame([([tuple(start)], [], 0)], PATH_SCHEMA)
     goal = F.struct(F.lit(end.type).alias("type"), F.lit(end.id).alias("id"))

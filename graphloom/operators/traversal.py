@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as st
+
 from ..model import Direction, NodeRef, PropertyGraph
 from ..plans.parser import Step
 from .common import BROADCAST_ROWS, cut
@@ -26,6 +28,39 @@ def steps(graph: PropertyGraph, rel: str | Iterable[str] | None, direction: Dire
     return back if direction is Direction.IN else out.unionByName(back)
 
 
+def _native(id: Column, kind: st.DataType) -> Column:
+    """A node's id as the key column of an edge table has it, so that the tables' own keys are joined; null where it can't be one of them."""
+    if not isinstance(kind, st.IntegralType):
+        return id
+    key = id.try_cast(kind)
+    return F.when(key.cast("string") == id, key)
+
+
+def reach(graph: PropertyGraph, front: DataFrame, rel: str | Iterable[str] | None, direction: Direction, more: Iterable[str] = START) -> DataFrame:
+    """(*more, type, id): where one step from the rows of front (*more, type, id) leads; duplicates occur. Each relation's table is joined as it is stored, by its own keys: nothing of the edges is copied, and a broadcast front moves none of them."""
+    rels = [rel] if isinstance(rel, str) else None if rel is None else list(rel)
+    out = None
+    for name, df in graph.edge_tables.items():
+        if rels is not None and name not in rels:
+            continue
+        for a, b, wanted in (("src", "dst", Direction.OUT), ("dst", "src", Direction.IN)):
+            if graph.directed and direction not in (wanted, Direction.BOTH):
+                continue
+            kind = df.schema[f"{a}_id"].dataType
+            key = F.col(f"{a}_id") if isinstance(kind, (st.IntegralType, st.StringType)) else F.col(f"{a}_id").cast("string")
+            e = df.select(F.col(f"{a}_type").alias("_a_type"), key.alias("_a_id"), F.col(f"{b}_type").alias("_b_type"), F.col(f"{b}_id").cast("string").alias("_b_id"))
+            own = e.join(front.withColumn("_key", _native(F.col("id"), kind)), (F.col("_a_type") == F.col("type")) & (F.col("_a_id") == F.col("_key")))
+            own = own.select(*more, F.col("_b_type").alias("type"), F.col("_b_id").alias("id"))
+            out = own if out is None else out.unionByName(own)
+    return out if out is not None else front.select(*more, "type", "id").limit(0)
+
+
+def small(front: DataFrame) -> tuple[DataFrame, int]:
+    """A cut frontier, broadcast where it has few rows, and their number."""
+    n = front.count()
+    return (F.broadcast(front) if n <= BROADCAST_ROWS else front), n
+
+
 def starts_of(graph: PropertyGraph, start: Any) -> DataFrame:
     """A start, or a table with (type, id), as (start_type, start_id, type, id)."""
     if isinstance(start, DataFrame):
@@ -61,18 +96,16 @@ def neighbors(graph: PropertyGraph, start: Any, rel: str | None = None, directio
 
 def _levels(graph: PropertyGraph, start: Any, rel: str | None, most: int, direction: Direction, lazy: bool) -> DataFrame:
     """(start_type, start_id, type, id, depth) of all nodes within `most` hops, the start itself at 0. Lazy plans chain the levels; else each level is cut."""
-    step = steps(graph, rel, direction).select("a_type", "a_id", "b_type", "b_id").distinct()
     seen = starts_of(graph, start).withColumn("depth", F.lit(0))
     if not lazy:
-        step, seen = cut(step), cut(seen)
-    front = seen
+        seen = cut(seen)
+    front = seen if lazy else small(seen)[0]
     for depth in range(1, most + 1):
-        new = _follow(front.drop("depth"), step).distinct().join(seen.drop("depth"), [*START, "type", "id"], "left_anti").withColumn("depth", F.lit(depth))
-        if not lazy:
-            new = cut(new)
-            if new.isEmpty():
-                break
-        front, seen = new, seen.unionByName(new)
+        new = reach(graph, front.drop("depth"), rel, direction).distinct().join(seen.drop("depth"), [*START, "type", "id"], "left_anti").withColumn("depth", F.lit(depth))
+        front, n = (new, 1) if lazy else small(new := cut(new))
+        if not n:
+            break
+        seen = seen.unionByName(new)
     return seen
 
 
@@ -99,7 +132,7 @@ def walk(graph: PropertyGraph, start: Any, pattern: list[tuple[str, Direction]],
     """
     front = starts_of(graph, start)
     for rel, direction in pattern:
-        front = _kept(_follow(front, steps(graph, rel, direction)).distinct(), keep)
+        front = _kept(reach(graph, front, rel, direction).distinct(), keep)
     return _result(front, isinstance(start, DataFrame))
 
 
@@ -113,22 +146,23 @@ def traverse_statement(graph: PropertyGraph, start: NodeRef, pattern: list[Step]
     """The TRAVERSE statement: steps that remember visited nodes and keep those of the target type; then, where MAX is larger than the pattern, further hops along its last relation and direction, of any type, all united."""
     if not graph.has_node(*start):
         return graph.refs().limit(0)
-    front = cut(starts_of(graph, start))
-    seen = front
+    seen = cut(starts_of(graph, start))
+    front, out = small(seen)[0], seen
     for s in pattern:
-        new = _follow(front, steps(graph, s.relation, s.direction)).distinct()
+        new = reach(graph, front, s.relation, s.direction).distinct()
         if s.target:
             new = new.where(F.col("type") == s.target)
-        front = cut(new.join(seen, ["type", "id"], "left_anti").select(*START, "type", "id"))
-        seen = seen.unionByName(front)
-    out = front
+        out = cut(new.join(seen, ["type", "id"], "left_anti").select(*START, "type", "id"))
+        front = small(out)[0]
+        seen = seen.unionByName(out)
     if most is not None and most > len(pattern):
         last = pattern[-1] if pattern else Step(Direction.OUT, None)
         for _ in range(most - len(pattern)):
-            front = cut(_follow(front, steps(graph, last.relation, last.direction)).distinct().join(seen, ["type", "id"], "left_anti").select(*START, "type", "id"))
-            if front.isEmpty():
+            new = cut(reach(graph, front, last.relation, last.direction).distinct().join(seen, ["type", "id"], "left_anti").select(*START, "type", "id"))
+            front, n = small(new)
+            if not n:
                 break
-            seen, out = seen.unionByName(front), out.unionByName(front)
+            seen, out = seen.unionByName(new), out.unionByName(new)
     return out.select("type", "id")
 
 
@@ -158,8 +192,7 @@ class GraphTraversal:
         self._hops = 0
 
     def hop(self, rel: str | None = None, direction: Direction = Direction.OUT, where: Column | Callable | None = None) -> GraphTraversal:
-        step = steps(self.graph, rel, direction)
-        new = self._front.join(step, (self._front["type"] == step["a_type"]) & (self._front["id"] == step["a_id"])).select(F.col("b_type").alias("type"), F.col("b_id").alias("id")).distinct()
+        new = reach(self.graph, self._front, rel, direction, ()).distinct()
         new = _kept(new.join(self._seen, ["type", "id"], "left_anti"), where)
         self._hops += 1
         self._front = cut(new) if self._hops > LAZY_HOPS else new
