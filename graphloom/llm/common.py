@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,16 +20,13 @@ BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset (tests), an own temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if found is None:
-        if jsc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-        return jsc.getCheckpointDir().get()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    """The shared folder of spark.checkpoint.dir, or the one that the session's context has. Without either a temporary one where all runs on one machine (tests), and an error on a cluster, whose executors wouldn't share it."""
+    found, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if found is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="graphloom-"))
+    return found or sc._jsc.sc().getCheckpointDir().get()
 
 
 def ship(spark: SparkSession) -> None:
