@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Up to this many edges a loop may end in one grouped task; more go on level by level.
 ONE_TASK_EDGES = 200_000
@@ -12,9 +14,27 @@ ONE_TASK_EDGES = 200_000
 BROADCAST_ROWS = 100_000
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir, or the one that the session's context has. Without either a temporary one where all runs on one machine (tests), and an error on a cluster, whose executors wouldn't share it."""
+    found, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if found is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="graphloom-"))
+    return found or sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint in spark.checkpoint.dir; where that is unset (tests) in a temporary folder."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    """df behind a reliable checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """df as Parquet in the shared folder, by the columns' values, and read again; the files go when the application ends."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
+    return spark.read.schema(schema).parquet(path)

@@ -2,6 +2,9 @@
 
 Blocks: `nodes.<type>` or `edges.<relation>`, a header of field names, rows, an empty line. Lines: `kind.name|fields|values`
 with the fields by spaces: each line stands alone, so any number of tasks may read a file; prefer it for large graphs.
+Read as well: blocks whose header has tabs (values by tabs alone, sections that follow without an empty line, the first
+field as id where none has that name, references without the first colon), and lines `kind.name id key=value`, of edges
+`kind.name :type:id :type:id key=value`.
 """
 
 from __future__ import annotations
@@ -13,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import HIDDEN, KEY, SEQ, NodeRef, PropertyGraph, both_ways
+from ..operators.common import stored
 from .values import FormatError, quoted, split_fields, typed
 
 # Fixed value: the extension of files in the line format.
 LINE_SUFFIX = ".isonl"
 LINE = r"^(nodes|edges)\.([^|]+)\|([^|]*)\|(.*)$"
+KEYED = r"^(nodes|edges)\.(\w+)[ \t]+([^|].*)$"
 ROW = "kind string, name string, fields array<string>, texts array<string>, plain array<boolean>, error string"
 
 
@@ -68,32 +73,43 @@ def to_blocks(graph: PropertyGraph) -> str:
     return "\n\n".join(blocks) + "\n" if blocks else ""
 
 
-def _rows_of(text: str) -> Iterator[tuple[str, str, list[str], list[tuple[str, bool]]]]:
-    """(kind, name, fields, values) of the block format; comments and `graph.` lines are passed over."""
+def _rows_of(text: str) -> Iterator[tuple[str, str, list[str], list[tuple[str, bool]], bool]]:
+    """(kind, name, fields, values, tabs) of the block format; comments and `graph.` lines are passed over."""
     kind = name = None
     fields: list[str] | None = None
+    tabs = False
     for number, line in enumerate(text.splitlines(), 1):
         line = line.rstrip("\r")
         if not line.strip():
-            kind, fields = None, None
-        elif line.lstrip().startswith("#") or kind is None and line.startswith("graph."):
+            if not tabs:
+                kind, fields = None, None
             continue
-        elif kind is None:
+        if line.lstrip().startswith("#") or (kind is None or tabs) and line.startswith("graph."):
+            continue
+        if kind is None or tabs and "\t" not in line.strip() and line.startswith(("nodes.", "edges.")):
             kind, dot, name = line.strip().partition(".")
+            fields, tabs = None, False
             if not dot or not name:
                 raise FormatError(f"line {number}: no block header: {line!r}")
             if kind not in ("nodes", "edges"):
                 raise FormatError(f"line {number}: unknown kind {kind!r}")
         elif fields is None:
-            fields = [f for f, _ in split_fields(line)]
+            tabs = "\t" in line.strip()
+            fields = [f for f, _ in _split(line, tabs)]
         else:
-            values = split_fields(line)
+            values = _split(line, tabs)
             if len(values) != len(fields):
                 raise FormatError(f"line {number}: {len(values)} values for {len(fields)} fields")
-            yield kind, name, fields, values
+            yield kind, name, fields, values, tabs
+
+
+def _split(line: str, tabs: bool) -> list[tuple[str, bool]]:
+    return [(x.strip(), False) if not x.strip().startswith('"') else split_fields(x.strip(), "\t")[0] for x in line.split("\t")] if tabs else split_fields(line)
 
 
-def _add(graph: PropertyGraph, kind: str, name: str, fields: list[str], values: list[tuple[str, bool]]) -> None:
+def _add(graph: PropertyGraph, kind: str, name: str, fields: list[str], values: list[tuple[str, bool]], tabs: bool = False) -> None:
+    if tabs and kind == "nodes" and "id" not in fields:
+        fields = ["id", *fields[1:]]
     got = dict(zip(fields, values, strict=True))
     props = lambda *keys: {k: typed(*v) for k, v in got.items() if k not in keys}
     if kind == "nodes":
@@ -107,7 +123,7 @@ def _add(graph: PropertyGraph, kind: str, name: str, fields: list[str], values:
         if text is None:
             raise FormatError(f"an edge of {name} has no {own}")
         ref = NodeRef.of(text)
-        if not text.startswith(":") or not ref.type or not ref.id:
+        if not (text.startswith(":") or tabs) or not ref.type or not ref.id:
             raise FormatError(f"{text!r} is no reference :type:id")
         ends.append(ref)
     graph.add_edge(name, *ends, **props("source", "target", "from", "to"))
@@ -134,25 +150,49 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     raw = F.regexp_extract_all(part(4), F.lit(pattern), F.lit(1))
     fields = F.filter(F.split(part(3), "[ \t]+"), lambda f: f != "")
     unescape = lambda t: F.replace(F.replace(F.replace(F.replace(F.replace(F.substr(t, F.lit(2), F.length(t) - 2), F.lit("\\\\"), F.lit("\0")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), F.lit("\0"), F.lit("\\"))
-    rows = rows.select(part(1).alias("kind"), part(2).alias("name"), fields.alias("fields"), raw.alias("raw"), (part(4) != "").alias("some"), F.trim(F.regexp_replace(part(4), pattern, "")).alias("rest"))
+    rows = rows.select("value", part(1).alias("kind"), part(2).alias("name"), fields.alias("fields"), raw.alias("raw"), (part(4) != "").alias("some"), F.trim(F.regexp_replace(part(4), pattern, "")).alias("rest"))
     error = F.when(F.col("kind") == "", F.lit("no line of the format")).when(F.col("rest") != "", F.lit("a quote isn't closed")).when(F.size("fields") != F.size("raw"), F.lit("values and fields differ in number"))
     error = F.coalesce(error, F.when((F.col("kind") == "nodes") & ~F.array_contains("fields", "id"), F.lit("no id")).when((F.col("kind") == "edges") & ~(F.array_contains("fields", "source") & F.array_contains("fields", "target")), F.lit("no source or target")))
     texts = F.transform("raw", lambda t: F.when(F.startswith(t, F.lit('"')), unescape(t)).otherwise(t))
-    return rows.select("kind", "name", "fields", texts.alias("texts"), F.transform("raw", lambda t: ~F.startswith(t, F.lit('"'))).alias("plain"), error.alias("error"))
+    plain = F.transform("raw", lambda t: ~F.startswith(t, F.lit('"')))
+    keyed = _keyed()
+    own = {"kind": F.col("kind"), "name": F.col("name"), "fields": F.col("fields"), "texts": texts, "plain": plain, "error": error}
+    is_keyed = (F.col("kind") == "") & F.col("value").rlike(KEYED)
+    rows = rows.where((F.col("kind") != "") | ~F.startswith("value", F.lit("graph.")))
+    return rows.select(*(F.when(is_keyed, keyed[c]).otherwise(own[c]).alias(c) for c in own))
+
+
+def _keyed() -> dict:
+    """The parts of a line of key=value pairs, as columns over value."""
+    part = lambda k: F.regexp_extract("value", KEYED, k)
+    words = F.regexp_extract_all(part(3), F.lit(r'(\w+="[^"]*"|"[^"]*"|[^ \t]+)'), F.lit(1))
+    ends = F.when(part(1) == "nodes", 1).otherwise(2)
+    pairs = F.slice(words, ends + 1, F.size(words))
+    value = lambda w: F.regexp_replace(w, r"(?s)^\w+=", "")
+    bare = F.transform(pairs, lambda w: F.regexp_replace(value(w), r'(?s)^"(.*)"$', "$1"))
+    keys = F.transform(pairs, lambda w: F.regexp_extract(w, r"^(\w+)=", 1))
+    first = F.when(part(1) == "nodes", F.array(F.lit("id"))).otherwise(F.array(F.lit("source"), F.lit("target")))
+    error = F.when(F.size(words) < ends, F.lit("no id, source or target")).when(F.exists(keys, lambda k: k == ""), F.lit("no key=value pair"))
+    error = F.coalesce(error, F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.lit("a key is given twice")))
+    return {
+        "kind": part(1), "name": part(2), "fields": F.concat(first, keys), "texts": F.concat(F.slice(words, 1, ends), bare),
+        "plain": F.concat(F.transform(first, lambda x: F.lit(True)), F.transform(pairs, lambda w: ~F.startswith(value(w), F.lit('"')))), "error": error,
+    }
 
 
 def from_lines(spark: SparkSession, lines: DataFrame, name: str = "graph", permissive: bool = False) -> PropertyGraph:
-    """A graph over parsed lines, one lazy table for each type and relation, typed by what its values look like.
+    """A graph over parsed lines, one table for each type and relation, typed by what its values look like.
 
-    Bad lines, repeated rows and undefined endpoints are errors, or are left out where permissive. Two passes find the
-    names and types (small aggregates); no row is held by the driver.
+    Bad lines, repeated rows and undefined endpoints are errors, or are left out where permissive. The lines are parsed
+    once, into a table by kind and name in the shared folder; small aggregates of it tell names and types, and each type
+    reads its own part. No row is held by the driver.
     """
-    parsed = parse_lines(lines)
-    bad = parsed.where("error IS NOT NULL")
-    if not permissive and (first := bad.first()):
-        raise FormatError(first["error"])
     pairs = F.when(F.col("error").isNull(), F.map_from_arrays("fields", F.arrays_zip("texts", "plain")))  # guarded: filters may be moved past it
-    good = parsed.where("error IS NULL").select("kind", "name", pairs.alias("m"))
+    whole = F.col("error").isNull()
+    parsed = stored(parse_lines(lines).select(pairs.alias("m"), "error", F.when(whole, F.col("kind")).otherwise("bad").alias("kind"), F.when(whole, F.col("name")).otherwise("bad").alias("name")), "kind", "name")
+    if not permissive and (first := parsed.where("kind = 'bad'").first()):
+        raise FormatError(first["error"])
+    good = parsed.where("kind != 'bad'").select("kind", "name", "m")
     value = F.explode("m").alias("key", "v")
     look = F.when(~F.col("v.plain"), "string").when(F.col("v.texts").isin("null", "~"), "null").when(F.col("v.texts").isin("true", "false"), "boolean").when(F.col("v.texts").rlike(r"^-?\d{1,18}$"), "bigint").when(F.col("v.texts").rlike(r"^-?\d+\.\d+(?:[eE][+-]?\d+)?$"), "double").otherwise("string")
     kinds: dict[tuple[str, str], dict[str, set[str]]] = {}
@@ -174,21 +214,24 @@ def from_lines(spark: SparkSession, lines: DataFrame, name: str = "graph", permi
         else:
             end = lambda c, n: F.split_part(text(c), F.lit(":"), F.lit(n))
             edges[own] = rows.select(end("source", 2).alias("src_type"), end("source", 3).alias("src_id"), end("target", 2).alias("dst_type"), end("target", 3).alias("dst_id"), *made)
-    for tables, key, what in ((nodes, ["id"], "node"), (edges, list(KEY), "edge")):
-        for own, df in tables.items():
-            if permissive:
-                tables[own] = df.dropDuplicates(key)
-            elif twice := df.groupBy(*key).count().where("count > 1").first():
-                raise FormatError(f"{what} {own} {tuple(twice)[:-1]} is given more than once")
     graph = PropertyGraph(spark, nodes, edges, name=name)
-    for own, df in edges.items():
-        for side in ("src", "dst"):
-            refs = graph.refs().select(F.col("type").alias(f"{side}_type"), F.col("id").alias(f"{side}_id"))
-            if permissive:
-                df = df.join(refs, [f"{side}_type", f"{side}_id"], "left_semi")
-            elif lost := df.join(refs, [f"{side}_type", f"{side}_id"], "left_anti").first():
-                raise FormatError(f"edge {own} leads to an undefined node :{lost[f'{side}_type']}:{lost[f'{side}_id']}")
-        graph._edges[own] = df
+    if permissive:
+        graph._nodes = {own: df.dropDuplicates(["id"]) for own, df in nodes.items()}
+        refs = graph.refs()
+        for own, df in edges.items():
+            df = df.dropDuplicates(list(KEY))
+            for side in ("src", "dst"):
+                df = df.join(refs.select(F.col("type").alias(f"{side}_type"), F.col("id").alias(f"{side}_id")), [f"{side}_type", f"{side}_id"], "left_semi")
+            graph._edges[own] = df
+        return graph
+    if twice := graph.refs().groupBy("type", "id").count().where("count > 1").first():
+        raise FormatError(f"node {tuple(twice)[:-1]} is given more than once")
+    links = graph.links().drop(SEQ)
+    if twice := links.groupBy("rel_type", *KEY).count().where("count > 1").first():
+        raise FormatError(f"edge {tuple(twice)[:-1]} is given more than once")
+    ends = links.select("rel_type", F.explode(F.array(*(F.struct(F.col(f"{x}_type").alias("type"), F.col(f"{x}_id").alias("id")) for x in ("src", "dst")))).alias("e")).select("rel_type", "e.type", "e.id")
+    if lost := ends.distinct().join(graph.refs(), ["type", "id"], "left_anti").first():
+        raise FormatError(f"edge {lost['rel_type']} leads to an undefined node :{lost['type']}:{lost['id']}")
     return graph
 
 

@@ -123,6 +123,28 @@ def team(spark):
     return g
 
 
+def test_tab_blocks(spark):
+    """Values by tabs, sections without empty lines, other names of the ends, the first field as id."""
+    read = "graph.demo\nnodes.person\nid\tname\tage\nalice\tAlice A. Smith\t30\n\nbob\t\"Bob\"\t41\n# a comment\nnodes.city\ncode\tname\nx1\tNew York\nedges.LIVES_IN\nfrom\tto\tsince\nperson:alice\t:city:x1\t2001\n"
+    g = text.from_blocks(spark, read)
+    assert g.get_node("person", "alice").properties == {"name": "Alice A. Smith", "age": 30} and g.get_node("person", "bob").properties["name"] == "Bob"
+    assert g.get_node("city", "x1").properties == {"name": "New York"}
+    assert g.get_edge("LIVES_IN", ("person", "alice"), ("city", "x1")).properties == {"since": 2001}
+    for bad in ("nodes.a\nid\tx\n1\n", "nodes.a\nid\tx\n1\t2\t3\n", "edges.R\nfrom\tx\na:1\t2\n"):
+        with pytest.raises(text.FormatError):
+            text.from_blocks(spark, bad)
+
+
+def test_lines_of_pairs(spark):
+    read = ['graph.demo', "# note", 'nodes.person alice name="Alice A." age=30', "nodes.person bob", "nodes.city|id name|x1 \"New York\"", "edges.LIVES_IN :person:alice :city:x1 since=2001 main=true"]
+    g = text.from_lines(spark, spark.createDataFrame([(x,) for x in read], "value string"))
+    assert g.get_node("person", "alice").properties == {"name": "Alice A.", "age": 30} and g.get_node("person", "bob").properties == {}
+    assert g.get_edge("LIVES_IN", ("person", "alice"), ("city", "x1")).properties == {"since": 2001, "main": True}
+    for bad in ("nodes.person eve nonsense", "edges.R :person:alice", "nodes.person eve a=1 a=2"):
+        with pytest.raises(text.FormatError):
+            text.from_lines(spark, spark.createDataFrame([(x,) for x in [*read, bad]], "value string"))
+
+
 def test_layout_is_the_known_one_to_the_last_bit(team):
     assert layout.compute_layout(team) == {
         NodeRef("company", "acme"): (60.0, 60.0), NodeRef("person", "alice"): (293.3277424315421, 60.0), NodeRef("person", "bob"): (377.3280362355162, 354.58580004430877),
