@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .engine import QueryEngine
 from .model import Direction, PropertyGraph
 from .operators import analysis, layout, paths, traversal
-from .operators.schema import EdgeType, Float, GraphSchema, Int, NodeType, String
+from .operators.schema import Bool, EdgeType, Float, GraphSchema, Int, NodeType, Ref, String
 from .sources import exporters, text
 
 
@@ -89,6 +90,36 @@ for _kind in ("SUM", "AVG", "MIN", "MAX"):
     _add(f"{_kind.lower()}_where", _ql(f"{_kind} orders.o_totalprice WHERE o_orderstatus = 'F'", "orders", columns=lambda: [F.round("value", 2).alias("value"), "n_values"]), f"SELECT round({_kind.lower()}(o_totalprice), 2) AS value, count(o_totalprice) AS n_values FROM orders WHERE o_orderstatus = 'F'")
 _add("type_counts", _on(analysis.stats, "region", "nation", "customer", "IN_REGION", "LIVES_IN"), "SELECT 'node' AS kind, 'region' AS name, count(*) AS n FROM region UNION ALL SELECT 'node', 'nation', count(*) FROM nation UNION ALL SELECT 'node', 'customer', count(*) FROM customer UNION ALL SELECT 'edge', 'IN_REGION', count(*) FROM nation UNION ALL SELECT 'edge', 'LIVES_IN', count(*) FROM customer")
 
+_add("edge_builder_query", lambda spark, sf_dir: QueryEngine(tables_graph(spark, sf_dir, ("CONTAINS",))).match_edges("CONTAINS").where("n_lines", ">=", 1).where("quantity", ">", 90).execute().df.select("src_id", "dst_id"), "SELECT CAST(l_orderkey AS VARCHAR) AS src_id, CAST(l_partkey AS VARCHAR) AS dst_id FROM lineitem GROUP BY l_orderkey, l_partkey HAVING sum(CAST(l_quantity AS DECIMAL(18, 2))) > 90")
+
+
+# point lookups and changes
+def _table(f: Callable[[PropertyGraph], list[tuple]], schema: str, *only: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.createDataFrame(f(tables_graph(spark, sf_dir, only)), schema)
+
+
+def _changed(change: Callable[[PropertyGraph], object], then: Callable[[PropertyGraph], DataFrame], *only: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graph = tables_graph(spark, sf_dir, only)
+        change(graph)
+        return then(graph)
+
+    return run
+
+
+_PLACES = ("region", "nation", "IN_REGION")
+_in_region = lambda g: g.edges("IN_REGION").select("src_id", "dst_id")
+_add("get_node", _table(lambda g: [(n.id, n.properties["c_name"], n.properties["c_acctbal"]) for n in [g.get_node("customer", 7)]], "id string, c_name string, c_acctbal double", "customer"), "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, c_acctbal FROM customer WHERE c_custkey = 7")
+_add("has_node", _table(lambda g: [(i, g.has_node("nation", i)) for i in ("0", "7", "24", "25", "-1", "07", "x")], "id string, found boolean", "nation"), "SELECT id, id IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation) AS found FROM (VALUES ('0'), ('7'), ('24'), ('25'), ('-1'), ('07'), ('x')) AS v(id)")
+_add("get_edge", _table(lambda g: [(e.source.id, e.target.id, e.properties["n_lines"], e.properties["quantity"]) for r in [g.edge_tables["CONTAINS"].orderBy("src_id", "dst_id").first()] for e in [g.get_edge("CONTAINS", ("orders", r["src_id"]), ("part", r["dst_id"]))]], "src_id string, dst_id string, n_lines long, quantity double", "CONTAINS"), "SELECT CAST(l_orderkey AS VARCHAR) AS src_id, CAST(l_partkey AS VARCHAR) AS dst_id, count(*) AS n_lines, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY l_orderkey, l_partkey ORDER BY l_orderkey, l_partkey LIMIT 1")
+_add("has_edge", _table(lambda g: [(i, g.has_edge("IN_REGION", ("nation", i), ("region", 1))) for i in range(25)], "id int, found boolean", "IN_REGION"), "SELECT CAST(n_nationkey AS INT) AS id, n_regionkey = 1 AS found FROM nation")
+_add("add_node", _changed(lambda g: [g.add_node("nation", i, n_name=f"NEW {i}") for i in (98, 99)], lambda g: g.nodes("nation").select("id", "n_name"), "nation"), "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name FROM nation UNION ALL VALUES ('98', 'NEW 98'), ('99', 'NEW 99')")
+_add("add_edge", _changed(lambda g: (g.add_node("nation", 99), g.add_edge("IN_REGION", ("nation", 99), ("region", 2), since=2020)), lambda g: traversal.neighbors(g, ("region", 2), "IN_REGION", Direction.IN), *_PLACES), "SELECT 'nation' AS type, CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'nation', '99'")
+_add("update_node", _changed(lambda g: g.update_node("nation", 3, n_name="RENAMED", n_size=5), lambda g: g.nodes("nation").select("n_name", F.col("n_size").cast("long").alias("n_size")), "nation"), "SELECT CASE WHEN n_nationkey = 3 THEN 'RENAMED' ELSE n_name END AS n_name, CASE WHEN n_nationkey = 3 THEN 5 END AS n_size FROM nation")
+_add("update_nodes", _changed(lambda g: g.update_nodes("customer", g.nodes("customer").where("c_acctbal < 0").select("id", F.lit("IN DEBT").alias("c_mktsegment"))), lambda g: g.nodes("customer").select("id", "c_mktsegment"), "customer"), "SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 'IN DEBT' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+_add("remove_node", _changed(lambda g: g.remove_node("region", 1), lambda g: _in_region(g).unionByName(g.nodes("region").select(F.lit("region").alias("src_id"), F.col("id").cast("string").alias("dst_id"))), *_PLACES), "SELECT CAST(n_nationkey AS VARCHAR) AS src_id, CAST(n_regionkey AS VARCHAR) AS dst_id FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR) FROM region WHERE r_regionkey <> 1")
+_add("remove_edge", _changed(lambda g: [g.remove_edge("IN_REGION", ("nation", r["src_id"]), ("region", 4)) for r in g.edges("IN_REGION", target=("region", 4)).collect()], _in_region, *_PLACES), "SELECT CAST(n_nationkey AS VARCHAR) AS src_id, CAST(n_regionkey AS VARCHAR) AS dst_id FROM nation WHERE n_regionkey <> 4")
+
 # traversal
 _customers = lambda g: g.refs().where("type = 'customer'")
 _add("neighbors_out", _on(lambda g: traversal.neighbors(g, _customers(g), "PLACED").select("start_id", "id"), "customer", "PLACED"), "SELECT CAST(o_custkey AS VARCHAR) AS start_id, CAST(o_orderkey AS VARCHAR) AS id FROM orders")
@@ -111,6 +142,8 @@ _add("shortest_path_len", _on(lambda g: paths.shortest_lengths(g, ("customer", 7
 _add("path_statement", _ql("PATH customer:1234 TO customer:0 VIA REPORTS_TO", "REPORTS_TO", columns=lambda: [F.col("length").cast("long").alias("length"), F.array_join(F.transform("nodes", lambda n: n["id"]), ">").alias("nodes")]), "SELECT 4 AS length, '1234>123>12>1>0' AS nodes FROM customer WHERE c_custkey = 1234")
 _add("all_paths", _on(lambda g: paths.all_paths(g, ("customer", 7), ("nation", 3), None, 4).select(F.array_join(F.transform("nodes", lambda n: n["id"]), ">").alias("nodes"), F.col("length").cast("long").alias("length")), "PLACED", "CONTAINS", "SUPPLIED_BY", "BASED_IN"),
     """SELECT concat('7>', o_orderkey, '>', c.l_partkey, '>', s.l_suppkey, '>3') AS nodes, 4 AS length FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) c ON c.l_orderkey = o_orderkey JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) s ON s.l_partkey = c.l_partkey JOIN supplier ON s_suppkey = s.l_suppkey WHERE o_custkey = 7 AND s_nationkey = 3""")
+_add("path_any_length", _table(lambda g: [(p.length, ">".join(n.id for n in p.nodes)) for p in [paths.shortest_path(g, ("customer", 1234), ("customer", 19), None, None, Direction.BOTH)] if p], "length long, nodes string", "customer", "REPORTS_TO"), "SELECT 5 AS length, '1234>123>12>1>19' AS nodes FROM customer WHERE FALSE UNION ALL SELECT 4, '1234>123>12>1>19' FROM customer WHERE c_custkey = 1234")
+_add("pattern_query_range", _on(lambda g: g.query(":customer:1234 -[:REPORTS_TO*2..3]-> *"), "customer", "REPORTS_TO"), "SELECT 'customer' AS type, id FROM (VALUES ('12'), ('1')) AS v(id) WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = 1234)")
 _add("path_exists", _flag(lambda g: paths.path_exists(g, ("customer", 1234), ("customer", 0), "REPORTS_TO"), "found", "REPORTS_TO"), "SELECT count(*) > 0 AS found FROM customer WHERE c_custkey = 1234")
 
 # analysis
@@ -121,6 +154,7 @@ _add("components", _on(lambda g: analysis.components(g).select("id", "component_
 _add("is_connected", _flag(analysis.is_connected, "connected", "nation", "region", "IN_REGION"), "SELECT count(DISTINCT n_regionkey) <= 1 AS connected FROM nation")
 _add("has_cycle_tree", _flag(analysis.has_cycle, "cyclic", "customer", "REPORTS_TO"), "SELECT count(*) > 0 AS cyclic FROM customer WHERE c_custkey > 0 AND c_custkey // 10 >= c_custkey")
 _add("has_cycle_chain", _flag(analysis.has_cycle, "cyclic", "event", "THEN"), "SELECT FALSE AS cyclic")
+_add("has_cycle_ring", lambda spark, sf_dir: spark.createDataFrame([(k, analysis.has_cycle(PropertyGraph(spark, {}, {"THEN": spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit("c").alias("src_type"), F.col("c_custkey").alias("src_id"), F.lit("c").alias("dst_type"), ((F.col("c_custkey") + 1) % k).alias("dst_id"))}))) for k in (100, 10**9)], "k long, cyclic boolean"), "SELECT k, count(*) > 0 AS cyclic FROM (VALUES (100)) AS v(k), customer WHERE c_custkey = 99 GROUP BY k UNION ALL SELECT 1000000000, FALSE")
 _add("has_cycle_undirected", lambda spark, sf_dir: spark.createDataFrame([(analysis.has_cycle(PropertyGraph(spark, (g := tables_graph(spark, sf_dir, ("customer", "nation", "LIVES_IN", "REPORTS_TO"))).node_tables, g.edge_tables, directed=False)),)], "cyclic boolean"), "SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM customer WHERE c_custkey > 0) > (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) - 1 - (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)) AS cyclic")
 
 # schema
@@ -136,13 +170,44 @@ _add("validate_endpoints", _on(_errors(lambda: GraphSchema().edge(EdgeType("BASE
 _add("validate_ids", _on(_errors(lambda: GraphSchema().node(NodeType("part", id=Int(max=50)))), "part"), "SELECT 'MAX_VALUE' AS code, concat('nodes.part[', p_partkey, ']') AS location FROM part WHERE p_partkey > 50")
 _add("apply_defaults", _on(lambda g: GraphSchema().node(NodeType("nation").field("n_comment", String(default="none"))).apply_defaults(g).nodes("nation").select("n_name", "n_comment"), "nation"), "SELECT n_name, 'none' AS n_comment FROM nation")
 
+_add("validate_bool", _on(_errors(lambda: GraphSchema().node(NodeType("customer").field("c_mktsegment", Bool())).node(NodeType("turn").field("turn", Bool(required=True)))), "customer", "turn"), "SELECT 'INVALID_TYPE' AS code, concat('nodes.customer[', c_custkey, '].c_mktsegment') AS location FROM customer UNION ALL SELECT 'INVALID_TYPE', concat('nodes.turn[', conv_id * 1000 + turn, '].turn') FROM conversations")
+_linked = lambda g: g.nodes("customer").withColumn("home", F.when(F.col("id") % 3 == 0, F.col("c_name")).otherwise(F.concat(F.when(F.col("id") % 3 == 1, ":nation:").otherwise(":region:"), (F.col("id") % 25).cast("string"))))
+_add("validate_ref", lambda spark, sf_dir: GraphSchema().node(NodeType("customer").field("home", Ref(type="nation"))).validate(PropertyGraph(spark, {"customer": _linked(tables_graph(spark, sf_dir, ("customer",)))})).errors.select("code", "location"), "SELECT CASE WHEN c_custkey % 3 = 0 THEN 'INVALID_TYPE' ELSE 'REF_WRONG_TYPE' END AS code, concat('nodes.customer[', c_custkey, '].home') AS location FROM customer WHERE c_custkey % 3 <> 1")
+_add("validate_node_constraint", _on(_errors(lambda: GraphSchema().node(NodeType("part").constraint("small and dear", F.expr("p_size >= 10 OR p_retailprice < 1500")))), "part"), "SELECT 'CUSTOM' AS code, concat('nodes.part[', p_partkey, ']') AS location FROM part WHERE NOT (p_size >= 10 OR p_retailprice < 1500)")
+_half = lambda spark, sf_dir: PropertyGraph(spark, (g := tables_graph(spark, sf_dir, ("customer", "REPORTS_TO"))).node_tables, {"REPORTS_TO": g.edge_tables["REPORTS_TO"].withColumn("dst_id", F.when(F.col("src_id") % 7 == 0, F.col("src_id")).otherwise(F.col("dst_id")))})
+_add("validate_self_loops", lambda spark, sf_dir: GraphSchema().edge(EdgeType("REPORTS_TO", no_self_loop=True)).validate(_half(spark, sf_dir)).errors.select("code", "location"), "SELECT 'SELF_LOOP' AS code, concat('edges.REPORTS_TO[customer:', c_custkey, '->customer:', c_custkey, ']') AS location FROM customer WHERE c_custkey > 0 AND c_custkey % 7 = 0")
+_add("validate_acyclic", lambda spark, sf_dir: GraphSchema().edge(EdgeType("REPORTS_TO", acyclic=True)).validate(_half(spark, sf_dir)).errors.select("code", "location"), "SELECT 'CYCLE_DETECTED' AS code, 'edges.REPORTS_TO' AS location FROM customer WHERE c_custkey > 0 AND c_custkey % 7 = 0 LIMIT 1")
+_add("validate_edge_fields", _on(_errors(lambda: GraphSchema().edge(EdgeType("CONTAINS").field("quantity", Float().range(5, 95)).constraint("one line", F.col("n_lines") == 1))), "orders", "part", "CONTAINS"), "WITH c AS (SELECT concat('edges.CONTAINS[orders:', l_orderkey, '->part:', l_partkey, ']') AS base, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey, l_partkey) SELECT 'MIN_VALUE' AS code, concat(base, '.quantity') AS location FROM c WHERE q < 5 UNION ALL SELECT 'MAX_VALUE', concat(base, '.quantity') FROM c WHERE q > 95 UNION ALL SELECT 'CUSTOM', base FROM c WHERE n <> 1")
+for _card, _side, _key_column in (("1:N", "dst", "c_nationkey"), ("N:1", "src", "c_custkey")):
+    _add(f"validate_cardinality_{_card[0].lower()}_{_card[2].lower()}", _on(_errors(lambda c=_card: GraphSchema().edge(EdgeType("LIVES_IN", cardinality=c))), "customer", "nation", "LIVES_IN"), f"SELECT 'CARDINALITY_VIOLATION' AS code, concat('edges.LIVES_IN[{'nation' if _side == 'dst' else 'customer'}:', {_key_column}, ']') AS location FROM customer GROUP BY {_key_column} HAVING count(*) > 1")
+_add("validate_connected", _on(_errors(lambda: GraphSchema(connected=True)), *_PLACES), "SELECT 'NOT_CONNECTED' AS code, 'graph' AS location FROM nation HAVING count(DISTINCT n_regionkey) > 1 OR (SELECT count(*) FROM region) > count(DISTINCT n_regionkey)")
+_add("validate_graph_constraint", _on(_errors(lambda: GraphSchema().constraint(lambda g: [f"{n} nations" for n in [g.node_count("nation")] if n > 20]).constraint(lambda g: ["no regions"] if not g.node_count("region") else [])), "nation", "region"), "SELECT 'CUSTOM' AS code, 'graph' AS location FROM nation HAVING count(*) > 20")
+
 # sources and sinks
 _add("line_format", _on(text.to_lines, "customer", "LIVES_IN"), "SELECT concat('nodes.customer|id c_acctbal c_mktsegment c_name|', c_custkey, ' ', c_acctbal, ' ', c_mktsegment, ' ', c_name) AS value FROM customer UNION ALL SELECT concat('edges.LIVES_IN|source target|:customer:', c_custkey, ' :nation:', c_nationkey) FROM customer")
 _add("line_round_trip", lambda spark, sf_dir: text.from_lines(spark, text.to_lines(tables_graph(spark, sf_dir, ("part",)))).nodes("part").select("id", "p_name", "p_size", "p_retailprice"), "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name, p_size, p_retailprice FROM part")
 _add("block_format", lambda spark, sf_dir: spark.createDataFrame([(x,) for x in text.to_blocks(tables_graph(spark, sf_dir, ("region", "nation", "IN_REGION"))).split("\n") if x], "line string"), "SELECT 'nodes.nation' AS line UNION ALL SELECT 'id n_name' UNION ALL SELECT concat(n_nationkey, ' ', n_name) FROM nation UNION ALL SELECT 'nodes.region' UNION ALL SELECT 'id r_name' UNION ALL SELECT concat(r_regionkey, ' ', CASE WHEN contains(r_name, ' ') THEN concat('\"', r_name, '\"') ELSE r_name END) FROM region UNION ALL SELECT 'edges.IN_REGION' UNION ALL SELECT 'source target' UNION ALL SELECT concat(':nation:', n_nationkey, ' :region:', n_regionkey) FROM nation")
 _add("export_cypher", _on(lambda g: exporters.export(g, "cypher").select("value"), "nation", "IN_REGION"), "SELECT concat('CREATE (n_nation_', n_nationkey, ':nation {id: \"', n_nationkey, '\", n_name: \"', n_name, '\"})') AS value FROM nation UNION ALL SELECT concat('CREATE (n_nation_', n_nationkey, ')-[:IN_REGION {}]->(n_region_', n_regionkey, ')') FROM nation")
-for _form in ("json_compact", "turtle", "json_ld", "graphml", "gml", "toon"):
-    _add(f"export_{_form}", _on(lambda g, f=_form: exporters.export(g, f), "region", "nation", "IN_REGION"))
+_add("block_round_trip", lambda spark, sf_dir: text.from_blocks(spark, text.to_blocks(tables_graph(spark, sf_dir, _PLACES))).edges("IN_REGION").select("src_id", "dst_id"), "SELECT CAST(n_nationkey AS VARCHAR) AS src_id, CAST(n_regionkey AS VARCHAR) AS dst_id FROM nation")
+
+
+def _forms(region: str, nation: str, edge: str) -> str:
+    """SQL of an export of the regions and nations; {i} and {n} are a node's id and name, {a} and {b} an edge's ends."""
+    fill = lambda form, **by: "concat(" + ", ".join(by[x] if k % 2 else f"'{x}'" for k, x in enumerate(re.split(r"\{(\w)\}", form))) + ")"
+    return f"SELECT CAST(0 AS INT) AS part, {fill(region, i='r_regionkey', n='r_name')} AS value FROM region UNION ALL SELECT 0, {fill(nation, i='n_nationkey', n='n_name')} FROM nation UNION ALL SELECT 1, {fill(edge, a='n_nationkey', b='n_regionkey')} FROM nation"
+
+
+for _form, _node_form, _edge_form in (
+    ("json", '{"type":"{t}","id":"{i}","{f}":"{n}"}', '{"type":"IN_REGION","source":{"type":"nation","id":"{a}"},"target":{"type":"region","id":"{b}"}}'),
+    ("json_compact", '{"type":"{t}","id":"{i}","{f}":"{n}"}', '{"type":"IN_REGION","source":{"type":"nation","id":"{a}"},"target":{"type":"region","id":"{b}"}}'),
+    ("json_ld", '{"@id":"urn:{t}_{i}","@type":"{t}","{f}":"{n}"}', '{"@id":"urn:nation_{a}","IN_REGION":{"@id":"urn:region_{b}"}}'),
+    ("turtle", ':{t}_{i} a :{t} ;\n  :{f} "{n}" .', ":nation_{a} :IN_REGION :region_{b} ."),
+    ("graphml", '<node id="{t}_{i}"><data key="type">{t}</data><data key="{f}">{n}</data></node>', '<edge source="nation_{a}" target="region_{b}"><data key="type">IN_REGION</data></edge>'),
+    ("gml", 'node [ id "{t}_{i}" type "{t}" {f} "{n}" ]', 'edge [ source "nation_{a}" target "region_{b}" label "IN_REGION"  ]'),
+    ("toon", '{t}: "{i}","{n}"', "IN_REGION: nation_{a},region_{b}"),
+):
+    _whole = lambda kind, name, form=_node_form: form.replace("{t}", kind).replace("{f}", name)
+    _add(f"export_{_form}", _on(lambda g, f=_form: exporters.export(g, f), *_PLACES), _forms(_whole("region", "r_name"), _whole("nation", "n_name"), _edge_form))
 
 # layout
 _add("layout_circular", _on(lambda g: layout.circular_layout(g.refs()).select("type", "id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")), "nation"), "SELECT 'nation' AS type, CAST(n_nationkey AS VARCHAR) AS id, round(450 + 200 * cos((row_number() OVER (ORDER BY CAST(n_nationkey AS VARCHAR)) - 1) * 2 * pi() / count(*) OVER ()), 6) AS x, round(300 + 200 * sin((row_number() OVER (ORDER BY CAST(n_nationkey AS VARCHAR)) - 1) * 2 * pi() / count(*) OVER ()), 6) AS y FROM nation")

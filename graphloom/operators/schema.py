@@ -277,7 +277,7 @@ class GraphSchema:
         base = F.concat(F.lit(f"edges.{kind.name}["), F.concat_ws(":", "src_type", text("src_id")), F.lit("->"), F.concat_ws(":", "dst_type", text("dst_id")), F.lit("]"))
         out: list[DataFrame] = []
         if kind.unique:
-            again = df.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1)))).where("_n > 1")
+            again = df.groupBy(*KEY).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_n", F.explode(F.sequence(F.lit(2), F.col("_n"))))
             out.append(_error(again, "DUPLICATE_EDGE", F.lit("the edge is given more than once"), base))
         for once, side, word in zip(CARDINALITIES[kind.cardinality], ("src", "dst"), ("outgoing", "incoming"), strict=True):
             if once:
