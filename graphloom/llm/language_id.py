@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import text_arrays as T
 from .common import bounded_by_class, id_bucket, lean, need
@@ -160,34 +159,51 @@ def fit(docs: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> ByteConvNet |
     return train(windows, np.array([place[x] for x, _ in found]), names)
 
 
-def _predict(net: ByteConvNet | None, drop: tuple[str, ...], added: tuple[str, str]):
+def _labels(net: ByteConvNet | None, tables: list, batch: pa.RecordBatch, flag: str) -> tuple[list[str], np.ndarray]:
+    """Label and score of each text of a batch; flag: the column that says whether a text has a letter."""
+    data, offsets = T.buffer_of(T.column(batch, "text"))
+    n = len(offsets) - 1
+    names, score = [UNKNOWN] * n, np.zeros(n)
+    letters = batch.column(batch.schema.get_field_index(flag)).to_numpy(zero_copy_only=False)
+    if net and len(data):
+        start, length, doc = cut_windows(data, offsets)
+        total = np.zeros((n, len(net.labels)))
+        for lo in range(0, len(start), LANES):
+            part = slice(lo, lo + LANES)
+            p = net.probabilities(gather(data, start[part], length[part]), tables) * length[part, None]
+            begins = np.flatnonzero(np.diff(doc[part], prepend=-1))
+            total[doc[part][begins]] += np.add.reduceat(p, begins, axis=0)
+        total /= np.maximum(1, np.diff(offsets))[:, None]
+        best = total.argmax(1)
+        for i in np.flatnonzero(letters):
+            names[i], score[i] = net.labels[best[i]], min(1.0, total[i, best[i]])
+    return names, score
+
+
+def _predict(net: ByteConvNet | None):
+    def run(batches):
+        tables = net.tables() if net else []
+        for batch in batches:
+            names, score = _labels(net, tables, batch, "has_letter")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+
+    return run
+
+
+def _identified(net: ByteConvNet | None, flag: str, least: float):
+    """The rows whose language is told well enough, without the flag."""
+
     def run(batches):
         tables = net.tables() if net else []
         for batch in batches:
-            data, offsets = T.buffer_of(T.column(batch, "text"))
-            n = len(offsets) - 1
-            names, score = [UNKNOWN] * n, np.zeros(n)
-            letters = batch.column(batch.schema.get_field_index("_has_letter")).to_numpy(zero_copy_only=False)
-            if net and len(data):
-                start, length, doc = cut_windows(data, offsets)
-                total = np.zeros((n, len(net.labels)))
-                for lo in range(0, len(start), LANES):
-                    part = slice(lo, lo + LANES)
-                    p = net.probabilities(gather(data, start[part], length[part]), tables) * length[part, None]
-                    begins = np.flatnonzero(np.diff(doc[part], prepend=-1))
-                    total[doc[part][begins]] += np.add.reduceat(p, begins, axis=0)
-                total /= np.maximum(1, np.diff(offsets))[:, None]
-                best = total.argmax(1)
-                for i in np.flatnonzero(letters):
-                    names[i], score[i] = net.labels[best[i]], min(1.0, total[i, best[i]])
-            own = [i for i, c in enumerate(batch.schema.names) if c not in drop]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(names, pa.string()), pa.array(score)], [*(batch.schema.names[i] for i in own), *added])
+            names, score = _labels(net, tables, batch, flag)
+            yield batch.drop_columns([flag]).filter(pa.array((np.array(names, object) != UNKNOWN) & (score >= least)))
 
     return run
 
 
 def _has_letter():
-    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_has_letter")
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
 def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
@@ -197,16 +213,17 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     to the first label in order. A null doc_id is kept (held_out false). Other columns are ignored.
     """
     need(docs, "doc_id", "text")
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text", _has_letter())
-    return ready.mapInArrow(lean(_predict(net, ("text", "_has_letter"), ("lang_pred", "score"))), "doc_id long, held_out boolean, lang_pred string, score double")
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text", _has_letter().alias("has_letter"))
+    return ready.mapInArrow(lean(_predict(net)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, net: ByteConvNet | None, least: float) -> DataFrame:
     """The rows of docs, all columns, whose language is predicted with a score of at least `least`: one pass, no join."""
     need(docs, "text")
-    schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())])
-    tagged = docs.select("*", _has_letter()).mapInArrow(lean(_predict(net, ("_has_letter",), ("_lang_pred", "_lang_score"))), schema)
-    return tagged.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*docs.columns)
+    flag = "has_letter"
+    while flag in docs.columns:
+        flag += "_"
+    return docs.select("*", _has_letter().alias(flag)).mapInArrow(lean(_identified(net, flag, least)), docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
