@@ -18,6 +18,8 @@ WIDTH = 8
 CONTENT = 5
 #: The benchmark's windows are broadcast up to this many rows (about 40 bytes each); beyond it the join is a shuffled one.
 BROADCAST_ROWS = 200_000
+#: The items' words are broadcast up to this many (some 10 bytes each, with and without values).
+BROADCAST_WORDS = 2_000_000
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 UNITS = "kilometers|kilometres|kilograms|centimeters|meters|metres|miles|inches|pounds|ounces|liters|litres|grams|gallons|dollars|euros|cents|hours|minutes|seconds|days|weeks|months|years|percent|degrees|feet|km|kg|cm|mm|mg|ml|lb|lbs|oz|ft|mph|kmh|hrs|min|sec|usd|eur|m|g|l|s|h"
 NUMBERS = r"[0-9](?:[0-9.,:/]*[0-9])?"
@@ -144,7 +146,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, conten
     text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").where("text IS NOT NULL").distinct()
     text = text.select(F.col("doc_id").alias("d"), template_words(F.col("text")).alias("doc_words"), slot_values(F.col("text")).alias("v")).withColumn("doc_valued", valued_words(F.col("doc_words"), F.col("v")))
     sides = items.select(F.col("item_id").alias("i"), "item_words", "item_valued")
-    both = runs.join(text, runs["doc_id"].eqNullSafe(text["d"])).join(F.broadcast(sides) if few else sides, runs["item_id"].eqNullSafe(sides["i"]))
+    brief = (items.agg(F.sum(F.size("item_words"))).first()[0] or 0) <= BROADCAST_WORDS
+    both = runs.join(text, runs["doc_id"].eqNullSafe(text["d"])).join(F.broadcast(sides) if brief else sides, runs["item_id"].eqNullSafe(sides["i"]))
     both = both.withColumn("kept", _kept(F.col("met"), F.col("shift"))).where(F.size("kept") > 0)
     both = both.withColumns({"lo": F.array_min(F.transform("kept", lambda w: w["at"])), "hi": F.array_max(F.transform("kept", lambda w: w["at"] + w["span"])), "windows": F.size(F.array_distinct(F.transform("kept", lambda w: w["at"])))})
     # between a run's windows words and values may differ

@@ -458,6 +458,46 @@ def test_mixer_and_map_learn_from_late_text(spark):
     assert all((m.refine[n] != grid).any() for n in met)
 
 
+def test_mixture_scores_equal_the_equations(spark):
+    """Bit by bit in plain Python: counts by hashed context, gate, mixed logit, map."""
+    from graphloom.llm import lm_mixing as M
+
+    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "éé the"] * 5
+    m = M.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0]
+    lengths, nodes, bits = m.tree
+
+    def score(text):
+        out, raw = 0.0, [*text.encode(), M.END]
+        for i, byte in enumerate(raw):
+            context = sum(raw[i - k] << 8 * k for k in range(1, M.ORDERS) if i >= k)
+            for k in range(lengths[byte]):
+                node, bit = int(nodes[byte, k]), int(bits[byte, k])
+                slots = [int(M._slots(np.array([context | 1 << 62], np.uint64), np.array([node]), o)[0]) for o in range(M.ORDERS)]
+                n = [(int(m.counts[0][s]), int(m.counts[1][s])) for s in slots]
+                x = [max(-12.0, min(12.0, math.log((b + 0.4) / (a + 0.4)))) for a, b in n] + [0.4]
+                level = lambda c: min(4, int(math.log2(c + 1) / 2.5))
+                gate = (level(sum(n[5])) * 5 + level(sum(n[4]))) * 3 + min(2, int(math.log2(sum(n[3]) + 1) / 4))
+                z = max(-14.0, min(14.0, sum(w * v for w, v in zip(m.weights[gate], x, strict=True))))
+                at = (z + 14) * (M.MAP_STEPS - 1) / 28
+                low = min(int(at), M.MAP_STEPS - 2)
+                p = 0.5 / (1 + math.exp(-z)) + 0.5 * (m.refine[node, low] * (1 - at + low) + m.refine[node, low + 1] * (at - low))
+                p = max(1e-6, min(1 - 1e-6, p))
+                out += math.log10(p if bit else 1 - p)
+        return out
+
+    for text in ("the cat", "", "zé the dog sat"):
+        key, _ = M.grams(*T.buffer_of(pa.array([text])))
+        assert M.Scorer(m)(key).sum() == pytest.approx(score(text), abs=1e-4)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choices(["some", "short", "words", "in", "any", "order", f"n{i % 50}"], k=8))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({r.doc_id: (r.score, r.base_score) for r in score_texts(df.repartition(n)).collect()} for n in (5, 16))
+    assert all(one[i] == pytest.approx(two[i], abs=1e-6) for i in one)
+
+
 def test_large_bit_counts_keep_their_ratio(spark):
     from graphloom.llm import lm_mixing as M
 
@@ -545,6 +585,54 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert n.get((1, False), 0) <= 0.03 * n[1, True] and n[0, False] > 0.7 * (n[0, False] + n.get((0, True), 0))
 
 
+def test_importance_weights_equal_the_equations(spark):
+    """Counts, ratios and weights in plain Python, over the same buckets."""
+    texts = ["Good words, good text.", "bad bad !!! bad", "", "Good words again and some more", "bad words"]
+    good = {0, 3}
+    own = [Q._buckets(*T.buffer_of(pa.array([t])))[0].tolist() for t in texts]
+    raw, target = collections.Counter(b for x in own for b in x), collections.Counter(b for i in good for b in own[i])
+    total = sum(raw.values()) + 0.5 * Q.BUCKETS
+
+    def ratio(b):
+        p = (raw[b] + 0.5) / total
+        r = math.log((target[b] + Q.PRIOR * p) / (sum(target.values()) + Q.PRIOR)) - math.log(p)
+        return r if r >= 0 else min(0.0, r + Q.DOUBT * math.sqrt(1 / (target[b] + Q.PRIOR * p) + 1 / (raw[b] + 0.5)))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Q.fit(docs, spark.createDataFrame([(i,) for i in good], "doc_id long"))
+    assert all(got[b] == pytest.approx(ratio(b), abs=1e-12) for x in own for b in x)
+    rows = {r.doc_id: r for r in Q.resample(docs, got, k=2).collect()}
+    assert all(rows[i].log_weight == pytest.approx(sum(ratio(b) for b in x), abs=1e-9) and rows[i].n_terms == len(x) for i, x in enumerate(own))
+    assert [rows[i].selected for i in rows] == [rows[i].gumbel_key >= sorted((r.gumbel_key for r in rows.values()), reverse=True)[1] for i in rows]
+
+
+def test_language_scores_equal_the_equations(spark):
+    """Convolution, maximum, softmax and the mean over windows, in plain Python."""
+    from graphloom.llm import language_id as L
+
+    rng = np.random.default_rng(4)
+    d, f = 8, 12
+    net = L.ByteConvNet(["a", "b", "c"], rng.normal(0, 0.5, (256, d)), [rng.normal(0, 0.3, (w, d, f)) for w in L.WIDTHS], [rng.normal(size=f) for _ in L.WIDTHS], rng.normal(0, 0.3, (f * len(L.WIDTHS), 3)), rng.normal(size=3))
+    net.embedding[0] = 0
+    texts = ["Some words of a text", "Größe " * 200, "x"]
+
+    def window(raw):
+        e = [net.embedding[b] for b in raw.ljust(L.WINDOW, b"\0")]
+        h = []
+        for w, bias in zip(net.filters, net.biases, strict=True):
+            for j in range(f):
+                h.append(max(0.0, max(sum(float(e[i + k] @ w[k][:, j]) for k in range(len(w))) for i in range(L.WINDOW - len(w) + 1)) + float(bias[j])))
+        z = [sum(x * float(c) for x, c in zip(h, net.dense[:, o], strict=True)) + float(net.offset[o]) for o in range(3)]
+        total = sum(math.exp(x) for x in z)
+        return [math.exp(x) / total for x in z]
+
+    got = {r.doc_id: r for r in L.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for i, t in enumerate(texts):
+        start, length, _ = L.cut_windows(*T.buffer_of(pa.array([t])))
+        p = np.array([np.array(window(t.encode()[s : s + n])) * n for s, n in zip(start.tolist(), length.tolist(), strict=True)]).sum(0) / len(t.encode())
+        assert got[i].lang_pred == net.labels[int(p.argmax())] and got[i].score == pytest.approx(p.max(), abs=1e-4)
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(8)
     values = [int(x) for x in rng.integers(-(2**62), 2**62, 500)] + [5, 5, 5, -7, -(2**63), 2**63 - 1]
@@ -587,11 +675,41 @@ def test_other_numbers_and_names_are_caught(spark):
         "A train leaves the station at 60 km and meets Anna after 3 hours, then Anna travels back at 60 km to the old town.",
         "so a train leaves the station at 75 km and meets Peter after 4 hours, then Maria travels back at 80 km to the old town.",
         "A bus leaves the harbour at 75 km and finds Peter after 4 hours, then he walks home.",
+        "so a train departs the station at 75 km and meets Peter after 4 hours, then Maria travels back at 80 km to the old town.",
     ]
     got = {r.doc_id: r for r in find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect()}
     assert set(got) == {0, 1} and got[1].exact and not got[0].exact and got[0].slots == 8
 
 
+def test_windows_equal_brute_force(docs, local, spark):
+    """Templates, windows and runs in plain Python; the items hold no values here, so each window that matches counts."""
+    from graphloom.llm import decontaminate as D
+
+    def words(t):
+        t = re.sub(D.NUMBERS, D.NUMBER, t)
+        t = re.sub(D.AFTER_NUMBER, lambda m: f"{m[1]} {D.UNIT} ", t)
+        t = re.sub(D.NAMES, lambda m: f"{m[1]} {D.NAME} ", t).replace(D.NUMBER, f" {D.NUMBER} ")
+        return [w for w in re.split(D.GAPS, t.lower()) if w]
+
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    at = collections.defaultdict(list)
+    for i, t in bench.collect():
+        own = words(t)
+        assert len(own) >= 8 and not {D.NUMBER, D.UNIT, D.NAME} & set(own)
+        for k in range(len(own) - 7):
+            at[tuple(own[k : k + 8])].append((i, k))
+    runs = collections.defaultdict(set)
+    for d, t in zip(local.doc_id, local.text, strict=True):
+        own = words(t or "")
+        for k in range(len(own) - 7):
+            for i, j in at.get(tuple(own[k : k + 8]), ()):
+                runs[d, i, k - j].add(j)
+    want = collections.defaultdict(lambda: (0, 0))
+    for (d, i, _), met in runs.items():
+        want[d, i] = want[d, i][0] + len(met), max(want[d, i][1], max(met) + 8 - min(met))
+    assert {(r.doc_id, r.item_id): (r.windows, r.words) for r in find_leaks(docs, bench).collect()} == dict(want)
+
+
 def test_slots_may_merge_and_a_stray_one_costs_only_its_windows(spark):
     apples = "Tom thinks that a basket on the table has 3 apples and his sister buys 5 more of them today."
     passage = "the tank holds 60 litres of clean water when full and the pump in the cellar moves all of it up to the roof, where the other tank of 60 litres stands next to the old chimney of the house"
