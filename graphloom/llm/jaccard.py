@@ -548,8 +548,10 @@ def _stars(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         again = own.mapInArrow(lean(_rarest(percent, shared)), "sig long, rank int, sid long").repartition("sig").sortWithinPartitions("sig", "rank", "sid")
         again = spilled(again.mapInArrow(lean(_buckets), BUCKETS), "again")
         stars = again.where("first != 0 AND first != sid").select("first", "sid").distinct()
-        small = small.unionByName(again.where("first = 0").select("bucket", "sid")).distinct()
-    ranged = small.join(sets.select("sid", "n", "sketch"), "sid").select("bucket", "sid", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
+        small = small.unionByName(again.where("first = 0").select("bucket", "sid"))
+    # a long text is in thousands of buckets: it comes to the join as one row
+    small = small.groupBy("sid").agg(F.collect_set("bucket").alias("buckets"))
+    ranged = small.join(sets.select("sid", "n", "sketch"), "sid").select(F.explode("buckets").alias("bucket"), "sid", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
     found = ranged.mapInArrow(lean(_promising(percent)), "first long, sid long")
     return (found if stars is None else found.unionByName(stars)).distinct()
 
