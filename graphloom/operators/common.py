@@ -14,6 +14,21 @@ ONE_TASK_EDGES = 200_000
 BROADCAST_ROWS = 100_000
 
 
+#: Most nodes and edges that go to the driver for a document, a dictionary or the block format; formats by rows have no such bound.
+MOST_ROWS = 1_000_000
+
+
+class TooLargeError(ValueError):
+    """More rows than a driver should hold; nothing was collected."""
+
+
+def held_by_driver(graph, most: int = MOST_ROWS) -> None:
+    """An error where the graph has more than `most` nodes and edges."""
+    n = graph.node_count() + graph.edge_count()
+    if n > most:
+        raise TooLargeError(f"{n} nodes and edges; at most {most} go to the driver")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir, or the one that the session's context has. Without either a temporary one where all runs on one machine (tests), and an error on a cluster, whose executors wouldn't share it."""
     found, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import NodeRef, PropertyGraph
+from .common import TooLargeError
 
 #: Most nodes that are drawn; pick a subgraph beyond.
 MOST_NODES = 5_000
@@ -20,10 +21,6 @@ COLOURS = ("#3366cc", "#dc7f18", "#2f8f4e", "#b5355b", "#7b52ab", "#00838f", "#8
 OTHER = "#9aa0a6"
 
 
-class TooLargeError(ValueError):
-    """More nodes than a driver should hold; nothing was collected."""
-
-
 def _held(graph: PropertyGraph, most: int) -> tuple[list[NodeRef], list[tuple[str, NodeRef, NodeRef]]]:
     n = graph.node_count()
     if n > most:
@@ -33,6 +30,15 @@ def _held(graph: PropertyGraph, most: int) -> tuple[list[NodeRef], list[tuple[st
     return refs, sorted(edges)
 
 
+def _bounded(nodes: DataFrame, most: int = MOST_NODES) -> DataFrame:
+    """nodes, whose order over all passes one task, if they are few enough to draw."""
+    n = nodes.limit(most + 1).count()
+    if n > most:
+        raise TooLargeError(f"more than {most} nodes can't be laid out")
+    return nodes
+
+
+# Fixed values of the shared generator: multiplier 1664525, increment 1013904223, modulus 2**32; layouts take 170 iterations and seed 42.
 def _random(seed: int, n: int) -> list[float]:
     """n numbers in [0, 1) of the linear congruential generator that layouts share."""
     state, out = seed & 0xFFFFFFFF, []
@@ -109,13 +115,15 @@ def _push_apart(p: np.ndarray, radius: np.ndarray, spacing: float, low: np.ndarr
 
 
 def circular_layout(nodes: DataFrame, width: int = 900, height: int = 600) -> DataFrame:
-    """(type, id) -> with x, y on a circle, in the order of (type, id)."""
+    """(type, id) -> with x, y on a circle, in the order of (type, id); at most MOST_NODES."""
+    nodes = _bounded(nodes)
     at = (F.row_number().over(Window.orderBy("type", "id")) - 1) * F.lit(2 * np.pi) / F.count("*").over(Window.partitionBy())
     return nodes.select("type", "id", (F.lit(width / 2) + F.lit(min(width, height) / 3) * F.cos(at)).alias("x"), (F.lit(height / 2) + F.lit(min(width, height) / 3) * F.sin(at)).alias("y"))
 
 
 def hierarchical_layout(nodes: DataFrame, width: int = 900, top: int = 50, step: int = 150) -> DataFrame:
-    """(type, id) -> with x, y: a row for each type, in the order of types."""
+    """(type, id) -> with x, y: a row for each type, in the order of types; at most MOST_NODES."""
+    nodes = _bounded(nodes)
     level = F.dense_rank().over(Window.orderBy("type")) - 1
     own = Window.partitionBy("type")
     x = F.row_number().over(own.orderBy("id")) * F.lit(float(width)) / (F.count("*").over(own) + 1)

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import HIDDEN, KEY, NodeRef, PropertyGraph
+from ..operators.common import held_by_driver
 
 
 def to_dict(graph: PropertyGraph) -> dict[str, Any]:
-    """For graphs that the driver can hold. A node's properties stand beside its type and id."""
+    """For graphs that the driver can hold (MOST_ROWS, else an error). A node's properties stand beside its type and id."""
+    held_by_driver(graph)
     nodes = []
     for t, df in graph.node_tables.items():
         nodes += [{"type": t, "id": str(r["id"])} | {k: v for k, v in r.asDict().items() if k != "id" and k not in HIDDEN and v is not None} for r in df.collect()]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as st
 
 from ..model import HIDDEN, KEY, PropertyGraph
+from ..operators.common import held_by_driver
 
 FORMATS = ("json", "json_compact", "cypher", "turtle", "json_ld", "graphml", "gml", "toon")
 
@@ -104,7 +105,8 @@ FRAMES = {
 
 
 def document(graph: PropertyGraph, form: str) -> str:
-    """The whole document, for graphs that the driver can hold."""
+    """The whole document, for graphs that the driver can hold (MOST_ROWS, else an error)."""
+    held_by_driver(graph)
     head, middle, tail, between = FRAMES[form]
     rows = export(graph, form).orderBy("part", "value").collect()
     nodes, edges = ([r["value"] for r in rows if r["part"] == p] for p in (0, 1))

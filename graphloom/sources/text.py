@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import HIDDEN, KEY, SEQ, NodeRef, PropertyGraph, both_ways
-from ..operators.common import stored
+from ..operators.common import held_by_driver, stored
 from .values import FormatError, quoted, split_fields, typed
 
 # Fixed value: the extension of files in the line format.
@@ -63,7 +63,8 @@ def to_lines(graph: PropertyGraph) -> DataFrame:
 
 
 def to_blocks(graph: PropertyGraph) -> str:
-    """The block format as one text, rows in order. It is one file by nature: for graphs that the driver can hold."""
+    """The block format as one text, rows in order. It is one file by nature: for graphs that the driver can hold (MOST_ROWS, else an error)."""
+    held_by_driver(graph)
     blocks = []
     for kind, name, df, fields, texts in _tables(graph):
         order = [SEQ] if SEQ in df.columns else []

@@ -152,6 +152,19 @@ def test_layout_is_the_known_one_to_the_last_bit(team):
     }
 
 
+def test_what_goes_to_the_driver_is_bounded(team, monkeypatch):
+    from graphloom.operators import common
+
+    monkeypatch.setattr(common.held_by_driver, "__defaults__", (5,))
+    for run in (lambda: text.to_blocks(team), lambda: dicts.to_dict(team), lambda: exporters.document(team, "json")):
+        with pytest.raises(common.TooLargeError):
+            run()
+    monkeypatch.setattr(layout._bounded, "__defaults__", (2,))
+    for run in (layout.circular_layout, layout.hierarchical_layout):
+        with pytest.raises(common.TooLargeError):
+            run(team.refs())
+
+
 def test_layout_bounds(team, spark):
     with pytest.raises(layout.TooLargeError):
         layout.compute_layout(team, most=3)
