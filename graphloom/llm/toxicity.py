@@ -92,13 +92,15 @@ def _occurrences(batches):
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.bincount(at, minlength=len(held))), pa.array(np.bincount(at, rows, len(held)).astype(np.int64))], ["term", "n", "n1"])
 
 
-def _beside(bases: list[int]):
-    """By base and term: documents that hold both, and those of label 1."""
+def _beside(bases: list[int], known: np.ndarray):
+    """By base and term: documents that hold both, and those of label 1. known: the sorted terms that enough documents hold; no pair of others does."""
 
     def run(batches):
         for batch in batches:
             label, edges, terms = _rows(batch)
             doc = np.repeat(np.arange(len(label)), np.diff(edges))
+            often = known[np.minimum(np.searchsorted(known, terms), len(known) - 1)] == terms
+            doc, terms = doc[often], terms[often]
             for base in bases:
                 has = np.zeros(len(label), bool)
                 has[doc[terms == base]] = True
@@ -149,6 +151,8 @@ def choose(sample: DataFrame) -> np.ndarray:
     sums = lambda run, keys, schema: sample.mapInArrow(lean(run), schema + ", n long, n1 long").groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n") >= LEAST)
     found = sums(_occurrences, ["term"], "term int").toArrow()
     term, n, n1 = (found[c].to_numpy().astype(np.int64) for c in ("term", "n", "n1"))
+    if not len(term):
+        return np.zeros(0, np.int64)
     order = np.argsort(term)
     term, n, n1 = term[order], n[order], n1[order]
     z = deviates(n, n1, total, total1, lambda v: np.sqrt(np.maximum(v, 1e-9)))
@@ -156,7 +160,7 @@ def choose(sample: DataFrame) -> np.ndarray:
     bases = np.union1d(term[np.argsort(-z, kind="stable")[:BASES]], term[np.argsort(-n, kind="stable")[:BASES]])
     held = {int(t): (int(a), int(b)) for t, a, b in zip(term, n, n1, strict=True)}
     sizes = sample.sparkSession.createDataFrame([(int(b), *held[int(b)]) for b in bases], "base int, total long, total1 long")
-    pairs = sums(_beside(bases.tolist()), ["base", "term"], "base int, term int").join(F.broadcast(sizes), "base").where("total1 > 0 AND total1 < total AND n < total")
+    pairs = sums(_beside(bases.tolist(), term.astype(np.int32)), ["base", "term"], "base int, term int").join(F.broadcast(sizes), "base").where("total1 > 0 AND total1 < total AND n < total")
     pairs = cut(pairs.select("term", deviates(F.col("n"), F.col("n1"), F.col("total"), F.col("total1"), F.sqrt).alias("z")))
     strong = pairs.where((F.col("z") > 0) & (F.col("z") * F.col("z") > WEAK)).groupBy("term").agg(F.max("z").alias("z")).toArrow()
     beside = strong["term"].to_numpy()[discoveries(strong["z"].to_numpy(), pairs.count())] if strong.num_rows else np.zeros(0, np.int64)

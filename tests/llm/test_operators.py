@@ -568,6 +568,14 @@ def test_toxicity_scores_equal_the_equation(spark, docs):
         assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
 
 
+def test_toxicity_without_features(spark):
+    """Too few documents share a term: every score is the share of label 1."""
+    rows = [(i, f"only{i} here{i}", i % 2) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {round(r.score, 6) for r in score_toxicity(df, df).collect()}
+    assert len(got) == 1 and 0 < got.pop() < 1
+
+
 def test_discoveries_equal_the_definition():
     from graphloom.llm import toxicity as X
 
