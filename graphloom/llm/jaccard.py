@@ -154,7 +154,7 @@ def set_id(items: np.ndarray) -> np.uint64:
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
     data, offsets = T.buffer_of(T.column(batch, "text"))
-    for a, b in T.groups(offsets):
+    for a, b in T.groups(offsets, T.PASS):
         yield from T.shingles(*T.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), width)
 
 
@@ -182,26 +182,35 @@ def _common(docs: DataFrame, width: int) -> np.ndarray:
 
 #: Ids or names that a task keeps to leave out what it has met before.
 SEEN = 200_000
+#: Rows, or elements of lists, after which a batch goes out: texts give many times their bytes, which both sides of the pipe would hold.
+ROWS_OUT = 1 << 17
 
 
 def _signatures(width: int, percent: int, shared):
     """(sig, rank, sid) rows of a task's documents; copies within it give them once, as far as memory is set aside for it."""
 
+    def rows(made: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
+        sids = np.repeat(np.array(ids, np.int64), [len(x) for x in made])
+        return pa.RecordBatch.from_arrays([pa.array(T.signed(np.concatenate([np.zeros(0, np.uint64), *made]))), pa.array(np.zeros(len(sids), np.int32)), pa.array(sids)], ["sig", "rank", "sid"])
+
     def run(batches):
         seen: set[int] = set()
         common = shared.value
         for batch in batches:
             if len(seen) > SEEN:
                 seen.clear()
-            made, ids = [np.zeros(0, np.uint64)], []
+            made, ids, held = [], [], 0
             for items in _sets(batch, width):
                 sid = int(set_id(items).view(np.int64)) if len(items) else 0
                 if sid and sid not in seen:
                     made.append(all_signatures(items, percent, common))
-                    ids.append(np.full(len(made[-1]), sid, np.int64))
+                    ids.append(sid)
                     seen.add(sid)
-            sids = np.concatenate([np.zeros(0, np.int64), *ids])
-            yield pa.RecordBatch.from_arrays([pa.array(T.signed(np.concatenate(made))), pa.array(np.zeros(len(sids), np.int32)), pa.array(sids)], ["sig", "rank", "sid"])
+                    held += len(made[-1])
+                if held >= ROWS_OUT:
+                    yield rows(made, ids)
+                    made, ids, held = [], [], 0
+            yield rows(made, ids)
 
     return run
 
@@ -304,16 +313,25 @@ ARRAYS = "sid long, n long, sketch array<long>, mark array<long>, items array<lo
 
 
 def _arrays(width: int):
+    def rows(found: list[np.ndarray]) -> pa.RecordBatch:
+        counts = np.array([len(x) for x in found], np.int32)
+        values = T.signed(np.concatenate(found)) if counts.any() else np.zeros(0, np.int64)
+        made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+        longs = [sketch(x) for x in found]
+        sketches, marks = (pa.array(x, pa.list_(pa.int64())) for x in (longs, [_mark(x) for x in longs]))
+        ids = np.array([int(set_id(x).view(np.int64)) if len(x) else 0 for x in found], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts.astype(np.int64)), sketches, marks, made], ["sid", "n", "sketch", "mark", "items"])
+
     def run(batches):
         for batch in batches:
-            found = list(_sets(batch, width))
-            counts = np.array([len(x) for x in found], np.int32)
-            values = T.signed(np.concatenate(found)) if counts.any() else np.zeros(0, np.int64)
-            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
-            longs = [sketch(x) for x in found]
-            sketches, marks = (pa.array(x, pa.list_(pa.int64())) for x in (longs, [_mark(x) for x in longs]))
-            ids = np.array([int(set_id(x).view(np.int64)) if len(x) else 0 for x in found], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts.astype(np.int64)), sketches, marks, made], ["sid", "n", "sketch", "mark", "items"])
+            found, held = [], 0
+            for items in _sets(batch, width):
+                found.append(items)
+                held += len(items)
+                if held >= ROWS_OUT:
+                    yield rows(found)
+                    found, held = [], 0
+            yield rows(found)
 
     return run
 
@@ -383,6 +401,13 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return edges - edges[0], lists.values.to_numpy()[edges[0] : edges[-1]].view(np.uint64)
 
 
+def _parts(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose lists of that column have ROWS_OUT elements together at most, or of a single longer row."""
+    edges, _ = _lists(batch, name)
+    for a, b in T.groups(edges, ROWS_OUT):
+        yield batch.slice(a, b - a)
+
+
 def _tally(elements):
     """Occurrences by counter of one task's rows; elements(batch) gives the hashes."""
 
@@ -477,7 +502,7 @@ def _heads(percent: int, shared):
 
     def run(batches):
         total = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, "diff")):
             edges, _ = _lists(batch, "diff")
             items = _star_items(batch)
             n, d, d_any, d_away = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("n", "d", "d_any", "d_away"))

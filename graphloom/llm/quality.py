@@ -37,7 +37,7 @@ def _buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _chunks(batch: pa.RecordBatch):
     data, offsets = T.buffer_of(T.column(batch, "text"))
-    for a, b in T.groups(offsets):
+    for a, b in T.groups(offsets, T.PASS):
         yield a, b, *_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 

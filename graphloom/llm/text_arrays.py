@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 21
+#: Bytes of texts that one pass takes where many arrays, or rows, are made of each word: what a worker holds follows it, and no result does.
+PASS = 1 << 18
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _VALUES = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -44,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, CHUNK + (1 << 16))
+        size = ((n >> 16) + 1) << 16
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for name, base in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, base, np.uint64)

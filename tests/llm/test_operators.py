@@ -127,6 +127,49 @@ def test_partenum_loses_no_pair(percent):
         assert np.bitwise_count(fold[0] ^ fold[1]).sum() <= len(a) + len(b) - 2 * common
 
 
+class Held:
+    """A broadcast's stand-in."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_what_a_worker_holds_does_not_follow_the_texts_of_a_batch(docs):
+    """Rows and elements go out by ROWS_OUT, whatever a batch of texts gives, and are those of each text on its own; a pass over few bytes sets up few powers."""
+    texts = [r.text for r in docs.select("text").collect()] * 6 + [None, "", "wort " * 400_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([f"{i} {t}" if t else t for i, t in enumerate(texts)])], ["doc_id", "text"])
+    sets = list(jaccard._sets(batch, 5))
+    most = 2 * jaccard.ROWS_OUT * 20
+    signed = list(jaccard._signatures(5, 80, Held(np.zeros(0, np.uint64)))(iter([batch])))
+    assert len(signed) > 2 and max(b.nbytes for b in signed) < most
+    got = [x for b in signed for x in zip(b["sig"].to_pylist(), b["sid"].to_pylist(), strict=True)]
+    want = {int(jaccard.set_id(x).view(np.int64)): T.signed(jaccard.all_signatures(x, 80, np.zeros(0, np.uint64))).tolist() for x in sets if len(x)}
+    assert got == [(g, sid) for sid, own in want.items() for g in own]
+    held = list(jaccard._arrays(5)(iter([batch])))
+    assert len(held) > 1 and max(b.nbytes for b in held) < most
+    assert [x for b in held for x in b["items"].to_pylist()] == [T.signed(x).tolist() for x in sets]
+
+
+def test_heads_are_the_same_of_parts_of_a_batch(monkeypatch):
+    rng = np.random.default_rng(3)
+    diff = [rng.integers(0, 40, n).tolist() for n in (3, 0, 9, 30, 1, 12)]
+    longs = {"first": [1, 1, 1, 2, 2, 2], "sid": [11, 12, 13, 14, 15, 16], "root": [11, 1, 13, 14, 2, 16], "n": [40] * 6, "d": [len(x) for x in diff], "d_any": [1] * 6, "d_away": [3] * 6}
+    batch = pa.RecordBatch.from_pydict(longs | {"away": [True, False, True, True, False, True], "mark": [[i] * 8 for i in range(6)], "diff": diff})
+    run = jaccard._heads(80, Held(np.full(1 << jaccard.COUNTERS, 2, np.int32)))
+    rows = lambda: [r for b in run(iter([batch])) for r in b.to_pylist()]
+    whole = rows()
+    monkeypatch.setattr(jaccard, "ROWS_OUT", 10)
+    assert len(list(run(iter([batch])))) > 1 and rows() == whole and whole
+
+
+def test_powers_are_made_as_far_as_they_are_needed(monkeypatch):
+    monkeypatch.setattr(T, "_POWERS", {})
+    T.words(*T.buffer_of(pa.array(["a b c"])))
+    assert len(T._POWERS["up"]) < T.PASS
+    _, counts = T.words(*T.buffer_of(pa.array(["ab " * 200_000])))
+    assert counts.tolist() == [200_000] and len(T._POWERS["down"]) > 600_000
+
+
 @pytest.mark.parametrize("size", [1, 3, 7, 10_000])
 @pytest.mark.parametrize("looked", [4, 256])
 def test_bucket_stream_is_the_same_in_any_batches(size, looked, monkeypatch):
